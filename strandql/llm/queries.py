@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe
+from strandql.llm import bpe, rans
 from strandql.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, vocab_size=49_408)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -25,6 +29,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_rans": op2_rans,
         "op7_bpe": op7_bpe,
     }
 
