@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, html_extract, rans
-from strandql.llm.common import read_table
+from strandql.llm import bpe, html_extract, langid, quality_gbt, rans
+from strandql.llm.common import crc_bucket, read_table
 
 
 def tokenizer(name: str) -> str:
@@ -18,10 +18,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, where=crc_bucket("doc_id", 4) != 2)
+    guess = docs.select("doc_id", langid.predict_udf(spark, model)("text").alias("p"))
+    return guess.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score")
+
+
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, vocab_size=49_408)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    forest = quality_gbt.train(docs, read_table(spark, sf_dir, "labels"), where=crc_bucket("doc_id", 5) != 0)
+    scored = docs.select("doc_id", quality_gbt.score_udf(spark, forest)("text").alias("score"))
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -33,7 +47,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": op1_langid,
         "op2_rans": op2_rans,
+        "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
         "op10_html": op10_html,
     }
