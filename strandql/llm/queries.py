@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, html_extract, langid, quality_gbt, rans
+from strandql.llm import bpe, html_extract, langid, quality_gbt, rans, secrets
 from strandql.llm.common import crc_bucket, read_table
 
 
@@ -41,6 +41,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rans": op2_rans,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
+        "op9_secrets": op9_secrets,
         "op10_html": op10_html,
     }
 
