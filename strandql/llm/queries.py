@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, html_extract, langid, quality_gbt, quality_rules, rans, secrets
+from strandql.llm import bpe, html_extract, langid, minhash, quality_gbt, quality_rules, rans, secrets
 from strandql.llm.common import crc_bucket, read_table
 
 
@@ -29,6 +29,10 @@ def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, vocab_size=49_408)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_rans": op2_rans,
+        "op3_minhash": op3_minhash,
         "op5_rules": op5_rules,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
