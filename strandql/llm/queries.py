@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, html_extract, langid, minhash, quality_gbt, quality_rules, rans, secrets
+from strandql.llm import bpe, decontaminate, html_extract, langid, minhash, quality_gbt, quality_rules, rans, secrets
 from strandql.llm.common import crc_bucket, read_table
 
 
@@ -33,6 +33,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": op1_langid,
         "op2_rans": op2_rans,
         "op3_minhash": op3_minhash,
+        "op4_decontaminate": op4_decontaminate,
         "op5_rules": op5_rules,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
