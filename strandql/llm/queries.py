@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, decontaminate, html_extract, langid, minhash, quality_gbt, quality_rules, rans, secrets
+from strandql.llm import bpe, decontaminate, html_extract, langid, licenses, minhash, quality_gbt, quality_rules, rans, secrets
 from strandql.llm.common import crc_bucket, read_table
 
 
@@ -56,6 +56,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.concat_ws("/", m["matched"].cast("string"), m["words"].cast("string")))), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), spans.alias("spans"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rules": op5_rules,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
+        "op8_licenses": op8_licenses,
         "op9_secrets": op9_secrets,
         "op10_html": op10_html,
     }
