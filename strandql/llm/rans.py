@@ -17,6 +17,7 @@ columns don't matter, as only the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +25,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandql.llm.bpe import ByteBpe
 from strandql.llm.common import dropped, new_folder, stored
 
-SCALE, LANES, STEPS, BLOCK_IDS = 18, 1024, 128, 1 << 18
+SCALE, LANES, STEPS, BLOCK_IDS = 18, 2048, 128, 1 << 19
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
-CACHE_WORDS = 400_000
+CACHE_WORDS, SLICE_DOCS = 700_000, 10_000
 
 # ---- the coder ------------------------------------------------------------------------------------------
 
@@ -141,9 +144,11 @@ def decode_block(block: dict, t: Tables) -> np.ndarray:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each distinct white-space-free chunk.
+    """Ids as the tokenizers library gives them, found once for each distinct white-space-free chunk.
 
-    Right for vocabularies whose normaliser and pre-tokenizer never look across white space (checked by a test).
+    For vocabularies whose normaliser (NFC, white space to one blank, lower case) and pre-tokenizer never look across
+    white space. Chunks of printable Latin characters, where normalising only lowers the case, are split and merged
+    here; the library itself encodes all others.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -156,24 +161,84 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype, self.odd, self.chunk = dtype, regex.compile(r"[\x1c-\x1f]"), regex.compile(r"\S+")
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunk.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        seen = set()
-        for s in split:
-            seen.update(s)
-        new = [w for w in seen if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(seen)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.bpe, self.dtype = ByteBpe(path), dtype
+        #: White space beyond ASCII's, as Unicode has it.
+        self.odd = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.plain = regex.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]+")
+        self.lines = regex.compile(r"(?:[\n\x21-;=-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]|<(?!\|))+")
+        #: The fixed split pattern of the vocabulary.
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+        #: Known chunks with the number of their ids, and all these ids in turn.
+        self.known, self.size, self.flat = pa.array([""], pa.string()), np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids."""
+        odd = [] if self.lines.fullmatch("\n".join(words)) else [i for i, w in enumerate(words) if not self.plain.fullmatch(w)]
+        plain = words if not odd else [w for w in words if self.plain.fullmatch(w)]
+        size, flat = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        if plain:  # all at once: a line for each word, told apart by their ends
+            pieces = pa.array(self.split.findall("\n".join(plain).lower() + "\n"), pa.string()).dictionary_encode()
+            distinct, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+            end = distinct.index("\n")
+            distinct[end] = "n"  # any piece: its ids are left out
+            ids = self.bpe.trees.merge([p.encode() for p in distinct])
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            n[end] = 0
+            ids[end] = b""
+            flat = _gather(np.frombuffer(b"".join(ids), dtype=np.int32), n, codes)
+            size = np.diff(np.cumsum(n[codes])[codes == end], prepend=0).astype(np.int32)
+        if odd:  # the library's own answers, then all in the order of the words
+            ids = np.split(flat, np.cumsum(size)[:-1]) if plain else []
+            for k in range(0, len(odd), 50_000):
+                ids += (np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast([words[i] for i in odd[k : k + 50_000]], add_special_tokens=False))
+            order = np.argsort(np.concatenate([np.setdiff1d(np.arange(len(words)), odd), odd]), kind="stable")
+            ids = [ids[i] for i in order]
+            size, flat = np.array(list(map(len, ids)), dtype=np.int32), np.concatenate(ids)
+        return size, flat
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        texts = [t if t.isascii() or not self.odd.search(t) else self.odd.sub(" ", t) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        del texts
+        words = lists.flatten().dictionary_encode()
+        distinct, codes = words.dictionary, words.indices.to_numpy()
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(at.is_null())
+        if len(new):
+            size, flat = self._learn(new.to_pylist())
+            if len(self.known) + len(new) > CACHE_WORDS:  # keep what these texts need
+                kept = pc.unique(at.drop_null())
+                self.flat = _gather(self.flat, self.size, kept.to_numpy())
+                self.known, self.size = self.known.take(kept), self.size[kept.to_numpy()]
+            self.known, self.size, self.flat = pa.concat_arrays([self.known, new]), np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            at = pc.index_in(distinct, value_set=self.known)
+        codes = at.to_numpy()[codes]
+        bounds, out = lists.offsets.to_numpy(), []
+        start, size, flat = np.cumsum(self.size) - self.size, self.size, self.flat.astype(self.dtype)
+        for k in range(0, len(lists), 2000):  # the ids of some texts at a time
+            own = bounds[k : k + 2001]
+            code = codes[own[0] : own[-1]]
+            ends = np.concatenate(([0], np.cumsum(size[code])))
+            out += np.split(_gather(flat, size, code, start), ends[own - own[0]][1:-1])
+        return out
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, codes: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """The runs of flat that codes name, one after the other; size: the length of each run."""
+    start = np.cumsum(size) - size if start is None else start
+    n = size[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(maxsize=2)
@@ -193,36 +258,37 @@ def _unpack(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def _tokens(df: DataFrame, path: str, end_id: int, dtype: str, id_col: str, text_col: str) -> DataFrame:
-    """id and packed token ids of each text, the end id appended."""
-    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
+def _tokens(df: DataFrame, path: str, end_id: int, dtype: str, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id and packed token ids of each text, the end id appended; some rows also hold the id counts of a slice."""
+    out = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     end = np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, dtype)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k in range(0, b.num_rows, SLICE_DOCS):
+                part = b.slice(k, SLICE_DOCS)
                 ids = enc.encode(["" if t is None else t for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(x + end) for x in ids], pa.binary())], names=["id", "ids"])
+                total = np.bincount(np.concatenate(ids), minlength=size)
+                total[end_id] += len(ids)
+                counts = [None] * (len(ids) - 1) + [_pack(total.astype("<i8").tobytes())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(x.tobytes() + end) for x in ids], pa.binary()), pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def _count(tokens: DataFrame, dtype: str, size: int) -> np.ndarray:
+def _count(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in the whole corpus; the result is bounded by the vocabulary."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(_unpack(x), dtype=dtype), minlength=size) if len(x) > 4000 else 0
-                if len(x) <= 4000:
-                    np.add.at(total, np.frombuffer(_unpack(x), dtype=dtype), 1)
+                total += np.frombuffer(_unpack(x), dtype="<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("counts").where(F.col("counts").isNotNull()).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, dtype=np.int64)
     out[rows["token"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
@@ -237,8 +303,8 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, vocab_size: int, i
 
     spark = df.sparkSession
     dtype = "<u2" if vocab_size <= 1 << 16 else "<u4"
-    tokens = stored(_tokens(df, path, end_id, dtype, id_col, text_col), "tokens")
-    freq = frequencies(_count(tokens, dtype, vocab_size))
+    tokens = stored(_tokens(df, path, end_id, dtype, vocab_size, id_col, text_col), "tokens")
+    freq = frequencies(_count(tokens, vocab_size))
     spark.createDataFrame(pd.DataFrame({"token": np.arange(vocab_size), "freq": freq.astype(np.int64)}), "token int, freq long").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(freq)
 
@@ -266,7 +332,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, vocab_size: int, i
             yield cut()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens.repartitionByRange(n, "id").sortWithinPartitions("id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    tokens.select("id", "ids").repartitionByRange(n, "id").sortWithinPartitions("id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     dropped(spark, tokens)
 
 
