@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandql.plans import msa_queries, store_queries
+
+_FAMILIES = (store_queries, msa_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return store_queries.store_lookup(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _FAMILIES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _FAMILIES for name, sql in m.SQL.items()}
