@@ -85,7 +85,7 @@ def weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
     words = with_words(df, id_col, text_col).select("id", "words").join(F.broadcast(ids.withColumn("good", F.lit(1))), "id", "left")
     one, two = _grams()
-    each = words.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), "words", F.posexplode("words").alias("pos", "word")).select("good", F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null")
+    each = words.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), "words", F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").select("good", F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null")
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).persist()
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not total["target"]:
