@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandql.plans import hits_queries, msa_queries, store_queries
+from strandql.plans import hits_queries, msa_queries, search_queries, store_queries
 
-_FAMILIES = (store_queries, msa_queries, hits_queries)
+_FAMILIES = (store_queries, msa_queries, hits_queries, search_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_queries.store_lookup(spark, sf_dir)
+    return search_queries.top_hits(spark, sf_dir)
 
 
 def queries() -> dict:
