@@ -60,12 +60,6 @@ def p_value(score: Column, lam: Column, mu: Column) -> Column:
 
 
 def log_p_value(score: Column, lam: Column, mu: Column) -> Column:
-    h = lam * (score - mu)
-    return F.when(h > 10, -h).when(h < -2.5, -F.exp(-h)).otherwise(F.log(1.0 - F.exp(-F.exp(-h))))
-
-
-def log_p_value_strict(score: Column, lam: Column, mu: Column) -> Column:
-    """log_p_value with the low branch ``-exp(-exp(-h))`` that older result files were computed by."""
     h = lam * (score - mu)
     return F.when(h > 10, -h).when(h < -2.5, -F.exp(-F.exp(-h))).otherwise(F.log(1.0 - F.exp(-F.exp(-h))))
 

@@ -75,7 +75,7 @@ def render_native(row: dict) -> str:
     head = [f"NAME  {row['longname'] or row['name']}", f"FAM   {row['fam'] or ''}", f"LENG  {len(row['cols'])} match states, {len(row['cols'])} columns in multiple alignment", f"NEFF  {row['neff']:.1f}"]
     if row.get("evd_lambda") is not None:
         head.append(f"EVD   {row['evd_lambda']:.4f}  {row['evd_mu']:.4f}")
-    body = ["SEQ", *(f">{s['name']}\n{s['seq']}" for s in row["seqs"] or []), "#", "NULL   " + "\t".join(_t(x) for x in row["null"] or [0.05] * 20)]
+    body = ["SEQ", *(f">{s['name']}\n{s['seq']}" for s in (row["seqs"] if row["seqs"] is not None else ())), "#", "NULL   " + "\t".join(_t(x) for x in (row["null"] if row["null"] is not None else [0.05] * 20))]
     body += ["HMM    " + "\t".join(FILE_ORDER), "       " + "\t".join(t.upper().replace("2", "->") for t in TRANSITIONS), "       0\t*\t*\t0\t*\t0\t*\t*\t*\t*"]
     for k, c in enumerate(row["cols"], 1):
         body.append(f"{c['letter']} {k:<4} " + "\t".join(map(_t, c["f"])) + f"\t{k}")
