@@ -118,6 +118,26 @@ def extract(blocks: Column, residues: Column) -> Column:
     )
 
 
+def compressed_members(members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Members (msa, k, entry, row) as blocks against their full sequences (entry, residues): (msa, k, entry, start, blocks),
+    start the place, from 1, of the member's residues in its sequence. Members without such a place are left out."""
+    met = members.join(sequences, "entry").withColumn("start", F.instr("residues", F.replace(upper_row(F.col("row")), F.lit("-"), F.lit("")))).where("start > 0")
+    return met.select("msa", "k", "entry", "start", compress(F.col("row")).alias("blocks"))
+
+
+def extracted_members(compressed: DataFrame, sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Members rebuilt from blocks and sequences, and their headers (entry, header): an equi-join on the entry."""
+    met = compressed.join(sequences, "entry")
+    if headers is not None:
+        met = met.join(headers, "entry")
+    row = extract(F.col("blocks"), F.expr("substring(residues, start)"))
+    return met.select("msa", "k", "entry", row.alias("row"), *(["header"] if headers is not None else []))
+
+
+def upper_row(row: Column) -> Column:
+    return F.translate(row, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 # ---- profile figures ---------------------------------------------------------------------------------------
 
 
@@ -153,6 +173,22 @@ def match_transitions(cells: DataFrame, weights: DataFrame) -> DataFrame:
     return inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg((stays / F.sum("w")).alias("mm")).withColumn("md", 1 - F.col("mm"))
 
 
+def delete_transitions(cells: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted shares of a gap followed by a residue, or by a gap (msa, i, dm, dd), within members' ends."""
+    ends = end_gaps(cells)
+    along = Window.partitionBy("msa", "k").orderBy("i")
+    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").withColumn("next", F.lead("r").over(along)).where("r = '-' and next is not null")
+    leaves = F.sum(F.when(F.col("next") != "-", F.col("w")).otherwise(0.0))
+    return inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg((leaves / F.sum("w")).alias("dm")).withColumn("dd", 1 - F.col("dm"))
+
+
+def insert_transitions(runs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted shares of an inserted residue followed by a match, or by another insert (msa, after, im, ii).
+    runs: (msa, k, after, n)."""
+    out = runs.join(weights, ["msa", "k"]).groupBy("msa", "after").agg((F.sum("w") / F.sum(F.col("w") * F.col("n"))).alias("im"))
+    return out.withColumn("ii", 1 - F.col("im"))
+
+
 def effective_number(freqs: DataFrame) -> DataFrame:
     """Two to the entropy of each column (msa, i, neff)."""
     return freqs.groupBy("msa", "i").agg(F.pow(F.lit(2.0), -F.sum(F.col("f") * F.log2("f"))).alias("neff"))

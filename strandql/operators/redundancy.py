@@ -134,6 +134,70 @@ def neff_filter(rows: DataFrame, target: float, rounds: int = 30) -> DataFrame:
     return per_alignment(rows, choose)
 
 
+def _counts(x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Residue counts (columns, 26) of members, weighted or not."""
+    n, width = x.shape
+    real = x != 255
+    at = (np.arange(width) * 26 + np.where(real, x, 0)).ravel()[real.ravel()]
+    w = None if weights is None else np.repeat(weights, width)[real.ravel()]
+    return np.bincount(at, w, minlength=width * 26)[: width * 26].reshape(width, 26)
+
+
+def henikoff(x: np.ndarray) -> np.ndarray:
+    """Position-based weights of members, summing to 1."""
+    counts = _counts(x)
+    kinds = np.maximum(1, (counts > 0).sum(1))
+    real = x != 255
+    own = counts[np.arange(x.shape[1]), np.where(real, x, 0)]
+    w = np.where(real, 1.0 / (np.maximum(1, own) * kinds), 0.0).sum(1)
+    total = w.sum()
+    return w / total if total else np.full(len(x), 1.0 / max(1, len(x)))
+
+
+def local_columns(x: np.ndarray, end_gaps: float = 0.1, least: int = 10) -> list[tuple[int, float, np.ndarray]]:
+    """(column, effective number, residue frequencies) with weights of each column's own sub-alignment: the members with a
+    residue there, over the columns that at most a share of them misses by end gaps; with fewer than ``least`` such columns
+    the whole alignment's weights. Columns of the same members are worked out once."""
+    n, width = x.shape
+    real = x != 255
+    place = np.arange(width)
+    first = np.where(real.any(1), real.argmax(1), width)
+    last = np.where(real.any(1), width - 1 - real[:, ::-1].argmax(1), -1)
+    inside = (place >= first[:, None]) & (place <= last[:, None])
+    whole, known, out = henikoff(x), {}, []
+    for i in range(width):
+        key = real[:, i].tobytes()
+        if key not in known:
+            idx = np.flatnonzero(real[:, i])
+            used = np.flatnonzero((~inside[idx]).sum(0) <= end_gaps * len(idx)) if len(idx) else np.zeros(0, dtype=int)
+            if len(used) < least:
+                used, w = np.arange(width), whole[idx]
+            else:
+                w = henikoff(x[np.ix_(idx, used)])
+            w = w / w.sum() if w.sum() else w
+            f = _counts(x[np.ix_(idx, used)], w)
+            total = f.sum(1)
+            f = f[total > 0] / total[total > 0, None]
+            entropy = -(f * np.log2(np.where(f > 0, f, 1.0))).sum(1)
+            known[key] = idx, w, float(2 ** entropy.mean()) if len(entropy) else 1.0
+        idx, w, neff = known[key]
+        f = np.bincount(x[idx, i], w, minlength=26)[:26] if len(idx) else np.zeros(26)
+        out.append((i + 1, neff, f / f.sum() if f.sum() else f))
+    return out
+
+
+def local_profiles(rows: DataFrame) -> DataFrame:
+    """Columns of each alignment by its position-specific weights: (msa, i, neff, r, f) where f > 0."""
+    kinds = dict(rows.dtypes)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("k", kind="stable")
+        out = [(f["msa"].iloc[0], i, neff, chr(65 + a), v) for i, neff, freq in local_columns(codes(f["row"].tolist())) for a, v in enumerate(freq) if v > 0]
+        return pd.DataFrame(out, columns=["msa", "i", "neff", "r", "f"])
+
+    return rows.select("msa", "k", "row").groupBy("msa").applyInPandas(run, f"msa {kinds['msa']}, i long, neff double, r string, f double")
+
+
 def most_dissimilar(rows: DataFrame, n: int, max_id: int = 90) -> DataFrame:
     """About n members to show: the largest identity threshold, from 10 up, that still leaves no more than n."""
 

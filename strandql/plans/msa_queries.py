@@ -65,6 +65,18 @@ def match_transitions(spark, sf_dir):
     return msa.match_transitions(c, _weights(c)).select("msa", "i", F.round("mm", 6).alias("mm"), F.round("md", 6).alias("md"))
 
 
+def delete_transitions(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return msa.delete_transitions(c, _weights(c)).select("msa", "i", F.round("dm", 6).alias("dm"), F.round("dd", 6).alias("dd"))
+
+
+def insert_transitions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.lit("d").alias("msa"), F.col("doc_id").alias("k"), F.regexp_replace("text", "[^A-Za-z]", "-").alias("a3m"))
+    even = docs.select(F.lit("d").alias("msa"), F.col("doc_id").alias("k"), F.lit(1.0).alias("w"))
+    return msa.insert_transitions(msa.insert_runs(rows, "a3m"), even).select("after", F.round("im", 6).alias("im"), F.round("ii", 6).alias("ii"))
+
+
 def neff_columns(spark, sf_dir):
     c = cells(spark, sf_dir)
     return msa.effective_number(msa.column_frequencies(c, _weights(c))).select("msa", "i", F.round("neff", 6).alias("neff"))
@@ -121,6 +133,8 @@ SQL = {
     "henikoff_weights": f"with {_W} select msa, k, round(w, 8) as w from w",
     "column_freqs": f"with {_F} select msa, i, r, round(f, 6) as f from f",
     "match_transitions": f"with {_W}{_ENDS}, n as (select cells.msa, cells.k, i, r, lead(r) over (partition by cells.msa, cells.k order by i) as nx from cells join ends on cells.msa = ends.msa and cells.k = ends.k where i between \"first\" and \"last\"), t as (select msa, i, sum(case when nx <> '-' then w else 0 end) / sum(w) as mm from n join w using (msa, k) where r <> '-' and nx is not null group by 1, 2) select msa, i, round(mm, 6) as mm, round(1 - mm, 6) as md from t",
+    "delete_transitions": f"with {_W}{_ENDS}, n as (select cells.msa, cells.k, i, r, lead(r) over (partition by cells.msa, cells.k order by i) as nx from cells join ends on cells.msa = ends.msa and cells.k = ends.k where i between \"first\" and \"last\"), t as (select msa, i, sum(case when nx <> '-' then w else 0 end) / sum(w) as dm from n join w using (msa, k) where r = '-' and nx is not null group by 1, 2) select msa, i, round(dm, 6) as dm, round(1 - dm, 6) as dd from t",
+    "insert_transitions": "with p as (select doc_id as k, regexp_extract_all('-' || regexp_replace(text, '[^A-Za-z]', '-', 'g'), '[A-Z-][^A-Z-]*') as parts from documents), u as (select k, unnest(generate_series(0, len(parts) - 1)) as after, unnest(parts) as part from p), t as (select after, cast(count(*) as double) / sum(length(part) - 1) as im from u where length(part) > 1 group by 1) select after, round(im, 6) as im, round(1 - im, 6) as ii from t",
     "neff_columns": f"with {_N} select msa, i, round(neff, 6) as neff from cn",
     "neff_alignment": f"with {_N} select msa, round(neff, 6) as neff, round(pairs, 6) as pairs from an",
     "background_freqs": f"with {_N}, p as (select unnest(string_split('{LETTERS}', '')) as r), b as (select msa, r, coalesce(s, 0) + 100.0 * 0.05 / neff as raw from an cross join p left join (select msa, r, sum(f) as s from f group by 1, 2) using (msa, r)) select msa, r, round(raw / sum(raw) over (partition by msa), 6) as pav from b",

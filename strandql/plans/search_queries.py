@@ -7,7 +7,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import context, dp, hits, iterate, redundancy
+from strandql.operators import context, dp, hits, iterate, msa, redundancy
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, table
 
@@ -73,6 +73,12 @@ def display_filter(spark, sf_dir):
     return redundancy.most_dissimilar(alignment_rows(spark, sf_dir), 10)
 
 
+def local_profiles(spark, sf_dir):
+    """Position-specific weighting of the names of each brand's parts: columns, effective number, commonest residue."""
+    f = redundancy.local_profiles(msa.text_rows(table(spark, sf_dir, "part"), F.col("p_brand"), F.col("p_partkey"), F.col("p_name")))
+    return f.groupBy("msa", "i").agg(F.round(F.max("neff"), 6).alias("neff"), F.max_by("r", F.struct("f", "r")).alias("r"))
+
+
 def _names(spark, sf_dir, name, key, col):
     """Texts as profiles (name, p): each letter's column has 0.81 of its own letter and 0.01 of every other."""
     seq = F.filter(F.split(F.translate(upper_ascii(F.col(col)), "UBZ", "CDE"), ""), lambda c: F.lit(LETTERS).contains(c) & (c != ""))
@@ -173,7 +179,7 @@ def independent_hits(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        top_hits, ungapped_prefilter, gapped_prefilter, seqid_filter, diversity_filter, neff_filter, display_filter, viterbi, posterior_mac, tabular_hits,
+        top_hits, ungapped_prefilter, gapped_prefilter, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
         state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }

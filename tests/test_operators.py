@@ -244,3 +244,47 @@ def test_models(spark):
     tr = spark.createDataFrame(pd.DataFrame([{"hmm": 1, "i": 1, "m2m": 1.0, "m2i": 0.0, "m2d": 0.0, "i2m": 1.0, "i2i": 0.0, "d2m": 1.0, "d2d": 0.0, "neff_m": 2.0, "neff_i": 0.0, "neff_d": 0.0}]))
     r = profiles.transition_pseudocounts(tr).first()
     assert r["m2m"] + r["m2i"] + r["m2d"] == pytest.approx(1) and r["i2m"] + r["i2i"] == pytest.approx(1) and 0 < r["m2i"] < 0.1
+
+
+def test_codecs():
+    from strandql.functions import codecs
+
+    x = np.linspace(0, 1, 101)
+    assert np.abs(codecs.from_8_bit(codecs.to_8_bit(x)) - x).max() < 0.03 and codecs.from_8_bit(codecs.to_8_bit([0.0, 1.0])).tolist() == [0.0, 1.0]
+    assert np.allclose(codecs.from_16_bit(codecs.to_16_bit(x)), x, atol=1e-3)
+    blocks = [(127, 0), (3, -5), (0, -127)]
+    assert codecs.unpack_blocks(codecs.pack_blocks(70000, 12, blocks)) == (70000, 12, blocks)
+    cells = [(1, 2, 0.5), (2, 3, 0.25), (4, 5, 1.0), (7, 1, 0.125)]
+    back = codecs.unpack_matrix(codecs.pack_matrix(cells))
+    assert sorted((i, j) for i, j, _ in back) == sorted((i, j) for i, j, _ in cells)
+
+
+def test_local_weights():
+    x = redundancy.codes(["ACDEFGHIKLMN", "ACDEFGHIKLMN", "WCDEFGHIKLMY", "----------MN"])
+    cols = redundancy.local_columns(x)
+    assert len(cols) == 12 and all(f.sum() == pytest.approx(1) and 1 <= n <= 20 for _, n, f in cols)
+    assert cols[0][2][0] == pytest.approx(0.5, abs=0.15) and cols[1][2][2] == 1.0
+    assert redundancy.henikoff(x).sum() == pytest.approx(1)
+
+
+def test_compressed_members(spark):
+    seqs = spark.createDataFrame([(1, "MMACDEFGH"), (2, "ACWW")], "entry int, residues string")
+    members = spark.createDataFrame([("m", 0, 1, "AC--DE"), ("m", 1, 2, "--ACWW"), ("m", 2, 2, "QQQ---")], "msa string, k int, entry int, row string")
+    c = msa.compressed_members(members, seqs)
+    heads = spark.createDataFrame([(1, ">one"), (2, ">two")], "entry int, header string")
+    got = sorted((r["k"], r["row"], r["header"]) for r in msa.extracted_members(c, seqs, heads).collect())
+    assert got == [(0, "AC--DE", ">one"), (1, "--ACWW", ">two")]
+
+
+def test_downstream(spark):
+    from strandql.operators import ranking
+
+    assert ranking.tagged_columns("MKHHHHHHAAAAAAAAAAAA")[:3] == [0, 1, 2] and ranking.tagged_columns("MKV") == []
+    p = spark.createDataFrame([("a", "DYKDDDDKM", [[1.0, 0.0]] * 9)], "name string, consensus string, p array<array<double>>")
+    assert ranking.neutral_tags(p, [0.5, 0.5]).first()["p"] == [[0.5, 0.5]] * 8 + [[1.0, 0.0]]
+    net = ranking.ranking_net([F.lit(1.0), F.lit(2.0)], [([1.0, -1.0], 0.5)], [2.0], -1.0)
+    z = 1 / (1 + np.exp(0.5))
+    assert spark.range(1).select(net).first()[0] == pytest.approx(1 / (1 + np.exp(-(2 * z - 1))))
+    h = spark.createDataFrame([("a", "b", 1, 5, 2, 6, 0.1, 1, 0.5), ("a", "a", 1, 5, 1, 5, 0.0, 2, 0.1)], "query string, target string, i1 int, i2 int, j1 int, j2 int, eval double, line int, pval double")
+    assert sorted((r["query"], r["i1"]) for r in ranking.conjugate(h).collect()) == [("a", 1), ("b", 2)]
+    assert ranking.chosen(h, index=[1], max_e=1.0).count() == 1
