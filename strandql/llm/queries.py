@@ -34,8 +34,9 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, each with the items found in it."""
     out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+    return out.where("contaminated").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
