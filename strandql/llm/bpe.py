@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandql.llm.common import bounded_batches
+
 #: Characters whose classes are the same in every Unicode version of the two regular-expression engines.
 STABLE = regex.compile(r"[^\u0000-՗؀-ݿऀ-ॿ‐-‧₠-₿　-ヾ一-鿿가-힣]")
 #: The fixed split pattern of byte-level vocabularies.
@@ -33,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 INF = np.int32(2**31 - 1)
 #: Pairs of the longest piece that is merged in a numpy row; longer ones get a tree of their own.
 ROW_PAIRS = 64
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -298,7 +300,7 @@ def bpe(path: str) -> ByteBpe:
 
 
 #: Characters that a worker encodes at once; a batch of rows is cut at this size.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 
 
 def _cuts(texts: list[str]) -> Iterator[slice]:
@@ -312,6 +314,19 @@ def _cuts(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def _parts(batch) -> Iterator[tuple]:
+    """(ids, texts) of an Arrow batch of (id, text), a few texts at a time, so that few are Python strings at once."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(size) // BATCH_CHARS
+    bounds = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(bounds, bounds[1:]):
+        if hi > lo:
+            part = batch.slice(lo, hi - lo)
+            yield part.column(0), ["" if t is None else t for t in part.column(1).to_pylist()]
+
+
 def encode_udf(path: str):
     """text -> array of ids."""
 
@@ -366,15 +381,15 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         model = bpe(path)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for cut in _cuts(texts):
-                ids = model.encode_batch(texts[cut])
+            for rows, texts in _parts(b):
+                ids = model.encode_batch(texts)
                 sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 flat = np.concatenate(ids)
-                arrays = [b.column(0).slice(cut.start, cut.stop - cut.start), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([model.decode(x.tolist()) for x in ids], pa.string())]
+                arrays = [rows, pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([model.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids", "decoded"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, out)
 
 
@@ -389,11 +404,11 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
         model = bpe(path)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for cut in _cuts(texts):
-                ids = model.encode_batch(texts[cut])
-                same = [model.decode(x.tolist()) == t for x, t in zip(ids, texts[cut])]
-                arrays = [b.column(0).slice(cut.start, cut.stop - cut.start), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_())]
+            for rows, texts in _parts(b):
+                ids = model.encode_batch(texts)
+                same = [model.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+                arrays = [rows, pa.array(list(map(len, ids)), pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "token_ids", "decoded_equal"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, out)

@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 #: Used where the session names no checkpoint folder, as in tests.
 LOCAL_SHARED = "/tmp/strandql-shared"
 
+#: Bytes of an Arrow batch, and the bound that Spark has by itself.
+ARROW_BYTES, SPARK_ARROW_BYTES = "8m", "67108864b"
+
 #: Words are runs of anything but these ASCII white-space characters.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES, where the session keeps Spark's own bound: whole texts are wide rows, and a
+    task holds a batch several times (in the engine, in Arrow, as Python strings)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SPARK_ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

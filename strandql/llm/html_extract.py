@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandql.llm.common import bounded_batches
+
 # Elements of HTML by their part in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -270,4 +272,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
+    bounded_batches(df.sparkSession)
     return df.select(id_col, url_col, F.col(html_col).cast("string").alias("html")).mapInArrow(run, out)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandql.llm.common import bounded_batches
+
 SAMPLE_DOCS, BITS, CHUNK, UNKNOWN = 4000, 12, 1 << 20, "und"
 #: Families of ISO 639-1 codes. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -159,6 +161,7 @@ def short_cut(text: str) -> str:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fit on about sample_docs documents with a language; where: which ids may be learned from. None: nothing to learn."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if where is not None:
         known = known.where(where)
@@ -193,6 +196,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict_udf(spark, model: Model | None):
     """text -> struct of lang_pred and score."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

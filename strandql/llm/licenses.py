@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandql.llm.common import bounded_batches
 from strandql.llm.license_texts import TEMPLATES
 
 K, WINDOW, MAX_BAND = 3, 4, 8
@@ -149,4 +150,5 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: st
                 rows = [[dict(zip(fields, m)) for m in find(t, idx)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _MATCH)], names=[id_col, "matches"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("matches", MATCH)]))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandql.llm.common import bounded_batches
+
 TRAIN_ROWS, BINS, TREES, DEPTH, RATE, RIDGE = 20_000, 64, 80, 5, 0.15, 1.0
 
 NAMES = ["log_chars", "log_words", "word_length", "letters", "upper", "digits", "spaces", "symbols", "pipes", "exclaims", "punctuation", "ends", "distinct", "adjacent", "repeat8", "repeat3", "dup_lines", "line_length", "line_ends", "short_words", "top_char", "entropy", "brackets", "wide", "case_changes"]
@@ -126,6 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Forest:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, train_rows: int = TRAIN_ROWS) -> Forest:
     """Fit on at most train_rows labelled documents. where: a condition on the labels' id."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         known = known.where(where)
@@ -149,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_udf(spark, forest: Forest):
     """text -> score between 0 and 1."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")

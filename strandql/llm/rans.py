@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandql.llm.bpe import ByteBpe
-from strandql.llm.common import dropped, new_folder, stored
+from strandql.llm.common import bounded_batches, dropped, new_folder, stored
 
 SCALE, LANES, STEPS, BLOCK_IDS = 18, 2048, 128, 1 << 19
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
@@ -274,6 +274,7 @@ def _tokens(df: DataFrame, path: str, end_id: int, dtype: str, size: int, id_col
                 counts = [None] * (len(ids) - 1) + [_pack(total.astype("<i8").tobytes())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(x.tobytes() + end) for x in ids], pa.binary()), pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
