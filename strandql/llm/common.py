@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandql.session import reachable
+
 #: Used where the session names no checkpoint folder, as in tests.
 LOCAL_SHARED = "/tmp/strandql-shared"
 
@@ -19,7 +21,8 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ARROW_BYTES, where the session keeps Spark's own bound: whole texts are wide rows, and a
-    task holds a batch several times (in the engine, in Arrow, as Python strings)."""
+    task holds a batch several times (in the engine, in Arrow, as Python strings). Workers are led to this package too."""
+    reachable(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SPARK_ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
