@@ -22,8 +22,9 @@ from strandql.llm.common import stored, text_of
 #: Kinds in their order, each with its pattern, the group that holds the value, and the least lengths of match and value.
 KINDS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 0, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20, 0),
-    ("hex", r"[0-9a-f]+", 0, 24, 0),
+    # Runs are taken whole, so their least length may stand in the pattern: shorter ones hold no match either way.
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, 0),
+    ("hex", r"[0-9a-f]{24,}", 0, 24, 0),
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}", 0, 0, 0),
     ("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{6,200})@", 1, 0, 0),
     ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 0, 0),
