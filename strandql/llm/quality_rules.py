@@ -5,8 +5,8 @@ buckets are counted: the raw corpus (every document) and a trusted target (docum
 of a document is the mean log ratio of its n-grams, in whole micro-nats, so that the sum doesn't depend on its
 order. A document is kept if no counted rule rejects it and its score reaches a fixed threshold.
 
-The trusted list is at most ``trusted_rows`` ids of smallest hash (a documented bound, so it is broadcast); the counts
-cover whole texts of all documents. The weight table is bounded by BUCKETS.
+Both counts cover whole texts: the raw one of all documents, the target's of all trusted ones. The trusted ids are
+broadcast if a count shows few of them, else the join shuffles. The weight table is bounded by BUCKETS.
 
 Null and empty texts have no words and fail by the word count; a text without n-grams scores 0; repeated rows give
 repeated rows (they are grouped by id and text hash, and dealt out again by their number); without trusted
@@ -22,18 +22,25 @@ from pyspark.sql import functions as F
 
 from strandql.llm.common import text_of
 
-BUCKETS, TRUSTED_ROWS, SMOOTHING, WINDOW = 1 << 16, 20_000, 1.0, 8
+BUCKETS, SMOOTHING, WINDOW = 1 << 16, 1.0, 8
+#: Trusted ids that a broadcast may hold.
+BROADCAST_IDS = 1_000_000
 #: Mean micro-nats an n-gram below which a document is rejected.
 THRESHOLD = -120_000
 SYMBOLS = "[#*$%&|<>]"
 BREAK, BREAKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
+def _split() -> Column:
+    """The words of ``text``; none: an empty array."""
+    trimmed = F.btrim("text", F.lit(BREAKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK)).alias("words")
+
+
 def with_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, fp (hash of the text), text and words (none: an empty array)."""
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    trimmed = F.btrim("text", F.lit(BREAKS))
-    return docs.select("id", F.xxhash64("text").alias("fp"), "text", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK)).alias("words"))
+    return docs.select("id", F.xxhash64("text").alias("fp"), "text", _split())
 
 
 def repeated_words(df: DataFrame) -> DataFrame:
@@ -79,11 +86,14 @@ def _grams() -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(F.lit(1), word), F.lit(BUCKETS)).cast("int"), F.when(F.col("pos") > 0, F.pmod(F.xxhash64(F.lit(2), end(before), end(word)), F.lit(BUCKETS)).cast("int"))
 
 
-def weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket and weight (micro-nats, whole): the log ratio of the trusted and the raw multinomial.
     trusted: a table whose first column holds the ids of trusted documents."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
-    words = with_words(df, id_col, text_col).select("id", "words").join(F.broadcast(ids.withColumn("good", F.lit(1))), "id", "left")
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
+    # Beyond the bound whole texts move, but not their words.
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    words = docs.join(ids.withColumn("good", F.lit(1)), "id", "left").select("good", _split())
     one, two = _grams()
     each = words.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), "words", F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").select("good", F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null")
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).persist()

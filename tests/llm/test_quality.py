@@ -102,6 +102,16 @@ def test_rules(spark, docs, no_docs, texts):
     assert {r["llr"] for r in quality_rules.score(docs, quality_rules.weights(docs, no_docs.select("doc_id"))).collect()} == {0.0}
 
 
+def test_rules_count_every_trusted_document(spark, docs, monkeypatch):
+    many = spark.range(25_000).selectExpr("id as doc_id", "concat('w', id % 7, ' x') as text")
+    assert {r["weight"] for r in quality_rules.weights(many, many.select("doc_id")).collect()} == {0}
+    good = docs.where("doc_id in (2, 7, 9)").select("doc_id")
+    table = lambda: {r["bucket"]: r["weight"] for r in quality_rules.weights(docs, good).collect()}
+    near = table()
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 1)
+    assert table() == near and any(near.values())
+
+
 def base_spans(text):
     out = []
     kinds = [("assign", secrets.KINDS[0][1], lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
