@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -90,3 +91,16 @@ def test_decontamination(spark, docs, no_docs):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(no_docs, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench).count() == docs.count()
+
+
+def test_masks_leave_a_seed_in_every_overlap(spark):
+    # (aligned words, words exchanged at most): what the rule counts for items of 13 and more, 12 and 11 words.
+    cases = [(n, set(gone)) for n, most in ((13, 2), (12, 1), (11, 1), (10, 0)) for k in range(most + 1) for gone in combinations(range(n), k)]
+    for n, gone in cases:
+        assert any(not gone & {s + k for k in m} for m in decontaminate.MASKS for s in range(n - m[-1])), (n, gone)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (11, 12, 13)]
+    swaps = [(n, gone) for n, gone in cases if n > 10 and len(gone) == (2 if n == 13 else 1)]
+    rows = [(k, n, "before " + " ".join("other" if j in gone else w for j, w in enumerate(dict(items)[n])) + " after") for k, (n, gone) in enumerate(swaps)]
+    rows += [(len(rows), 11, " ".join(items[0][1][:10])), (len(rows) + 1, 11, "and " + " ".join(items[0][1][1:]))]
+    found = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, n long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")).collect()
+    assert {(r["id"], r["item"]) for r in found} == {(k, n) for k, n, _ in rows}
