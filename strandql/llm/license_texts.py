@@ -1,4 +1,4 @@
-"""Public licence notices, as their publishers word them, by SPDX name."""
+"""Public licence notices, whole and as their publishers word them, by SPDX name; and parts that stand alone."""
 
 _MIT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
@@ -8,16 +8,27 @@ _MIT = (
     "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
-_ISC = (
+_ISC_GRANT = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
     'appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
 )
-_BSD2 = (
+_ISC_LIABILITY = (
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD2_TERMS = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
     "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
     "following disclaimer in the documentation and/or other materials provided with the distribution."
 )
-_BSD3 = _BSD2 + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD3_TERMS = _BSD2_TERMS + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+    "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF "
+    "SUCH DAMAGE."
+)
 _APACHE = (
     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
@@ -33,23 +44,36 @@ def _gnu(name: str, version: str) -> str:
     )
 
 
+def _gnu_whole(name: str, version: str) -> tuple[str, str]:
+    """The notice with the last sentence of today and with that of version 2's time; either goes with any version."""
+    copy = f" You should have received a copy of the GNU {name} along with this program"
+    today, then = ". If not, see <https://www.gnu.org/licenses/>.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    return _gnu(name, version) + copy + today, _gnu(name, version) + copy + then
+
+
+_GNU = {"GPL-3.0": ("General Public License", "3"), "GPL-2.0": ("General Public License", "2"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
-_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."
+_UNLICENSE_GRANT = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"
+_UNLICENSE_REST = (
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of "
+    "this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs "
+    "and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+    '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT '
+    "SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+    "OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+)
 _CC = {"CC-BY-4.0": "Creative Commons Attribution 4.0 International License", "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International License"}
 
 #: (name, text): whole notices first, then the one-line forms.
 TEMPLATES = [
     ("MIT", _MIT),
-    ("ISC", _ISC),
-    ("BSD-2-Clause", _BSD2),
-    ("BSD-3-Clause", _BSD3),
+    ("ISC", f"{_ISC_GRANT} {_ISC_LIABILITY}"),
+    ("BSD-2-Clause", f"{_BSD2_TERMS} {_BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_BSD3_TERMS} {_BSD_DISCLAIMER}"),
     ("Apache-2.0", _APACHE),
-    ("GPL-3.0", _gnu("General Public License", "3")),
-    ("GPL-2.0", _gnu("General Public License", "2")),
-    ("LGPL-3.0", _gnu("Lesser General Public License", "3")),
-    ("AGPL-3.0", _gnu("Affero General Public License", "3")),
+    *((k, t) for k, v in _GNU.items() for t in _gnu_whole(*v)),
     ("MPL-2.0", _MPL),
-    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE_GRANT}, {_UNLICENSE_REST}"),
     *((k, f"This work is licensed under a {v}.") for k, v in _CC.items()),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -65,3 +89,16 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
     *((f"{n}", f"SPDX-License-Identifier: {n}") for n in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "MPL-2.0", "ISC")),
 ]
+
+#: (name, text): parts of whole notices, found where the rest is missing and measured against the whole. The disclaimer is
+#: the same in both BSD notices; alone it goes by the shorter one.
+PARTS = [
+    ("ISC", _ISC_GRANT),
+    ("ISC", _ISC_LIABILITY),
+    ("BSD-2-Clause", _BSD2_TERMS),
+    ("BSD-3-Clause", _BSD3_TERMS),
+    ("BSD-2-Clause", _BSD_DISCLAIMER),
+    *((k, _gnu(*v)) for k, v in _GNU.items()),
+    ("Unlicense", _UNLICENSE_GRANT),
+    ("Unlicense", _UNLICENSE_REST),
+]

@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case. Templates' K-word grams are
 grams the one of least hash, a template of fewer grams keeps its least) into an inverted index. All grams of a
 document are looked up, so every stretch of WINDOW + K - 1 template words is found. Hits of near diagonals make one
 candidate; the template is aligned with the text around it inside a band (match +2, mismatch and gap -1), which gives
-the matched words, their share of the template (coverage) and the span in code points. Of overlapping spans the one with more
+the matched words, their share of the template (coverage) and the span in code points. Parts of notices are templates too,
+but their matches are given against the whole notice's words. Of overlapping spans the one with more
 matched words stays, then the one of higher coverage.
 
 Null and empty texts have no match; repeated rows get equal results; an empty table gives an empty table. Only the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandql.llm.common import bounded_batches
-from strandql.llm.license_texts import TEMPLATES
+from strandql.llm.license_texts import PARTS, TEMPLATES
 
 K, WINDOW, MAX_BAND = 3, 4, 8
 #: Least coverage of a template that is reported; one of at most SHORT words must be there whole.
@@ -37,11 +38,16 @@ class Index:
     """Templates as word codes, and their fingerprints by gram."""
 
     def __init__(self, templates: list[tuple[str, str]]):
+        whole = [n for n, _ in templates]
+        parts = [(n, t) for n, t in PARTS if n in whole]
+        templates = templates + parts
         self.names = [n for n, _ in templates]
         words = [WORD.findall(t.lower()) for _, t in templates]
         self.code = {w: i for i, w in enumerate(sorted({w for t in words for w in t}))}
         self.size = len(self.code)
         self.templates = [[self.code[w] for w in t] for t in words]
+        # Words of the notice; a part's are those of the first template of its name.
+        self.words = [len(t) for t in words[: len(whole)]] + [len(words[whole.index(n)]) for n, _ in parts]
         found: dict[int, list[tuple[int, int]]] = {}
         for t, codes in enumerate(self.templates):
             grams = [(c[0] * self.size + c[1]) * self.size + c[2] for c in zip(codes, codes[1:], codes[2:])]
@@ -116,7 +122,7 @@ def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
             last = start
             got = align(template, codes, start, band)
             if got and got[0] >= (len(template) if len(template) <= SHORT else COVERAGE * len(template)):
-                found.append((got[0], got[0] / len(template), got[1], got[2], t))
+                found.append((got[0], got[0] / idx.words[t], got[1], got[2], t))
     if not found:
         return []
     if len(low) == len(text):
@@ -129,7 +135,7 @@ def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
     for m, _, a, b, t in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
         if not taken[a : b + 1].any():
             taken[a : b + 1] = True
-            out.append((idx.names[t], spans[a][0], spans[b][1], m, len(idx.templates[t])))
+            out.append((idx.names[t], spans[a][0], spans[b][1], m, idx.words[t]))
     return sorted(out, key=lambda x: x[1])
 
 

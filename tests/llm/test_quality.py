@@ -158,6 +158,24 @@ def test_licences(spark, docs, no_docs):
     assert len(rows[11]) == 2 and rows[4] == [] and licenses.scan(no_docs).count() == 0
 
 
+def test_whole_licence_notices():
+    idx = licenses.index(tuple(TEMPLATES))
+    ends = {"ISC": "PERFORMANCE OF THIS SOFTWARE", "BSD-2-Clause": "POSSIBILITY OF SUCH DAMAGE", "BSD-3-Clause": "POSSIBILITY OF SUCH DAMAGE", "Unlicense": "refer to <https://unlicense.org", "GPL-2.0": "see <https://www.gnu.org/licenses", "LGPL-3.0": "see <https://www.gnu.org/licenses"}
+    for name, end in ends.items():
+        notice = dict(reversed(TEMPLATES[:15]))[name]
+        text = f"before {notice} after"
+        ((got, a, b, matched, words),) = licenses.find(text, idx)
+        assert (got, matched) == (name, words) and text[:b].endswith(end) and text[a:b] in notice
+    bsd = dict(reversed(TEMPLATES[:15]))["BSD-2-Clause"]
+    cut = bsd.index("THIS SOFTWARE IS PROVIDED BY")
+    for part in (bsd[:cut], bsd[cut:]):
+        ((got, a, b, matched, words),) = licenses.find(f"before {part} after", idx)
+        assert got == "BSD-2-Clause" and matched == len(licenses.WORD.findall(part)) < words == len(licenses.WORD.findall(bsd))
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0"):  # either last sentence leaves the name as it is
+        for text in (t for n, t in TEMPLATES[:15] if n == name):
+            assert [m[0] for m in licenses.find(text, idx)] == [name]
+
+
 @pytest.mark.parametrize("band", [0, 2])
 def test_alignment_in_band(band):
     assert licenses.align([1, 2, 3], [9, 1, 2, 3, 9], 1, band) == (3, 1, 3)
