@@ -205,7 +205,7 @@ def most_dissimilar(rows: DataFrame, n: int, max_id: int = 90) -> DataFrame:
         keep = np.ones(len(x), dtype=np.int64)
         keep[0] = 2
         best = keep == 2
-        for seqid in range(10, max_id + 1, 5):
+        for seqid in range(min(10, max_id), max_id + 1):
             got = keep_diverse(x, seqid, seqid, len(x) + 1, keep)
             if got.sum() > n:
                 break

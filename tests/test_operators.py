@@ -121,6 +121,21 @@ def test_identity_filter(spark):
     assert redundancy.neff_filter(rows, 1.0).where("kept").count() >= 3
 
 
+def test_display_filter_takes_every_percent(spark):
+    base = "ACDEFGHIKL" * 10
+    # Members that share 87, and one another's 74 or less, of 100 residues with the first.
+    member = lambda a: base[:a] + "W" * 13 + base[a + 13 :]
+    rows = spark.createDataFrame([("m", k, r) for k, r in enumerate([base, member(0), member(20), member(40)])], "msa string, k int, row string")
+    x = redundancy.codes([base, member(0), member(20), member(40)])
+    sizes = {t: int(redundancy.keep_diverse(x, t, t, 5, np.array([2, 1, 1, 1])).sum()) for t in range(10, 91)}
+    for n in (1, 3, 4):
+        want = max(t for t in sizes if all(sizes[u] <= n for u in range(10, t + 1)))
+        kept = redundancy.most_dissimilar(rows, n, 89).where("kept").count()
+        assert kept == sizes[min(want, 89)]
+    assert redundancy.most_dissimilar(rows, 4, 89).where("kept").count() == 4
+    assert redundancy.most_dissimilar(rows, 4, 88).where("kept").count() == sizes[88] == 4 > sizes[85]
+
+
 def test_trees():
     d = np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 4], [6, 6, 4, 0]], dtype=float)
     assert redundancy.upgma(list("abcd"), d) == [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 3.0)]
