@@ -164,13 +164,21 @@ def column_frequencies(cells: DataFrame, weights: DataFrame) -> DataFrame:
     return summed.withColumn("f", F.col("s") / F.sum("s").over(Window.partitionBy("msa", "i"))).drop("s")
 
 
-def match_transitions(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted shares of a residue followed by a residue, or by a gap (msa, i, mm, md), within members' ends."""
+def match_transitions(cells: DataFrame, weights: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Weighted shares of a residue followed by a residue, by an insert, or by a gap (msa, i, mm, mi, md), within members'
+    ends. runs: (msa, k, after, n), the inserts; one after a residue counts whatever column follows it."""
     ends = end_gaps(cells)
     along = Window.partitionBy("msa", "k").orderBy("i")
-    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").withColumn("next", F.lead("r").over(along)).where("r <> '-' and next is not null")
-    stays = F.sum(F.when(F.col("next") != "-", F.col("w")).otherwise(0.0))
-    return inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg((stays / F.sum("w")).alias("mm")).withColumn("md", 1 - F.col("mm"))
+    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").withColumn("next", F.lead("r").over(along)).where("r <> '-'")
+    if runs is None:
+        inside = inside.withColumn("opens", F.lit(False))
+    else:
+        opened = runs.where("n > 0").select("msa", "k", F.col("after").alias("i")).distinct().withColumn("opens", F.lit(True))
+        inside = inside.join(opened, ["msa", "k", "i"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    inside = inside.where("opens or next is not null")
+    part = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0)) / F.sum("w")
+    shares = inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg(part(~F.col("opens") & (F.col("next") != "-")).alias("mm"), part(F.col("opens")).alias("mi"))
+    return shares.withColumn("md", 1 - F.col("mm") - F.col("mi"))
 
 
 def delete_transitions(cells: DataFrame, weights: DataFrame) -> DataFrame:

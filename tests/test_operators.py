@@ -136,6 +136,16 @@ def test_display_filter_takes_every_percent(spark):
     assert redundancy.most_dissimilar(rows, 4, 88).where("kept").count() == sizes[88] == 4 > sizes[85]
 
 
+def test_match_transitions_open_inserts(spark):
+    rows = spark.createDataFrame([("m", 0, "ACDE"), ("m", 1, "AgCD-"), ("m", 2, "Ag-DEkk"), ("m", 3, "A-DE")], "msa string, k int, a3m string")
+    c = msa.long_form(rows.select("msa", "k", msa.without_inserts(F.col("a3m")).alias("row")), "msa", "k", "row")
+    w = spark.createDataFrame([("m", 0, 0.4), ("m", 1, 0.3), ("m", 2, 0.2), ("m", 3, 0.1)], "msa string, k int, w double")
+    got = {r["i"]: (r["mm"], r["mi"], r["md"]) for r in msa.match_transitions(c, w, msa.insert_runs(rows, "a3m")).collect()}
+    assert got[1] == pytest.approx((0.4, 0.5, 0.1)) and got[2] == pytest.approx((1, 0, 0)) and got[3] == pytest.approx((1, 0, 0)) and got[4] == pytest.approx((0, 1, 0))
+    plain = {r["i"]: (r["mm"], r["mi"], r["md"]) for r in msa.match_transitions(c, w).collect()}
+    assert plain[1] == pytest.approx((0.7, 0, 0.3)) and set(plain) == {1, 2, 3}
+
+
 def test_trees():
     d = np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 4], [6, 6, 4, 0]], dtype=float)
     assert redundancy.upgma(list("abcd"), d) == [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 3.0)]
