@@ -81,12 +81,13 @@ def keep_diverse(x: np.ndarray, first_id: int, max_id: int, diversity: int, keep
 
 
 def per_alignment(rows: DataFrame, choose, schema_extra: str = "kept boolean") -> DataFrame:
-    """rows (msa, k, row) with the choice made by ``choose(codes) -> kept`` for each alignment."""
+    """rows (msa, k, row) with the choice made by ``choose(codes, rows) -> kept`` for each alignment."""
     kinds = dict(rows.dtypes)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("k", kind="stable").reset_index(drop=True)
-        return f[["msa", "k"]].assign(kept=choose(codes(f["row"].tolist())))
+        texts = f["row"].tolist()
+        return f[["msa", "k"]].assign(kept=choose(codes(texts), texts))
 
     return rows.select("msa", "k", "row").groupBy("msa").applyInPandas(run, f"msa {kinds['msa']}, k {kinds['k']}, {schema_extra}")
 
@@ -95,7 +96,7 @@ def identity_filter(rows: DataFrame, max_id: int = 90, diversity: int = 0, first
     """Non-redundant members of each alignment (msa, k, kept). Without a diversity one pass at max_id; the first
     member, the query, always stays."""
 
-    def choose(x: np.ndarray) -> np.ndarray:
+    def choose(x: np.ndarray, _: list[str]) -> np.ndarray:
         keep = np.ones(len(x), dtype=np.int64)
         keep[0] = 2
         n = diversity if diversity > 0 else len(x) + 1
@@ -115,21 +116,62 @@ def neff_of(x: np.ndarray) -> float:
     return float(np.mean(out)) if out else 1.0
 
 
-def neff_filter(rows: DataFrame, target: float, rounds: int = 30) -> DataFrame:
-    """Members by their share of residues equal to the query's, the least such share found by bisection so that the
-    alignment's effective number is at most the target."""
+def query_scores(rows: list[str], table: np.ndarray, gap_open: float = 6.0, gap_extend: float = 1.0) -> np.ndarray:
+    """Score a residue of each member against the first, as ``msa.query_score`` has it. table: (26, 26), first's letter, member's."""
+    x = codes(rows)
+    width = x.shape[1]
+    raw = np.frombuffer("".join(r.ljust(width, "-") for r in rows).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(rows), width)
+    real, gap = x != 255, raw == ord("-")
+    out = np.full(len(rows), -np.inf)
+    for k in range(len(rows)):
+        at = np.flatnonzero(~gap[k])
+        if not real[k].any():
+            continue
+        inside = np.arange(at[0], at[-1] + 1)
+        # Both residues, a gap of the query, a gap of the member; the rest scores 0 and holds runs.
+        kind = np.select([real[k] & real[0], real[k] & gap[0], gap[k] & real[0]], [1, 2, 3], 0)[inside]
+        inside, kind = inside[kind > 0], kind[kind > 0]
+        both = inside[kind == 1]
+        longer = np.concatenate([[False], kind[1:] == kind[:-1]]) if len(kind) else np.zeros(0, dtype=bool)
+        cost = np.where(longer, gap_extend, gap_open)[kind > 1].sum()
+        out[k] = (table[x[0, both], x[k, both]].sum() - cost) / real[k].sum()
+    return out
+
 
-    def choose(x: np.ndarray) -> np.ndarray:
-        real = x != 255
-        share = ((x == x[0]) & real).sum(1) / np.maximum(1, real.sum(1))
-        share[0] = np.inf
+def neff_filter(rows: DataFrame, target: float, scores: DataFrame | None = None, max_id: int = 90, coverage: int = 0) -> DataFrame:
+    """Members by their score a residue against the query, the least such score found by bisection so that the
+    alignment's effective number is at most the target. At each step the whole filter runs: coverage (percent of columns),
+    score, and pairwise identity of those left. An alignment within the target stays as it is. scores: (a, b, s) of the
+    query's and the member's residue; without them 4 for equal and -1 for other ones."""
+    table = np.where(np.eye(26, dtype=bool), 4.0, -1.0)
+    if scores is not None:
+        table = np.zeros((26, 26))
+        for r in scores.collect():  # 400 at most
+            table[ord(r["a"]) - 65, ord(r["b"]) - 65] = r["s"]
+    # U, B and Z score as C, D and E.
+    like = np.arange(26)
+    for a, b in zip("UBZ", "CDE"):
+        like[ord(a) - 65] = ord(b) - 65
+    table = table[np.ix_(like, like)]
+
+    def choose(x: np.ndarray, texts: list[str]) -> np.ndarray:
         if neff_of(x) <= target:
             return np.ones(len(x), dtype=bool)
-        lo, hi = 0.0, 1.0
-        for _ in range(rounds):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if neff_of(x[share >= mid]) <= target else (mid, hi)
-        return share >= hi
+        score = query_scores(texts, table)
+        wide = 100 * (x != 255).sum(1) >= coverage * x.shape[1]
+
+        def filtered(least: float) -> np.ndarray:
+            keep = (wide & (score >= least)).astype(np.int64)
+            keep[0] = 2
+            return keep_diverse(x, max_id, max_id, len(x) + 1, keep)
+
+        # Between two neighbouring scores nothing changes, so these are all the thresholds there are; the last leaves the query.
+        steps = np.append(np.unique(score[np.isfinite(score)]), np.inf)
+        lo, hi = -1, len(steps) - 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if neff_of(x[filtered(steps[mid])]) <= target else (mid, hi)
+        return filtered(steps[hi])
 
     return per_alignment(rows, choose)
 
@@ -201,7 +243,7 @@ def local_profiles(rows: DataFrame) -> DataFrame:
 def most_dissimilar(rows: DataFrame, n: int, max_id: int = 90) -> DataFrame:
     """About n members to show: the largest identity threshold, from 10 up, that still leaves no more than n."""
 
-    def choose(x: np.ndarray) -> np.ndarray:
+    def choose(x: np.ndarray, _: list[str]) -> np.ndarray:
         keep = np.ones(len(x), dtype=np.int64)
         keep[0] = 2
         best = keep == 2

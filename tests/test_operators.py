@@ -146,6 +146,22 @@ def test_match_transitions_open_inserts(spark):
     assert plain[1] == pytest.approx((0.7, 0, 0.3)) and set(plain) == {1, 2, 3}
 
 
+def test_neff_filter_by_score(spark):
+    texts = ["ACDEFGHIKL" * 2, "ACDEFGHIKL" * 2, "SCDEFGHIKL" * 2, "SSSSSGHIKL" * 2, "--WWWWWWWWWWWWWWWW--", "ACXEF--IKLACDEFGH-KL"]
+    rows = spark.createDataFrame([("m", k, r) for k, r in enumerate(texts)], "msa string, k int, row string")
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    # A and S are alike: a member of S scores as well as an equal one.
+    alike = spark.createDataFrame([(a, b, 4.0 if a == b or {a, b} == {"A", "S"} else -1.0) for a in letters for b in letters], "a string, b string, s double")
+    table = np.zeros((26, 26))
+    for r in alike.collect():
+        table[ord(r["a"]) - 65, ord(r["b"]) - 65] = r["s"]
+    c = msa.long_form(rows, "msa", "k", "row")
+    want = {r["k"]: r["score"] / r["nres"] for r in msa.query_score(c, alike, 0.0).collect()}
+    assert dict(enumerate(redundancy.query_scores(texts, table))) == pytest.approx(want)
+    kept = {r["k"]: r["kept"] for r in redundancy.neff_filter(rows, 1.2, alike, max_id=95).collect()}
+    assert kept[0] and not kept[1] and kept[2] and not kept[3] and not kept[4]
+
+
 def test_trees():
     d = np.array([[0, 2, 6, 6], [2, 0, 6, 6], [6, 6, 0, 4], [6, 6, 4, 0]], dtype=float)
     assert redundancy.upgma(list("abcd"), d) == [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 3.0)]
