@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,52 +32,107 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 BOILER = {"nav", "aside", "footer", "form", "button", "select", "option", "fieldset", "dialog", "menu", "head", "datalist"}
 CONTENT = {"article", "main"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-BOILER_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "promo", "promotion", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "related", "recommended", "footer", "masthead", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "privacy", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "search", "skip", "tags", "topbar"}
+BOILER_NAMES = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "promo", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "menus",
+    "breadcrumb", "breadcrumbs", "sidebar", "aside", "related", "recommended", "footer", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "newsletter", "subscribe",
+    "subscription", "signup", "login", "popup", "modal", "overlay", "share", "sharing", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "pagination",
+    "pager", "toolbar", "copyright", "topbar",
+}
+#: Names that boilerplate and articles share: weak evidence that the text itself and its neighbours can outvote.
+UNSURE_NAMES = {"banner", "disclaimer", "legal", "masthead", "privacy", "promotion", "search", "skip", "social", "tags", "widget"}
+#: A class that begins so says what stands beside an element, not what it is.
+BESIDE = {"has", "no", "not", "with", "without"}
 CONTENT_NAMES = {"article", "entry", "post", "story", "content", "main", "text", "body"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"table", "ul", "ol", "dl", "div", "article", "section", "body", "main", "aside", "nav", "footer", "header", "form", "td", "blockquote", "select"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name, then its value, so that what stands in a value is never taken for a name.
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z]+")
 
 # The classifier's weights and the graph's, in hundredths of a nat.
-W_BIAS, W_LENGTH, W_LINKS, W_STOP, W_HEADING, W_BOILER, W_INSIDE, W_OUTSIDE, W_PARAGRAPH = -120, 45, -350, 60, 60, -1500, 500, -500, 100
-NEXT_EDGE, SIBLING_EDGE, COUSIN_EDGE = 60, 50, 20
+W_BIAS, W_LENGTH, W_LINKS, W_STOP, W_HEADING, W_PARAGRAPH = -120, 45, -350, 60, 60, 100
+W_BOILER, W_UNSURE, W_INSIDE, W_OUTSIDE = -1500, -300, 250, -350
+NEXT_EDGE, SIBLING_EDGE, COUSIN_EDGE = 90, 70, 30
 
 
 class Block:
-    __slots__ = ("text", "chars", "link_chars", "tag", "parent", "grand", "boiler", "inside", "heading")
+    __slots__ = ("text", "chars", "link_chars", "tag", "parent", "grand", "boiler", "unsure", "inside", "heading")
 
 
-def _judge(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element marks boilerplate, and whether it marks content."""
+class Open(NamedTuple):
+    """An open element: its own number, and what it and all around it say."""
+
+    tag: str
+    number: int
+    boiler: bool = False
+    unsure: bool = False
+    inside: bool = False
+
+
+def _judge(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element marks boilerplate, marks it weakly, and marks content."""
     if tag in BOILER:
-        return True, False
-    boiler, content = False, tag in CONTENT
+        return True, False, False
+    boiler, unsure, content = False, False, tag in CONTENT
     if attrs and tag not in ("html", "body"):
         for name, *values in ATTR.findall(attrs):
-            value = (values[0] or values[1] or values[2]).lower()
-            name = name.lower()
+            name, value = name.lower(), (values[0] or values[1] or values[2]).lower().strip()
             if name == "role":
                 boiler |= value in BOILER_ROLES
                 content |= value in ("main", "article")
-            elif name in ("hidden", "aria-hidden"):
-                boiler |= name == "hidden" and value != "until-found" or value == "true"
+            elif name == "hidden":
+                boiler |= value != "until-found"
+            elif name == "aria-hidden":
+                boiler |= value == "true"
             elif name == "style":
                 boiler |= "display:none" in value.replace(" ", "")
-            else:
-                names = set(NAME.findall(value))
-                boiler |= bool(names & BOILER_NAMES) and tag not in CONTENT | {"h1"} or tag in CONTENT and bool(names & {"comment", "comments", "related", "ad", "promo"})
-                content |= bool(names & CONTENT_NAMES) and name == "id"
-    return boiler, content and not boiler
+            elif name in ("class", "id"):
+                for word in value.split():
+                    names = NAME.findall(word)
+                    if not names or names[0] in BESIDE:
+                        continue
+                    if tag in CONTENT:
+                        boiler |= not {"comment", "comments", "related", "ad", "promo"}.isdisjoint(names)
+                    elif tag != "h1":
+                        boiler |= not BOILER_NAMES.isdisjoint(names)
+                        unsure |= not UNSURE_NAMES.isdisjoint(names)
+                    content |= name == "id" and not CONTENT_NAMES.isdisjoint(names)
+    return boiler, unsure, content and not boiler
+
+
+class Stack:
+    """The open elements, with the places of each kind, so that no look-up walks over them."""
+
+    def __init__(self) -> None:
+        self.all, self.at, self.scopes = [Open("", 0)], {}, [0]
+
+    def push(self, e: Open) -> None:
+        self.at.setdefault(e.tag, []).append(len(self.all))
+        if e.tag in SCOPES:
+            self.scopes.append(len(self.all))
+        self.all.append(e)
+
+    def cut(self, k: int) -> None:
+        """Close all elements from place k on."""
+        for e in reversed(self.all[k:]):
+            self.at[e.tag].pop()
+            if e.tag in SCOPES:
+                self.scopes.pop()
+        del self.all[k:]
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a kind; 0 if none is open."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of text of a page in page order, each with what stands around it."""
     out: list[Block] = []
-    # Open elements: tag, own number, marks of boilerplate and content so far.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    opened = Stack()
+    stack = opened.all
     count, parts, chars, links, in_link, at = 0, [], 0, 0, False, 0
 
     def end_block() -> None:
@@ -85,11 +141,12 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 b, top = Block(), stack[-1]
-                b.text, b.chars, b.link_chars, b.tag, b.parent = text, max(1, chars), links, top[0], top[1]
-                b.grand = stack[-2][1] if len(stack) > 1 else 0
-                if top[0] in ("p", "li") and len(stack) > 1:  # a paragraph's place is its container
-                    b.parent, b.grand = stack[-2][1], stack[-3][1] if len(stack) > 2 else 0
-                b.boiler, b.inside, b.heading = top[2], top[3], top[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+                b.text, b.chars, b.link_chars, b.tag, b.parent = text, max(1, chars), links, top.tag, top.number
+                b.grand = stack[-2].number if len(stack) > 1 else 0
+                if top.tag in ("p", "li") and len(stack) > 1:  # a paragraph's place is its container
+                    b.parent, b.grand = stack[-2].number, stack[-3].number if len(stack) > 2 else 0
+                b.boiler, b.unsure, b.inside = top.boiler, top.unsure, top.inside
+                b.heading = top.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
                 out.append(b)
             parts, chars, links = [], 0, 0
 
@@ -114,11 +171,9 @@ def blocks(html: str) -> list[Block]:
                 in_link = False
             if tag in ("p", "br"):
                 end_block()
-            if tag not in INLINE and any(x[0] == tag for x in stack):
+            if tag not in INLINE and opened.last(tag):
                 end_block()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                opened.cut(opened.last(tag))
                 in_link = False
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -132,25 +187,20 @@ def blocks(html: str) -> list[Block]:
             end_block()
             in_link = False
             if tag in CLOSES:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] not in SCOPES and stack[k][0] not in CLOSES[tag]:
-                    k -= 1
-                if k > 0 and stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-            elif stack[-1][0] == "p":  # a block element ends an open paragraph
-                stack.pop()
+                k = max(map(opened.last, CLOSES[tag]))
+                if k and k >= opened.scopes[-1]:
+                    opened.cut(k)
+            elif stack[-1].tag == "p":  # a block element ends an open paragraph
+                opened.cut(len(stack) - 1)
             if tag not in VOID:
                 count += 1
-                boiler, content = _judge(tag, attrs)
-                if tag == "header" and not stack[-1][3]:
-                    boiler = True
+                boiler, unsure, content = _judge(tag, attrs)
                 up = stack[-1]
-                stack.append((tag, count, up[2] or boiler, up[3] or content))
+                boiler |= tag == "header" and not up.inside
+                opened.push(Open(tag, count, up.boiler or boiler, up.unsure or unsure, up.inside or content))
         m = TOKEN.search(html, at)
     words(html[at:])
     end_block()
-    if not stack:
-        stack.append(("", 0, False, False))
     return out
 
 
@@ -166,6 +216,8 @@ def evidence(b: Block, has_inside: bool) -> int:
         score += W_PARAGRAPH
     if b.boiler:
         score += W_BOILER
+    elif b.unsure:
+        score += W_UNSURE
     if has_inside:
         score += W_INSIDE if b.inside else W_OUTSIDE
     return score

@@ -2,11 +2,13 @@
 
 Words are runs of letters and digits in lower case. Templates' K-word grams are winnowed (of each WINDOW neighbouring
 grams the one of least hash, a template of fewer grams keeps its least) into an inverted index. All grams of a
-document are looked up, so every stretch of WINDOW + K - 1 template words is found. Hits of near diagonals make one
-candidate; the template is aligned with the text around it inside a band (match +2, mismatch and gap -1), which gives
-the matched words, their share of the template (coverage) and the span in code points. Parts of notices are templates too,
-but their matches are given against the whole notice's words. Of overlapping spans the one with more
-matched words stays, then the one of higher coverage.
+document are looked up, so every stretch of WINDOW + K - 1 template words is found. Hits are chained in the order of both
+template and text; a step between diagonals costs little more than the logarithm of the words put in or left out, so that an
+insertion of any length is crossed where enough of the notice stands on both sides of it. The band of the alignment follows the chain: between
+two hits it is the stretch between them, whole; before the first and after the last it is BAND words wide (match +2,
+mismatch and gap -1). That gives the matched words, their share of the template (coverage) and the span in code points.
+Parts of notices are templates too, but their matches are given against the whole notice's words. Of overlapping
+spans the one with more matched words stays, then the one of higher coverage, then the first.
 
 Null and empty texts have no match; repeated rows get equal results; an empty table gives an empty table. Only the
 named columns are read.
@@ -28,7 +30,9 @@ from pyspark.sql import types as T
 from strandql.llm.common import bounded_batches
 from strandql.llm.license_texts import PARTS, TEMPLATES
 
-K, WINDOW, MAX_BAND = 3, 4, 8
+K, WINDOW, BAND = 3, 4, 8
+#: An end's alignment stops where its score falls so far below the best.
+DROP = 24
 #: Least coverage of a template that is reported; one of at most SHORT words must be there whole.
 COVERAGE, SHORT = 0.75, 8
 WORD = re.compile(r"[^\W_]+")
@@ -64,31 +68,97 @@ def index(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(list(templates))
 
 
-def align(template: list[int], codes: list[int], start: int, band: int) -> tuple[int, int, int] | None:
-    """Best local alignment of template with codes, template word i near codes[start + i] within band:
-    (matched words, first and last place in codes), or None."""
-    n, width = len(codes), 2 * band + 1
-    # score, matched, first of the best alignment that ends at (i, start + i + d - band)
-    score, matched, first = [0] * width, [0] * width, [0] * width
-    best = (0, 0, 0, 0)
+def chains(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Chains of (text place, template place) hits, ascending in both, the best first; every hit is in one chain at most.
+
+    A chain's score is the template words that its grams cover, less 1 + log2(1 + change of diagonal) / 2 for
+    each step off the diagonal. For each
+    template place only the best chain that ends there is held, so a hit costs one pass over the template. Templates of
+    at most SHORT words keep to their diagonals.
+    """
+    end = np.full(size, -np.inf)  # best score of a chain that ends at a template place,
+    place, owner = np.zeros(size, dtype=np.int64), np.full(size, -1)  # where in the text, and with which hit
+    before, score = [-1] * len(hits), [0.0] * len(hits)
+    for h, (pos, i) in enumerate(hits):
+        best, own = float(K), -1
+        if i:
+            ahead, up = pos - place[:i], i - np.arange(i)
+            step = np.abs(ahead - up)
+            gain = end[:i] + np.minimum(np.minimum(ahead, up), K) - (step > 0) - 0.5 * np.log2(1 + step)
+            gain[(ahead <= 0) | (step > size // 4 if size <= SHORT else False)] = -np.inf
+            k = i - 1 - int(gain[::-1].argmax())  # of equal ones the nearest
+            if gain[k] > best:
+                best, own = float(gain[k]), int(owner[k])
+        before[h], score[h] = own, best
+        if best >= end[i] - 1 - 0.5 * np.log2(1 + pos - place[i]):
+            end[i], place[i], owner[i] = best, pos, h
+    used, out = [False] * len(hits), []
+    for h in sorted(range(len(hits)), key=lambda h: (-score[h], h)):
+        chain = []
+        while h >= 0 and not used[h]:
+            used[h] = True
+            chain.append(hits[h])
+            h = before[h]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def common(a: list[int], b: np.ndarray) -> int:
+    """Length of the longest common subsequence of a stretch of the template and one of the text, a row at a time."""
+    if not a or not len(b):
+        return 0
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for w in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == w)))
+    return int(row[-1])
+
+
+def extend(template: list[int], codes: list[int]) -> tuple[int, int]:
+    """Best alignment of the beginnings of two stretches within BAND of their diagonal: matched words, and text words used."""
+    n, width = len(codes), 2 * BAND + 1
+    low = -(1 << 30)
+    score, matched = [low] * width, [0] * width
+    for d in range(BAND, min(width, BAND + n + 1)):
+        score[d] = BAND - d
+    best = (0, 0, 0)
     for i, w in enumerate(template):
-        new_s, new_m, new_f = [0] * width, [0] * width, [0] * width
+        new_s, new_m, top = [low] * width, [0] * width, low
         for d in range(width):
-            at = start + i + d - band
-            if not 0 <= at < n:
+            at = i + d - BAND  # the text word that this cell ends with
+            if at < -1 or at >= n:
                 continue
-            same = codes[at] == w
-            s, m, f = (score[d] + 2, matched[d] + 1, first[d] if score[d] else at) if same else (score[d] - 1, matched[d], first[d])
+            same = at >= 0 and codes[at] == w
+            s, m = (score[d] + (2 if same else -1), matched[d] + same) if at >= 0 else (low, 0)
             if d + 1 < width and score[d + 1] - 1 > s:  # a template word is missing
-                s, m, f = score[d + 1] - 1, matched[d + 1], first[d + 1]
+                s, m = score[d + 1] - 1, matched[d + 1]
             if d and new_s[d - 1] - 1 > s:  # the text has a word more
-                s, m, f = new_s[d - 1] - 1, new_m[d - 1], new_f[d - 1]
-            if s > 0:
-                new_s[d], new_m[d], new_f[d] = s, m, f
-                if same and s > best[0]:
-                    best = (s, m, f, at)
-        score, matched, first = new_s, new_m, new_f
-    return best[1:] if best[0] else None
+                s, m = new_s[d - 1] - 1, new_m[d - 1]
+            new_s[d], new_m[d], top = s, m, max(top, s)
+            if same and s > best[0]:
+                best = (s, m, at + 1)
+        if top < best[0] - DROP:
+            break
+        score, matched = new_s, new_m
+    return best[1:]
+
+
+def align(template: list[int], codes: np.ndarray, chain: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Matched words, and first and last place in codes, of the alignment along a chain of hits."""
+    (first, i), (last, j) = chain[0], chain[-1]
+    reach = i + BAND
+    m, back = extend(template[:i][::-1], codes[max(0, first - reach) : first][::-1].tolist())
+    n, on = extend(template[j + K :], codes[last + K : last + K + len(template) - j - K + BAND].tolist())
+    m += n + K
+    for (p, a), (q, b) in zip(chain, chain[1:]):
+        step = min(q - p, b - a)
+        if q - p == b - a and step <= K:
+            m += step
+        elif step >= K:  # what stands between the grams, and the second gram
+            m += K + common(template[a + K : b], codes[p + K : q])
+        else:  # the grams overlap in one of the two, by a repeated word
+            m += common(template[a + K : b + K], codes[p + K : q + K])
+    return m, first - back, last + K - 1 + on
 
 
 def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
@@ -98,8 +168,7 @@ def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
     low = text.lower()
     words = WORD.findall(low)
     get = idx.code.get
-    codes = [get(w, -1) for w in words]
-    c = np.array(codes, dtype=np.int64)
+    c = np.array([get(w, -1) for w in words], dtype=np.int64)
     if len(c) < K:
         return []
     known = np.flatnonzero((c[:-2] >= 0) & (c[1:-1] >= 0) & (c[2:] >= 0))
@@ -108,21 +177,17 @@ def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
     hit = idx.grams[at] == gram
     if not hit.any():
         return []
-    begins: dict[int, list[int]] = {}
+    begins: dict[int, list[tuple[int, int]]] = {}
     for pos, g in zip(known[hit].tolist(), at[hit].tolist()):
         for t, i in idx.places[g]:
-            begins.setdefault(t, []).append(pos - i)
+            begins.setdefault(t, []).append((pos, i))
     found = []
-    for t, starts in begins.items():
+    for t, hits in begins.items():
         template = idx.templates[t]
-        band, last = min(MAX_BAND, len(template) // 4), None
-        for start in sorted(set(starts)):
-            if last is not None and start - last <= band:
-                continue
-            last = start
-            got = align(template, codes, start, band)
-            if got and got[0] >= (len(template) if len(template) <= SHORT else COVERAGE * len(template)):
-                found.append((got[0], got[0] / idx.words[t], got[1], got[2], t))
+        for chain in chains(hits, len(template)):
+            m, first, last = align(template, c, chain)
+            if m >= (len(template) if len(template) <= SHORT else COVERAGE * len(template)):
+                found.append((m, m / idx.words[t], first, last, t))
     if not found:
         return []
     if len(low) == len(text):
@@ -131,7 +196,7 @@ def find(text: str | None, idx: Index) -> list[tuple[str, int, int, int, int]]:
         grown = np.cumsum([0, *(len(ch.lower()) for ch in text)])
         spans = [(int(np.searchsorted(grown, a, "right")) - 1, int(np.searchsorted(grown, b, "left"))) for a, b in (m.span() for m in WORD.finditer(low))]
     out: list[tuple[str, int, int, int, int]] = []
-    taken = np.zeros(len(codes), dtype=bool)
+    taken = np.zeros(len(c), dtype=bool)
     for m, _, a, b, t in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
         if not taken[a : b + 1].any():
             taken[a : b + 1] = True

@@ -22,7 +22,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs, where=crc_bucket("doc_id", 4) != 2)
     guess = docs.select("doc_id", langid.predict_udf(spark, model)("text").alias("p"))
-    return guess.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score")
+    return guess.select("doc_id", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "p.lang_pred", "p.score")
 
 
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contaminated documents, each with the items found in it."""
+    """Every document with whether it is contaminated, and the items found in it."""
     out = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return out.where("contaminated").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+    return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     forest = quality_gbt.train(docs, read_table(spark, sf_dir, "labels"), where=crc_bucket("doc_id", 5) != 0)
     scored = docs.select("doc_id", quality_gbt.score_udf(spark, forest)("text").alias("score"))
-    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame operations alone.
 
-Patterns propose candidates. Three kinds (assign, access, hex) are always reported; the further ones (pem, url,
-opaque) are proposals whose values are hashed and aggregated over the whole corpus by distinct owners and
-repositories: a value that many owners hold is a copied example, one that few hold looks live. Live proposals
-that no reported span covers are added.
+Patterns propose candidates, whose values are hashed and aggregated over the whole corpus by distinct owners and
+repositories: a value that more than MAX_OWNERS owners or more than MAX_REPOS repositories hold is a copied example, any
+other looks live. Spans of three kinds (assign, access, hex) are always reported, with that verdict; of the further
+kinds (pem, url, opaque) live ones that no reported span covers are added. Only live spans are redacted.
 
 Positions are code points, the end exclusive. They come from the lengths of the matches and of the gaps between
 them, summed along each text, so no row is larger than a text and no step is quadratic in its matches.
@@ -25,15 +25,18 @@ KINDS = [
     # Runs are taken whole, so their least length may stand in the pattern: shorter ones hold no match either way.
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, 0),
     ("hex", r"[0-9a-f]{24,}", 0, 24, 0),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}", 0, 0, 0),
-    ("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{6,200})@", 1, 0, 0),
+    # Every run is taken whole, however long; none can begin twice at the same character, so matching stays linear.
+    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z0-9 ]*PRIVATE KEY-----)?", 0, 0, 0),
+    ("url", r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*)?://[^\s:/@]+:([^\s:/@]{6,})@", 1, 0, 0),
     ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 0, 0),
 ]
 BASE = ("assign", "access", "hex")
 #: A text without this has no span of any kind.
-ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |://[^\s:/@]{1,100}:[^\s:/@]{6,200}@|""" + KINDS[5][1]
-#: A proposal's value is live while at most so many owners hold it.
-MAX_OWNERS = 2
+ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |://[^\s:/@]+:[^\s:/@]{6,}@|""" + KINDS[5][1]
+#: A value is live while at most so many owners and at most so many repositories hold it; beyond either it is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 20
+#: Rows of a value from which on its counts are broadcast, and how many such values a broadcast may hold.
+HOT_ROWS, BROADCAST_VALUES = 10_000, 1_000_000
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -55,21 +58,37 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of each value; pre-aggregated by owner, so a hot value stays small."""
-    pairs = found.where(F.col("value").isNotNull()).groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-
-
-def spans(df: DataFrame, max_owners: int = MAX_OWNERS, **columns: str) -> DataFrame:
+    """Distinct owners and repositories of each value, and its rows; pre-aggregated by owner, so a hot value stays small."""
+    pairs = found.where(F.col("value").isNotNull()).groupBy("value", "owner", "repo").agg(F.count("*").alias("rows"))
+    owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("rows").alias("rows"))
+    return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("rows").alias("rows"))
+
+
+def _owned(placed: DataFrame, own: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """placed with owners and repos of its values. A value of many rows would be one key of the join: such values, of
+    which there are at most rows / hot_rows, are broadcast, and the rest joins by a shuffle without them."""
+    hot = own.where(F.col("rows") >= hot_rows)
+    count = hot.limit(BROADCAST_VALUES + 1).count()
+    own = own.drop("rows")
+    if not 0 < count <= BROADCAST_VALUES:
+        return placed.join(own, "value")
+    hot = F.broadcast(hot.drop("rows").withColumn("_hot", F.lit(True)))
+    met = placed.join(hot, "value", "left")
+    cold = met.where(F.col("_hot").isNull()).drop("owners", "repos", "_hot").join(own, "value")
+    return met.where("_hot").drop("_hot").unionByName(cold)
+
+
+def spans(df: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
     """id, fp (hash of the text), rank, kind, start, end, owners, repos, live: the reported spans of each text.
     columns: id_col, text_col, owner_col, repo_col."""
     found = stored(candidates(df, **columns), "secret-candidates")
+    own = stored(ownership(found), "secret-owners")
     one = found.groupBy("id", "fp", "rank", "kind", "i").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("value").alias("value"))  # repeated rows are equal
     along = Window.partitionBy("id", "fp", "kind").orderBy("i")
     placed = one.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("end") - F.col("size")).where(F.col("value").isNotNull())
     is_base = F.col("kind").isin(*BASE)
-    seen = placed.join(ownership(found), "value").withColumn("live", F.col("owners") <= max_owners).where(is_base | F.col("live"))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    seen = _owned(placed, own).withColumn("live", live).where(is_base | F.col("live"))
     cover = Window.partitionBy("id", "fp").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     seen = seen.withColumn("covered", F.max(F.when(is_base, F.col("end"))).over(cover))
     return seen.where(is_base | F.col("covered").isNull() | (F.col("covered") < F.col("end"))).select("id", "fp", "rank", "kind", "start", "end", "owners", "repos", "live")
@@ -79,9 +98,9 @@ def _joined(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """id and ``found``, the array of spans (start, rank, kind, end, owners, repos, live) in order, of every row of df."""
-    got = spans(df, max_owners, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
+    got = spans(df, max_owners, max_repos, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
     by_text = got.groupBy("id", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repos", "live"))).alias("found"))
     docs = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_fp"))
     on = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_fp") == F.col("fp"))
@@ -89,19 +108,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, sha256 of the base spans, and all spans as text."""
+    """Counts of the base kinds, sha256 of the base spans, all spans as text, how many of them look live, and each span's
+    verdict as text: kind:start:end:owners:repos:live or copied."""
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return scanned.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    live = F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live")
+    said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["owners"].cast("string"), s["repos"].cast("string"), F.when(s["live"], "live").otherwise("copied"))
+    verdicts = F.array_join(F.transform("found", said), ",").alias("verdicts")
+    return scanned.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), live, verdicts)
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """df with every reported span of its texts replaced by mark; other rows and columns as they are.
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """df with every live span of its texts replaced by mark, copied examples and other rows and columns as they are.
 
     Texts without a candidate never move; the others meet their spans by id and hash of the text.
     """
     odd = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    got = spans(df, max_owners, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
+    got = spans(df, max_owners, max_repos, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col).where("live")
     # Spans that overlap become one: a span begins a new island where it starts beyond all ends before it.
     before = Window.partitionBy("id", "fp").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy("id", "fp").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, 0)

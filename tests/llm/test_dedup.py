@@ -83,11 +83,11 @@ def test_decontamination(spark, docs, no_docs):
     item = " ".join(f"Term{i}" for i in range(30))
     swapped = " ".join("other" if i % 9 == 4 else f"term{i}" for i in range(30))
     part = " ".join(f"term{i}," for i in range(8, 22))
-    rows = [(1, item), (1, item), (2, f"before {swapped} after"), (None, item), (3, None), (4, ""), (5, "p q r s t u"), (6, "term1 term2 term3"), (7, f"x y {part} z"), (8, " ".join(f"term{i} x" for i in range(30)))]
-    bench = spark.createDataFrame([(1, item, 0), (2, "Q r s, t u", 0), (3, None, 0), (4, "a b", 0), (1, item, 0)], "item_id long, text string, id int")
+    rows = [(1, item), (1, item), (2, f"before {swapped} after"), (None, item), (3, None), (4, ""), (5, "p q r s t u"), (6, "term1 term2 term3"), (7, f"x y {part} z"), (8, " ".join(f"term{i} x" for i in range(30))), (9, "so a b it is"), (10, "ab A, B"), (11, "Zwölf"), (12, f"{item} {item} and {swapped}")]
+    bench = spark.createDataFrame([(1, item, 0), (2, "Q r s, t u", 0), (3, None, 0), (4, "a b", 0), (1, item, 0), (5, "zwölf", 0), (6, " .,", 0)], "item_id long, text string, id int")
     found = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert len(found) == len(rows)
-    assert {(r["doc_id"], r["contaminated"], tuple(r["items"])) for r in found} == {(1, True, (1,)), (2, True, (1,)), (None, True, (1,)), (3, False, ()), (4, False, ()), (5, True, (2,)), (6, False, ()), (7, True, (1,)), (8, False, ())}
+    assert {(r["doc_id"], r["contaminated"], tuple(r["items"])) for r in found} == {(1, True, (1,)), (2, True, (1,)), (None, True, (1,)), (3, False, ()), (4, False, ()), (5, True, (2,)), (6, False, ()), (7, True, (1,)), (8, False, ()), (9, True, (4,)), (10, True, (4,)), (11, True, (5,)), (12, True, (1,))}
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(no_docs, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench).count() == docs.count()

@@ -43,3 +43,79 @@ def test_table(spark):
     got = H.extract(df).collect()
     assert len(got) == 4 and sorted(len(r["text"]) > 0 for r in got) == [False, False, True, True]
     assert H.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = "<p>A long first sentence that says what this page is about, and why.</p><p>A second sentence follows, long enough to be text as well.</p>"
+TEXT = "A long first sentence that says what this page is about, and why. A second sentence follows, long enough to be text as well."
+
+
+def test_attributes_are_read_by_name():
+    for attrs in (
+        'title="The hidden valley"', 'aria-label="Hidden gems"', 'data-state="hidden"', 'data-id="comments"', 'data-class="ad"', "alt='class=ad'", 'title="id=sidebar role=navigation"', "data-x=hidden",
+        'class="has-sidebar no-nav"', 'class="row with-comments"', 'style="color:red" title="display:none"',
+    ):
+        assert H.main_text(f"<nav><a href=/>Home</a></nav><div {attrs}>{ARTICLE}</div>") == TEXT, attrs
+        assert H.main_text(f"<article {attrs}>{ARTICLE}</article><footer>The end of all.</footer>") == TEXT, attrs
+    for attrs in ("hidden", 'class="x ad y"', "id=comments", 'role = "navigation"', "aria-hidden=true", 'style="DISPLAY: none"', "title='x' class='cookie-notice'"):
+        assert H.main_text(f"<div {attrs}>Some other sentence that is not the article's own text.</div><div>{ARTICLE}</div>") == TEXT, attrs
+
+
+def test_neighbours_decide_weak_blocks():
+    weak = "Fig. 3 above"
+    gain = H.evidence(H.blocks(f"<div>{weak}</div>")[0], False)
+    assert gain < 0  # alone it is boilerplate, between paragraphs of the article it is content
+    assert H.main_text(f"<div>{weak}</div>") == ""
+    assert H.main_text(f"<div>{ARTICLE}<p>{weak}</p>{ARTICLE}</div>") == f"{TEXT} {weak} {TEXT}"
+    # a name that articles use too is outvoted by the text and its neighbours; a plain mark of boilerplate is not
+    assert H.main_text(f"<div>{ARTICLE}<p class=legal>The law says so in its third part.</p>{ARTICLE}</div>") == f"{TEXT} The law says so in its third part. {TEXT}"
+    assert H.main_text(f"<div>{ARTICLE}<p class=advert>The law says so in its third part.</p>{ARTICLE}</div>") == f"{TEXT} {TEXT}"
+    assert H.main_text(f"<div>{ARTICLE}</div><div class=legal>Terms apply</div>") == TEXT
+
+
+def test_long_and_deep_pages():
+    import time
+
+    begun = time.time()
+    assert H.main_text("<div>" * 30_000 + ARTICLE) == TEXT
+    assert H.main_text("<li><div>" + "<x>" * 10_000 + "<li></li>" * 10_000 + ARTICLE) == TEXT
+    many = "".join(f"<p>Sentence number {i} of a very long article, which goes on.</p>" for i in range(20_000))
+    assert H.main_text(f"<article>{many}</article>").count("Sentence") == 20_000
+    assert H.main_text("<article><p>" + "word " * 400_000 + ".</article>").count("word") == 400_000
+    assert time.time() - begun < 30
+
+
+def test_blocks_by_brute_force():
+    """Blocks of plain pages against a reading with the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now = [], []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            self.out += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.now.append(" ") if tag == "br" else None if tag in H.INLINE else self.cut()
+
+        def handle_endtag(self, tag):
+            None if tag in H.INLINE else self.cut()
+
+        def handle_data(self, data):
+            self.now.append(data)
+
+    random.seed(5)
+    for _ in range(200):
+        page = ""
+        for _ in range(random.randrange(1, 12)):
+            tag = random.choice(["p", "div", "section", "h2", "blockquote", "ul"])
+            inner = "".join(random.choice(["a b ", "&amp;", "<b>x</b>", "<br>", " c\n d", "<i class='q>r'>y</i>", "&lt;p&gt; "]) for _ in range(random.randrange(5)))
+            page += f"<{tag} title='a > b'>{inner}</{tag}>" if tag != "ul" else f"<ul><li>{inner}</li><li>z</li></ul>"
+        want = Plain()
+        want.feed(page)
+        want.close()
+        want.cut()
+        assert [b.text for b in H.blocks(page)] == want.out, page
