@@ -9,7 +9,8 @@ State: 64 bits in [2^31, 2^63), renormalised by 32-bit words; frequencies sum to
 
 The files are Parquet so that any store Spark writes to will do, a lost executor's part is written again, and
 commits are atomic: one row per block. ``write`` orders all rows by id (null ids first, equal ids by their
-token ids), one shard per range partition; ``read`` decodes blocks in parallel.
+token ids), one shard per range partition. ``read`` checks each block's sum, cuts it at its checkpoints, deals the
+segments out over all tasks and decodes them apart from each other; a document that spans segments is joined again.
 
 Null and empty texts give the end id alone; repeated rows are kept; an empty table gives empty files; extra
 columns don't matter, as only the id and text columns are read.
@@ -21,6 +22,7 @@ import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandql.llm.bpe import ByteBpe
 from strandql.llm.common import bounded_batches, dropped, new_folder, stored
 
 SCALE, LANES, STEPS, BLOCK_IDS = 18, 2048, 128, 1 << 19
@@ -130,10 +131,15 @@ def decode_segment(words: np.ndarray, first: int, at: int, states: np.ndarray, l
     return out
 
 
-def decode_block(block: dict, t: Tables) -> np.ndarray:
-    """All ids of a block; raises if its checksum doesn't hold."""
+def checked(block: dict) -> None:
+    """Raise if a block's checksum doesn't hold."""
     if zlib.crc32(block["checkpoints"], zlib.crc32(block["states"], zlib.crc32(block["payload"]))) != block["crc"]:
         raise ValueError(f"block {block.get('shard')}.{block.get('block')} is damaged")
+
+
+def decode_block(block: dict, t: Tables) -> np.ndarray:
+    """All ids of a block, one segment after the other."""
+    checked(block)
     n, words = block["n_ids"], np.frombuffer(block["payload"], dtype="<u4").astype(np.uint64)
     parts, steps = segments(block), -(-n // LANES)
     ends = [p[0] for p in parts[1:]] + [steps]
@@ -144,11 +150,10 @@ def decode_block(block: dict, t: Tables) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids as the tokenizers library gives them, found once for each distinct white-space-free chunk.
+    """Ids as the tokenizers library gives them; it encodes each distinct chunk between white space once.
 
     For vocabularies whose normaliser (NFC, white space to one blank, lower case) and pre-tokenizer never look across
-    white space. Chunks of printable Latin characters, where normalising only lowers the case, are split and merged
-    here; the library itself encodes all others.
+    white space.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -161,40 +166,20 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.bpe, self.dtype = ByteBpe(path), dtype
+        self.dtype = dtype
         #: White space beyond ASCII's, as Unicode has it.
         self.odd = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-        self.plain = regex.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]+")
-        self.lines = regex.compile(r"(?:[\n\x21-;=-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]|<(?!\|))+")
-        #: The fixed split pattern of the vocabulary.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
         #: Known chunks with the number of their ids, and all these ids in turn.
         self.known, self.size, self.flat = pa.array([""], pa.string()), np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and the ids."""
-        odd = [] if self.lines.fullmatch("\n".join(words)) else [i for i, w in enumerate(words) if not self.plain.fullmatch(w)]
-        plain = words if not odd else [w for w in words if self.plain.fullmatch(w)]
-        size, flat = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-        if plain:  # all at once: a line for each word, told apart by their ends
-            pieces = pa.array(self.split.findall("\n".join(plain).lower() + "\n"), pa.string()).dictionary_encode()
-            distinct, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-            end = distinct.index("\n")
-            distinct[end] = "n"  # any piece: its ids are left out
-            ids = self.bpe.trees.merge([p.encode() for p in distinct])
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            n[end] = 0
-            ids[end] = b""
-            flat = _gather(np.frombuffer(b"".join(ids), dtype=np.int32), n, codes)
-            size = np.diff(np.cumsum(n[codes])[codes == end], prepend=0).astype(np.int32)
-        if odd:  # the library's own answers, then all in the order of the words
-            ids = np.split(flat, np.cumsum(size)[:-1]) if plain else []
-            for k in range(0, len(odd), 50_000):
-                ids += (np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast([words[i] for i in odd[k : k + 50_000]], add_special_tokens=False))
-            order = np.argsort(np.concatenate([np.setdiff1d(np.arange(len(words)), odd), odd]), kind="stable")
-            ids = [ids[i] for i in order]
-            size, flat = np.array(list(map(len, ids)), dtype=np.int32), np.concatenate(ids)
-        return size, flat
+        size, flat = [], []
+        for k in range(0, len(words), 20_000):
+            ids = [e.ids for e in self.tok.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size[-1].sum())))
+        return np.concatenate(size), np.concatenate(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -340,6 +325,23 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, vocab_size: int, i
 BLOCK_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_n_ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("payload", pa.binary()), ("states", pa.binary()), ("checkpoints", pa.binary()), ("n_checkpoints", pa.int32()), ("crc", pa.int64())])
 
 
+SEGMENT_SCHEMA = "shard long, shard_start long, n_ids long, first long, last long, states binary, words binary, doc_ids array<long>, doc_at array<long>, doc_n_ids array<int>"
+SEGMENT_ARROW = pa.schema([("shard", pa.int64()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int64())), ("doc_n_ids", pa.list_(pa.int32()))])
+
+
+def cut(block: dict) -> list[dict]:
+    """The block's segments with their words and the documents that each holds a part of; raises if its checksum doesn't hold."""
+    checked(block)
+    parts, n = segments(block), block["n_ids"]
+    ends = np.cumsum(block["doc_n_ids"])
+    starts, out = ends - block["doc_n_ids"], []
+    for i, (first, at, states) in enumerate(parts):
+        last, stop = (parts[i + 1][0], 4 * parts[i + 1][1]) if i + 1 < len(parts) else (-(-n // LANES), len(block["payload"]))
+        a, b = np.searchsorted(ends, first * LANES, "right"), np.searchsorted(starts, min(n, last * LANES), "left")
+        out.append({"shard": block["shard"], "shard_start": block["shard_start"], "n_ids": n, "first": first, "last": last, "states": states.tobytes(), "words": block["payload"][4 * at : stop], "doc_ids": block["doc_ids"][a:b], "doc_at": starts[a:b].tolist(), "doc_n_ids": block["doc_n_ids"][a:b]})
+    return out
+
+
 def read(spark: SparkSession, folder: str, what: str = "digest") -> DataFrame:
     """Documents of the files: id, start (ids before it in all files), n_tokens, and ids (what="ids") or their
     crc32 as little-endian unsigned 32-bit integers (what="digest")."""
@@ -348,23 +350,46 @@ def read(spark: SparkSession, folder: str, what: str = "digest") -> DataFrame:
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
     digest = what == "digest"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                for part in cut(b.slice(i, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_pylist([part], schema=SEGMENT_ARROW)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tables(shared.value)
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                ids = decode_block(row, t)
-                ends = np.cumsum(row["doc_n_ids"])
-                docs = np.split(ids.astype("<u4"), ends[:-1])
-                last = pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()) if digest else pa.array([d.tolist() for d in docs], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(docs)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["shard_start"] + ends - row["doc_n_ids"], pa.int64()), pa.array(row["doc_n_ids"], pa.int64()), last], names=["shard", "doc_id", "at", "n_tokens", "last"])
-
-    docs = blocks.mapInArrow(run, f"shard long, doc_id long, at long, n_tokens long, last {'long' if digest else 'array<long>'}")
+                words = np.frombuffer(row["words"], dtype="<u4").astype(np.uint64)
+                ids = decode_segment(words, row["first"], 0, np.frombuffer(row["states"], dtype="<u8"), row["last"], row["n_ids"], t).astype("<u4")
+                at, size, base = np.array(row["doc_at"]), np.array(row["doc_n_ids"]), row["first"] * LANES
+                lo, hi = np.maximum(at - base, 0), np.minimum(at + size - base, len(ids))
+                whole = hi - lo == size
+                got = [ids[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+                crc = [zlib.crc32(x) if w and digest else None for x, w in zip(got, whole)]
+                part = [None if w and digest else x for x, w in zip(got, whole)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(got), pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(at + row["shard_start"]), pa.array(size.astype(np.int64)), pa.array(lo + base), pa.array(crc, pa.int64()), pa.array(part, pa.binary())], names=["shard", "doc_id", "at", "n_tokens", "place", "crc", "part"])
+
+    dealt = blocks.mapInArrow(split, SEGMENT_SCHEMA).repartition("shard", "shard_start", "first")
+    parts = dealt.mapInArrow(decode, "shard long, doc_id long, at long, n_tokens long, place long, crc long, part binary")
+    found = F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("place", "part"))))
+    docs = parts.groupBy("shard", "at", "doc_id", "n_tokens").agg(F.max("crc").alias("crc"), found.alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["part"]))
     # One row per shard, that is per write task: bounded by the number of partitions.
     sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).toPandas().sort_values("shard")
     starts = pd.DataFrame({"shard": sums["shard"].astype("int64"), "before": (sums["n"].cumsum() - sums["n"]).astype("int64")})
     starts = spark.createDataFrame(starts, "shard long, before long")
-    return docs.join(F.broadcast(starts), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", F.col("last").alias("ids_crc32" if digest else "ids"))
+    docs = docs.join(F.broadcast(starts), "shard").withColumn("start", F.col("before") + F.col("at"))
+    if digest:
+        return docs.select("doc_id", "start", "n_tokens", F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in b.column(3).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return docs.select("doc_id", "start", "n_tokens", joined.alias("ids")).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def round_trip(df: DataFrame, path: str, end_id: int, vocab_size: int, what: str = "digest") -> DataFrame:

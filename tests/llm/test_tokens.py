@@ -59,6 +59,13 @@ def test_rans_checkpoints_and_checksum():
     words = np.frombuffer(block["payload"], dtype="<u4").astype(np.uint64)
     last = rans.decode_segment(words, *parts[2], parts[3][0], len(ids), t)  # from a checkpoint alone
     assert (last == ids[parts[2][0] * rans.LANES : parts[3][0] * rans.LANES]).all()
+    # segments as rows: each decodes by itself, and holds the documents that it meets
+    sizes = [1, rans.LANES * rans.STEPS - 1, 5, rans.LANES * rans.STEPS + 9]
+    sizes.append(len(ids) - sum(sizes))
+    rows = rans.cut(block | {"shard": 0, "shard_start": 0, "doc_ids": [7, 8, 9, 10, 11], "doc_n_ids": sizes})
+    assert [r["doc_ids"] for r in rows] == [[7, 8], [9, 10], [10, 11], [11]]
+    got = [rans.decode_segment(np.frombuffer(r["words"], dtype="<u4").astype(np.uint64), r["first"], 0, np.frombuffer(r["states"], dtype="<u8"), r["last"], len(ids), t) for r in rows[::-1]]
+    assert (np.concatenate(got[::-1]) == ids).all()
     block["payload"] = b"\1\2\3\4" + block["payload"][4:]
     with pytest.raises(ValueError):
         rans.decode_block(block, t)
@@ -97,6 +104,16 @@ def test_rans_table(docs, no_docs, texts):
     assert all(r["ids"] == ids[r["doc_id"]].tolist() for r in back)
 
 
+def test_rans_documents_over_segments(spark):
+    """Documents longer than a segment, in blocks of several, come back whole."""
+    rows = [(i, " ".join(f"w{i * 7 + k % 50}" for k in range(n))) for i, n in enumerate([0, 3, 140_000, 5, 90_000, 1, 200_000])]
+    got = {r["doc_id"]: r for r in rans.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), WORD, 2, 49_408).collect()}
+    assert len(got) == len(rows) and max(r["n_tokens"] for r in got.values()) > rans.LANES * rans.STEPS
+    for i, t in rows:
+        ids = np.array([*word_library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_random_unicode():
     random.seed(4)
     texts = ["".join(chr(random.choice([random.randrange(1, 0xD800), random.randrange(0xE000, 0x20000)])) for _ in range(200)) for _ in range(50)]
