@@ -1,15 +1,22 @@
 """Alignments in long form: one row for each residue (or gap) of each member at each column.
 
 Rows are (msa, k, i, r): alignment, member, column from 1, symbol. Long form is a narrow generator over the row texts
-and stays inside code generation; whatever is summed over it is pre-aggregated before it moves.
+and stays inside code generation.
+
+Figures of columns take row texts (msa, k, row). These are cut into blocks of BLOCK columns, and the blocks of an alignment
+meet by (msa, block): that moves a byte a cell. Everything of a column is then counted where it lies, the 20 residues as
+one vector, and nothing else moves but sums. The members of a large alignment are dealt over several salts, whose
+vectors are added up, so no task holds more than SALT members of a block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandql.functions.residues import as_row
+from strandql.functions.residues import LETTERS, SAME, as_row
 
 
 def long_form(rows: DataFrame, msa: str, k: str, row: str) -> DataFrame:
@@ -18,6 +25,47 @@ def long_form(rows: DataFrame, msa: str, k: str, row: str) -> DataFrame:
     return cells.select("msa", "k", F.posexplode("_cells").alias("_i", "r")).where("r <> ''").select("msa", "k", (F.col("_i") + 1).cast("long").alias("i"), "r")
 
 
+#: Columns of a block, members of an alignment that a task may hold of it, and alignments beyond that a broadcast may hold.
+BLOCK, SALT, BROADCAST_LARGE = 256, 50_000, 100_000
+
+
+def large_alignments(rows: DataFrame) -> DataFrame | None:
+    """(msa, salts) of the alignments of more than SALT members; None if there is none."""
+    many = rows.groupBy("msa").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).where("salts > 1")
+    n = many.limit(BROADCAST_LARGE + 1).count()
+    return None if not n else F.broadcast(many) if n <= BROADCAST_LARGE else many
+
+
+def blocks(rows: DataFrame, large: DataFrame | None, *more: str) -> DataFrame:
+    """(msa, b, salt, k, seg, end gaps of the row, columns named in more) of row texts; seg ends with the symbol that
+    follows its block. Letters that stand for another residue are that residue. Partitioned by alignment, block and salt."""
+    row = F.translate("row", "".join(SAME), "".join(SAME.values()))
+    at = rows.select("msa", "k", *more, F.regexp_extract_all(row, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("segs"), (F.length(row) - F.length(F.ltrim(row, F.lit("-"))) + 1).alias("first"), F.length(F.rtrim(row, F.lit("-"))).alias("last"))
+    at = at.withColumn("segs", F.transform("segs", lambda x, j: F.concat(x, F.coalesce(F.substring(F.get("segs", j + 1), 1, 1), F.lit("")))))
+    at = at.withColumn("salt", F.lit(0)) if large is None else at.join(large, "msa", "left").withColumn("salt", F.pmod(F.xxhash64("k"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return at.select("msa", "salt", "k", *more, "first", "last", F.posexplode_outer("segs").alias("b", "seg")).where("seg is not null").repartition("msa", "b", "salt")
+
+
+def block_cells(blocks_: DataFrame, *more: str) -> DataFrame:
+    """(msa, b, salt, j, r, next, i, first, last, k, columns named in more) of blocks: one row a cell, j its place in the block."""
+    cells = blocks_.select("msa", "b", "salt", "k", "first", "last", *more, F.split("seg", "").alias("cells"))
+    out = cells.select("*", F.posexplode("cells").alias("j", "r")).where(f"j < {BLOCK} and r <> ''")
+    return out.select("msa", "b", "salt", "k", "first", "last", *more, "j", "r", F.get("cells", F.col("j") + 1).alias("next"), (F.col("b") * BLOCK + F.col("j") + 1).cast("long").alias("i"))
+
+
+def _sums(cells: DataFrame, value: Column, large: DataFrame | None) -> DataFrame:
+    """(msa, b, j, one column for each residue): sums of value over the cells of a column that hold it, null for none."""
+    placed = cells.withColumn("a", F.instr(F.lit(LETTERS), F.col("r")))
+    summed = placed.groupBy("msa", "b", "salt", "j").agg(*(F.sum(F.when(F.col("a") == k, value)).alias(f"_{a}") for k, a in enumerate(LETTERS, 1)))
+    if large is not None:  # the salts of a column
+        summed = summed.groupBy("msa", "b", "j").agg(*(F.sum(f"_{a}").alias(f"_{a}") for a in LETTERS))
+    return summed.drop("salt")
+
+
+def _added(values: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, values)
+
+
 def text_rows(df: DataFrame, msa: Column, k: Column, text: Column) -> DataFrame:
     return df.select(msa.alias("msa"), k.alias("k"), as_row(F.coalesce(text, F.lit(""))).alias("row"))
 
@@ -29,16 +77,23 @@ def validate(rows: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("least") == F.col("most")) & (F.col("least") > 0))
 
 
-def by_gap_share(cells: DataFrame, weights: DataFrame, percent: int = 50) -> DataFrame:
+def by_gap_share(rows: DataFrame, percent: int = 50) -> DataFrame:
     """Match columns by their weighted share of gaps, end gaps left out: (msa, i, gap_share, is_match).
-    weights: (msa, k, w). A member counts from its first to its last residue."""
-    ends = end_gaps(cells)
-    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").join(weights, ["msa", "k"])
-    gap = F.sum(F.when(F.col("r") == "-", F.col("w")).otherwise(0.0))
-    out = inside.groupBy("msa", "i").agg((100.0 * gap / F.sum("w")).alias("gap_share"))
+    rows: (msa, k, row, w). A member counts from its first to its last residue."""
+    large = large_alignments(rows)
+    inside = block_cells(blocks(rows, large, "w"), "w").where("i between first and last")
+    gap, keys = F.sum(F.when(F.col("r") == "-", F.col("w")).otherwise(0.0)), ["msa", "b", "j"]
+    out = inside.groupBy(*keys, "salt").agg(gap.alias("gap"), F.sum("w").alias("all"))
+    if large is not None:
+        out = out.groupBy(*keys).agg(F.sum("gap").alias("gap"), F.sum("all").alias("all"))
+    out = out.select("msa", _column(), (100.0 * F.col("gap") / F.col("all")).alias("gap_share"))
     return out.withColumn("is_match", F.col("gap_share") <= percent)
 
 
+def _column() -> Column:
+    return (F.col("b") * BLOCK + F.col("j") + 1).cast("long").alias("i")
+
+
 def first_member(cells: DataFrame) -> DataFrame:
     """The symbols (msa, i, q) of each alignment's first member, its query."""
     first = cells.groupBy("msa").agg(F.min("k").alias("k"))
@@ -51,9 +106,12 @@ def by_first(cells: DataFrame) -> DataFrame:
     return cells.where("r <> '-'").join(first, ["msa", "k"], "left_semi").select("msa", "i")
 
 
-def end_gaps(cells: DataFrame) -> DataFrame:
-    """First and last residue column, and the number of residues, of each member (msa, k, first, last, nres)."""
-    return cells.where("r <> '-'").groupBy("msa", "k").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("nres"))
+def end_gaps(rows: DataFrame) -> DataFrame:
+    """First and last residue column, and the number of residues, of each member (msa, k, first, last, nres), from its text."""
+    row = F.col("row")
+    first = F.length(row) - F.length(F.ltrim(row, F.lit("-"))) + 1
+    out = rows.select("msa", "k", first.cast("long").alias("first"), F.length(F.rtrim(row, F.lit("-"))).cast("long").alias("last"), F.length(F.replace(row, F.lit("-"), F.lit(""))).cast("long").alias("nres"))
+    return out.where("nres > 0")
 
 
 def insert_runs(rows: DataFrame, row: str) -> DataFrame:
@@ -146,48 +204,78 @@ def residue_cells(cells: DataFrame) -> DataFrame:
     return cells.where("r <> '-' and r not in ('J', 'O', 'X')").withColumn("r", F.translate("r", "UBZ", "CDE"))
 
 
-def global_weights(cells: DataFrame, pseudo: int = 30) -> DataFrame:
+def global_weights(rows: DataFrame, pseudo: int = 30) -> DataFrame:
     """Henikoff weights (msa, k, w), normalised to 1 within an alignment: a member gets 1 / (members with its residue *
-    residues of the column * (its length + pseudo)) from each column."""
-    own = residue_cells(cells)
-    counts = own.groupBy("msa", "i", "r").agg(F.count("*").alias("n"))
-    kinds = counts.groupBy("msa", "i").agg(F.count("*").alias("kinds"))
-    length = own.groupBy("msa", "k").agg(F.count("*").alias("nres"))
-    share = own.join(counts, ["msa", "i", "r"]).join(kinds, ["msa", "i"]).groupBy("msa", "k").agg(F.sum(1.0 / (F.col("n") * F.col("kinds"))).alias("s"))
-    raw = share.join(length, ["msa", "k"]).select("msa", "k", (F.col("s") / (F.col("nres") + pseudo) + 1e-6).alias("raw"))
-    return raw.withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy("msa"))).drop("raw")
+    residues of the column * (its length + pseudo)) from each column. A member without residues has none."""
+    large = large_alignments(rows)
+    own = blocks(rows, large)
+    counts = _sums(block_cells(own), F.lit(1), large)
+    kinds = _added([F.coalesce((F.col(f"_{a}") > 0).cast("int"), F.lit(0)) for a in LETTERS])
+    shares = counts.select("msa", "b", "j", F.array(*(1.0 / (F.col(f"_{a}") * kinds) for a in LETTERS)).alias("v"))
+    # Every column of a block up to its last has a row, so the places of the table are the columns.
+    tables = shares.groupBy("msa", "b").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("t")).select("msa", "b", F.col("t.v").alias("t"))
+    if large is not None:
+        tables = tables.join(large, "msa", "left").select("msa", "b", "t", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    else:
+        tables = tables.withColumn("salt", F.lit(0))
+    # In place: a block's table is far larger than a cell, so no row is made for a cell here.
+    found = F.transform(F.split("seg", ""), lambda r, j: F.get(F.get("t", j), F.instr(F.lit(LETTERS), r) - 1))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    summed = F.aggregate(found, none, lambda done, x: F.struct((done["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (done["n"] + x.isNotNull().cast("long")).alias("n")))
+    share = own.join(tables, ["msa", "b", "salt"]).select("msa", "k", summed.alias("x")).select("msa", "k", F.col("x.s").alias("s"), F.col("x.n").alias("nres")).where("nres > 0")
+    share = share.groupBy("msa", "k").agg(F.sum("s").alias("s"), F.sum("nres").alias("nres"))
+    raw = share.select("msa", "k", (F.col("s") / (F.col("nres") + pseudo) + 1e-6).alias("raw"))
+    total = raw.groupBy("msa").agg(F.sum("raw").alias("total"))
+    return raw.join(total, "msa").select("msa", "k", (F.col("raw") / F.col("total")).alias("w"))
+
+
+def frequency_vectors(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Weighted residue frequencies of each column that has a residue, in the order of LETTERS (msa, i, f: array).
+    The weights meet the row texts, not their cells."""
+    large = large_alignments(rows)
+    summed = _sums(block_cells(blocks(rows.join(weights, ["msa", "k"]), large, "w"), "w"), F.col("w"), large)
+    own = [F.coalesce(F.col(f"_{a}"), F.lit(0.0)) for a in LETTERS]
+    total = summed.withColumn("n", _added(own)).where("n > 0")
+    return total.select("msa", _column(), F.array(*(x / F.col("n") for x in own)).alias("f"))
+
+
+def column_frequencies(vectors: DataFrame) -> DataFrame:
+    """Frequency vectors in long form (msa, i, r, f), residues that occur."""
+    named = F.filter(F.transform("f", lambda x, a: F.struct(F.substring(F.lit(LETTERS), a + 1, F.lit(1)).alias("r"), x.alias("f"))), lambda x: x["f"] > 0)
+    return vectors.select("msa", "i", F.inline(named))
 
 
-def column_frequencies(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted residue frequencies (msa, i, r, f) of each column."""
-    summed = residue_cells(cells).join(weights, ["msa", "k"]).groupBy("msa", "i", "r").agg(F.sum("w").alias("s"))
-    return summed.withColumn("f", F.col("s") / F.sum("s").over(Window.partitionBy("msa", "i"))).drop("s")
+def _followed(rows: DataFrame, weights: DataFrame, at: Column, large: DataFrame | None) -> DataFrame:
+    """Cells within members' ends with their weights and what follows: (msa, b, salt, j, i, k, r, next, w)."""
+    cells = block_cells(blocks(rows.join(weights, ["msa", "k"]), large, "w"), "w").where("i between first and last")
+    return cells.withColumn("next", F.when(F.col("i") < F.col("last"), F.col("next"))).where(at)
 
 
-def match_transitions(cells: DataFrame, weights: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def _shares(cells: DataFrame, **parts: Column) -> DataFrame:
+    """Weighted shares of a column's cells (msa, i, one column each)."""
+    keys = ["msa", "b", "j"]
+    out = cells.groupBy(*keys, "salt").agg(F.sum("w").alias("_all"), *(F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(name) for name, c in parts.items()))
+    out = out.groupBy(*keys).agg(F.sum("_all").alias("_all"), *(F.sum(name).alias(name) for name in parts))
+    return out.select("msa", _column(), *((F.col(name) / F.col("_all")).alias(name) for name in parts))
+
+
+def match_transitions(rows: DataFrame, weights: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Weighted shares of a residue followed by a residue, by an insert, or by a gap (msa, i, mm, mi, md), within members'
     ends. runs: (msa, k, after, n), the inserts; one after a residue counts whatever column follows it."""
-    ends = end_gaps(cells)
-    along = Window.partitionBy("msa", "k").orderBy("i")
-    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").withColumn("next", F.lead("r").over(along)).where("r <> '-'")
+    inside = _followed(rows, weights, F.col("r") != "-", large_alignments(rows))
     if runs is None:
         inside = inside.withColumn("opens", F.lit(False))
     else:
         opened = runs.where("n > 0").select("msa", "k", F.col("after").alias("i")).distinct().withColumn("opens", F.lit(True))
         inside = inside.join(opened, ["msa", "k", "i"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
-    inside = inside.where("opens or next is not null")
-    part = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0)) / F.sum("w")
-    shares = inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg(part(~F.col("opens") & (F.col("next") != "-")).alias("mm"), part(F.col("opens")).alias("mi"))
+    shares = _shares(inside.where("opens or next is not null"), mm=~F.col("opens") & (F.col("next") != "-"), mi=F.col("opens"))
     return shares.withColumn("md", 1 - F.col("mm") - F.col("mi"))
 
 
-def delete_transitions(cells: DataFrame, weights: DataFrame) -> DataFrame:
+def delete_transitions(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted shares of a gap followed by a residue, or by a gap (msa, i, dm, dd), within members' ends."""
-    ends = end_gaps(cells)
-    along = Window.partitionBy("msa", "k").orderBy("i")
-    inside = cells.join(ends, ["msa", "k"]).where("i between first and last").withColumn("next", F.lead("r").over(along)).where("r = '-' and next is not null")
-    leaves = F.sum(F.when(F.col("next") != "-", F.col("w")).otherwise(0.0))
-    return inside.join(weights, ["msa", "k"]).groupBy("msa", "i").agg((leaves / F.sum("w")).alias("dm")).withColumn("dd", 1 - F.col("dm"))
+    inside = _followed(rows, weights, (F.col("r") == "-") & F.col("next").isNotNull(), large_alignments(rows))
+    return _shares(inside, dm=F.col("next") != "-").withColumn("dd", 1 - F.col("dm"))
 
 
 def insert_transitions(runs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -197,9 +285,17 @@ def insert_transitions(runs: DataFrame, weights: DataFrame) -> DataFrame:
     return out.withColumn("ii", 1 - F.col("im"))
 
 
-def effective_number(freqs: DataFrame) -> DataFrame:
+def _entropy() -> Column:
+    return F.aggregate("f", F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log2(x)).otherwise(0.0))
+
+
+def _pairs() -> Column:
+    return 1.0 / F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x)
+
+
+def effective_number(vectors: DataFrame) -> DataFrame:
     """Two to the entropy of each column (msa, i, neff)."""
-    return freqs.groupBy("msa", "i").agg(F.pow(F.lit(2.0), -F.sum(F.col("f") * F.log2("f"))).alias("neff"))
+    return vectors.select("msa", "i", F.pow(F.lit(2.0), _entropy()).alias("neff"))
 
 
 def alignment_neff(columns: DataFrame) -> DataFrame:
@@ -207,22 +303,38 @@ def alignment_neff(columns: DataFrame) -> DataFrame:
     return columns.groupBy("msa").agg(F.avg("neff").alias("neff"))
 
 
-def pairs_neff(freqs: DataFrame) -> DataFrame:
+def pairs_neff(vectors: DataFrame) -> DataFrame:
     """Effective number by the sum of pairs: 1 / sum of squared frequencies (msa, i, neff)."""
-    return freqs.groupBy("msa", "i").agg((1.0 / F.sum(F.col("f") * F.col("f"))).alias("neff"))
+    return vectors.select("msa", "i", _pairs().alias("neff"))
+
+
+def _prior_vector(prior: DataFrame) -> Column:
+    """A prior (r, prior) of the 20 residues as a vector."""
+    known = {r["r"]: r["prior"] for r in prior.collect()}  # 20 rows
+    return F.array(*(F.lit(float(known.get(a, 0.0))) for a in LETTERS))
+
+
+def alignment_numbers(vectors: DataFrame) -> DataFrame:
+    """Both effective numbers of each alignment in one pass (msa, neff, pairs)."""
+    both = vectors.select("msa", F.pow(F.lit(2.0), _entropy()).alias("neff"), _pairs().alias("pairs"))
+    return both.groupBy("msa").agg(F.avg("neff").alias("neff"), F.avg("pairs").alias("pairs"))
 
 
-def background(freqs: DataFrame, neff: DataFrame, prior: DataFrame, share: float = 100.0) -> DataFrame:
-    """Mean residue distribution (msa, r, pav): column frequencies and share * prior / neff, normalised."""
-    summed = freqs.groupBy("msa", "r").agg(F.sum("f").alias("s"))
-    grid = neff.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    raw = grid.join(summed, ["msa", "r"], "left").select("msa", "r", (F.coalesce("s", F.lit(0.0)) + share * F.col("prior") / F.col("neff")).alias("raw"))
-    return raw.withColumn("pav", F.col("raw") / F.sum("raw").over(Window.partitionBy("msa"))).drop("raw")
+def background(vectors: DataFrame, prior: DataFrame, share: float = 100.0) -> DataFrame:
+    """Mean residue distribution (msa, r, pav): column frequencies and share * prior / neff, normalised; neff is the
+    mean of the columns' numbers."""
+    at = vectors.select("msa", "f", F.pow(F.lit(2.0), _entropy()).alias("neff"))
+    sums = at.groupBy("msa").agg(F.avg("neff").alias("neff"), *(F.sum(F.get("f", F.lit(k))).alias(f"_{a}") for k, a in enumerate(LETTERS)))
+    raw = sums.select("msa", F.zip_with(F.array(*(f"_{a}" for a in LETTERS)), _prior_vector(prior), lambda s, q: s + share * q / F.col("neff")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return raw.withColumn("n", total).select("msa", F.inline(F.transform("v", lambda x, a: F.struct(F.substring(F.lit(LETTERS), a + 1, F.lit(1)).alias("r"), (x / F.col("n")).alias("pav")))))
 
 
-def consensus(freqs: DataFrame, prior: DataFrame) -> DataFrame:
+def consensus(vectors: DataFrame, prior: DataFrame) -> DataFrame:
     """Per column the residue of largest excess over the prior: upper case above 0.6, lower above 0.4, else x (msa, i, c)."""
-    best = freqs.join(F.broadcast(prior), "r").groupBy("msa", "i").agg(F.max(F.struct((F.col("f") - F.col("prior")).alias("gain"), F.col("r"), F.col("f"))).alias("b"))
+    gains = F.zip_with("f", _prior_vector(prior), lambda x, q: F.struct(x.alias("f"), (x - q).alias("gain")))
+    named = F.transform(gains, lambda g, a: F.struct(g["gain"].alias("gain"), F.substring(F.lit(LETTERS), a + 1, F.lit(1)).alias("r"), g["f"].alias("f")))
+    best = vectors.select("msa", "i", F.array_max(F.filter(named, lambda g: g["f"] > 0)).alias("b"))
     return best.select("msa", "i", F.when(F.col("b.f") > 0.6, F.col("b.r")).when(F.col("b.f") > 0.4, F.lower("b.r")).otherwise("x").alias("c"))
 
 
@@ -245,7 +357,7 @@ def query_identity(cells: DataFrame, percent: int) -> DataFrame:
 def query_score(cells: DataFrame, scores: DataFrame, least: float, gap_open: float = 6.0, gap_extend: float = 1.0) -> DataFrame:
     """Members by their score a residue against the first one (msa, k, nres, score, kept). scores: (a, b, s). Affine
     gaps on either side between a member's first and last residue; other residues score 0 and hold runs."""
-    ends = end_gaps(cells)
+    ends = cells.where("r <> '-'").groupBy("msa", "k").agg(F.min("i").alias("first"), F.max("i").alias("last"))
     query = first_member(cells)
     met = cells.join(ends, ["msa", "k"]).where("i between first and last").join(query, ["msa", "i"], "left").withColumn("q", F.coalesce("q", F.lit("-")))
     real = lambda c: ~F.col(c).isin("-", "J", "O", "X")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -116,7 +118,39 @@ def profile_entropy(spark, sf_dir):
 
 
 def local_background(spark, sf_dir):
-    return P.local_background(_profiles(spark, sf_dir).select(F.col("i").alias("hmm"), F.col("hmm").alias("i"), "r", "p"), 5).select("i", "r", F.round("q", 6).alias("q"))
+    p = _profiles(spark, sf_dir).select(F.col("i").alias("hmm"), F.col("hmm").alias("i"), "r", "p")
+    prior = p.groupBy("r").agg(F.avg("p").alias("prior"))
+    return P.local_background(p, prior, 5).select("i", "r", F.round("q", 6).alias("q"))
+
+
+def null_models(spark, sf_dir):
+    """A label's vectors as the columns of a profile, over every null model; the query is the label of least number."""
+    p = _profiles(spark, sf_dir).select(F.col("i").alias("hmm"), F.col("hmm").alias("i"), "r", "p")
+    own = p.groupBy("hmm", "r").agg(F.avg("p").alias("pav"))
+    query = own.join(F.broadcast(own.agg(F.min("hmm").alias("hmm"))), "hmm").select("r", "pav")
+    null = p.groupBy("r").agg(F.avg("p").alias("n"))
+    by_mode = [P.over_null(p, null, m, query, own).withColumn("mode", F.lit(m)) for m in (0, 1, 2, 3, 10, 11)]
+    return reduce(lambda x, y: x.unionByName(y), by_mode).select("i", "r", "mode", F.round("q", 5).alias("q"))
+
+
+def pseudocount_modes(spark, sf_dir):
+    """The share of pseudocounts of each embedding profile, by its Neff, in every mode."""
+    neff = P.entropy(_profiles(spark, sf_dir)).select("hmm", F.pow(F.lit(2.0), F.col("h")).alias("neff"))
+    taus = [F.round(P.admixture(F.col("neff"), m, 0.9, 60.0, c), 8).alias(f"tau_{m}_{k}") for m in range(4) for k, c in enumerate((1.0, 0.5))]
+    return neff.select("hmm", *taus)
+
+
+def transition_pseudocounts(spark, sf_dir):
+    """Orders as profiles, their lines as columns: shares from the rates of a line, effective numbers from its keys."""
+    lines = table(spark, sf_dir, "lineitem")
+    length = lines.groupBy("l_orderkey").agg((F.max("l_linenumber") - 1).alias("length"))
+    one = lambda c: (1 - F.col(c)).alias
+    tr = lines.join(length, "l_orderkey").select(
+        F.col("l_orderkey").alias("hmm"), (F.col("l_linenumber") - 1).alias("i"), "length", (1 - F.col("l_discount") - F.col("l_tax")).alias("m2m"), F.col("l_tax").alias("m2i"), F.col("l_discount").alias("m2d"),
+        F.col("l_discount").alias("i2i"), one("l_discount")("i2m"), F.col("l_tax").alias("d2d"), one("l_tax")("d2m"),
+        (1 + F.col("l_suppkey") % 7).cast("double").alias("neff_m"), (F.col("l_suppkey") % 3).cast("double").alias("neff_i"), (F.col("l_partkey") % 4).cast("double").alias("neff_d"),
+    )
+    return P.transition_pseudocounts(tr).select("hmm", "i", *(F.round(c, 6).alias(c) for c in ("m2m", "m2i", "m2d", "i2m", "i2i", "d2m", "d2d")))
 
 
 def nearest_state(spark, sf_dir):
@@ -172,7 +206,21 @@ SQL = {
     "column_score": f"with {_PROF} select label, vec_id, round(s, 6) as s from cs",
     "query_score_table": f"with {_PROF} select label, vec_id, cast(least(255, greatest(0, floor(round(s, 6) * 100 + 50 + 0.5))) as bigint) as byte from cs",
     "profile_entropy": f"with {_PROF}, n as (select vec_id, (p + 0.001) / sum(p + 0.001) over (partition by vec_id) as p from prof) select vec_id as hmm, round(-sum(p * log2(p)), 6) as h from n group by 1",
-    "local_background": f"with {_PROF} select vec_id as i, r, round(p / sqrt(avg(p) over (partition by label, r order by vec_id rows between 5 preceding and 5 following)), 6) as q from prof",
+    # Windows by prefix sums: the 11 columns around one, held at the ends; 10 columns of the prior count along.
+    "local_background": f"""with {_PROF}, k as (select vec_id, label, r, p, row_number() over (partition by label, r order by vec_id) as k, count(*) over (partition by label, r) as n, sum(p) over (partition by label, r order by vec_id rows unbounded preceding) as c from prof),
+ win as (select *, case when n <= 11 then 1 else greatest(1, least(k - 5, n - 10)) end as lo, case when n <= 11 then n else greatest(1, least(k - 5, n - 10)) + 10 end as hi from k),
+ s as (select win.vec_id, win.label, win.r, win.p, win.n, h.c - coalesce(l.c, 0) as s from win join k h on h.label = win.label and h.r = win.r and h.k = win.hi left join k l on l.label = win.label and l.r = win.r and l.k = win.lo - 1)
+ select vec_id as i, s.r, round(p / sqrt((s + 10 * nul.n) / (least(s.n, 11) + 10)), 6) as q from s join nul using (r)""",
+    "null_models": f"""with {_PROF}, pav as (select label, r, avg(p) as pav from prof group by 1, 2), q as (select r, pav as qav from pav where label = (select min(label) from pav)),
+ a as (select vec_id as i, r, p, n, pav, qav, sum(n * p) over (partition by vec_id) as co from prof join nul using (r) join pav using (label, r) join q using (r)),
+ u as (select i, r, unnest([0, 1, 2, 3, 10, 11]) as mode, unnest([p / n, p / (0.5 * (qav + pav)), p / pav, p / qav, p / sqrt(co), p]) as q from a) select i, r, cast(mode as integer) as mode, round(q, 5) as q from u""",
+    "pseudocount_modes": f"""with {_PROF}, f as (select vec_id as hmm, pow(2.0, -sum(p * log2(p))) / 60.0 as x from prof group by 1), t as (select *, 0.793 + 0.048 * (60.0 - 10.0) as a from f)
+ select hmm, 0.0::double as tau_0_0, 0.0::double as tau_0_1, 0.9::double as tau_1_0, 0.9::double as tau_1_1, round(least(1.0, 0.9 / (1 + x)), 8) as tau_2_0, round(least(1.0, 0.9 / (1 + pow(x, 0.5))), 8) as tau_2_1,
+ round(greatest(0.0, cast(a as double) * (1 - x + 1.0 * x * (1 - x))), 8) as tau_3_0, round(greatest(0.0, cast(a as double) * (1 - x + 0.5 * x * (1 - x))), 8) as tau_3_1 from t""",
+    "transition_pseudocounts": """with a as (select l_orderkey as hmm, l_linenumber - 1 as i, max(l_linenumber - 1) over (partition by l_orderkey) as len, cast(l_discount as double) as d, cast(l_tax as double) as t, l_suppkey % 7 as m, l_suppkey % 3 as ni, l_partkey % 4 as nd, 0.15::double * 0.0286 as o from lineitem),
+ w as (select *, m * (1 - d - t) + (1 - 2 * o) as mm, case when i in (0, len) then 0 else m * d + o end as md, case when i in (0, len) then 0 else m * t + o end as mi, ni * (1 - d) + 0.25::double as im, ni * d + 0.75::double as ii, nd * (1 - t) + 0.25::double as dm, case when i = len then 0 else nd * t + 0.75::double end as dd from a)
+ select hmm, cast(i as integer) as i, round(log2(mm / (mm + md + mi)), 6) as m2m, round(case when mi > 0 then log2(mi / (mm + md + mi)) * 0.6 end, 6) as m2i, round(case when md > 0 then log2(md / (mm + md + mi)) * 0.6 end, 6) as m2d,
+ round(log2(im / (im + ii)), 6) as i2m, round(log2(ii / (im + ii)) * 0.6, 6) as i2i, round(log2(dm / (dm + dd)), 6) as d2m, round(case when dd > 0 then log2(dd / (dm + dd)) * 0.6 end, 6) as d2d from w""",
     "nearest_state": f"with {_PROF}, z as (select vec_id, c.label as state, sum(prof.p * log2(c.p)) + log2(0.1) as z from prof join cen c using (r) group by 1, 2), t as (select vec_id, max(z) as most, sum(pow(2.0, z)) as total from z group by 1), k as (select vec_id, state, z, row_number() over (partition by vec_id order by z desc, state) as rn from z) select vec_id as hmm, cast(state as bigint) as state, round(pow(2.0, z) / total, 6) as post from k join t using (vec_id) where rn = 1",
     "substitution_model": "with j as (select substr(o_orderpriority, 1, 1) as a, substr(o_orderpriority, 3, 1) as b, cast(count(*) as double) as p from orders group by 1, 2), s as (select a, b, sum(p) as p from (select a, b, p from j union all select b, a, p from j) group by 1, 2), n as (select a, b, p / sum(p) over () as p from s), o as (select a, sum(p) as pa from n group by 1) select n.a, n.b, round(n.p, 6) as p, round(x.pa, 6) as pa, round(y.pa, 6) as pb, round(n.p / y.pa, 6) as r, round(log2(n.p / (x.pa * y.pa)), 6) as s from n join o x on n.a = x.a join o y on n.b = y.a",
     "aa_pseudocounts": f"with {_PROF}, nf as (select vec_id, pow(2.0, -sum(p * log2(p))) as neff from prof group by 1), t as (select vec_id, least(1.0, 0.9 / (1.0 + neff / 4.0)) as tau from nf) select vec_id as hmm, r, round((1 - tau) * prof.p + tau * cen.p, 8) as p from prof join cen using (label, r) join t using (vec_id)",

@@ -14,8 +14,13 @@ def flat_prior(spark):
     return spark.createDataFrame([(r, 0.05) for r in LETTERS], "r string, prior double")
 
 
-def _weights(c):
-    return msa.global_weights(c)
+def _vectors(spark, sf_dir):
+    rows = alignment_rows(spark, sf_dir)
+    return msa.frequency_vectors(rows, msa.global_weights(rows))
+
+
+def _even(rows):
+    return rows.select("msa", "k", F.lit(1.0).alias("w"))
 
 
 def msa_validate(spark, sf_dir):
@@ -23,13 +28,12 @@ def msa_validate(spark, sf_dir):
 
 
 def endgap_mark(spark, sf_dir):
-    return msa.end_gaps(cells(spark, sf_dir))
+    return msa.end_gaps(alignment_rows(spark, sf_dir))
 
 
 def match_gap_rule(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    even = c.select("msa", "k").distinct().withColumn("w", F.lit(1.0))
-    return msa.by_gap_share(c, even).select("msa", "i", F.round("gap_share", 6).alias("gap_share"), "is_match")
+    rows = alignment_rows(spark, sf_dir).withColumn("w", F.lit(1.0))
+    return msa.by_gap_share(rows).select("msa", "i", F.round("gap_share", 6).alias("gap_share"), "is_match")
 
 
 def match_first_rule(spark, sf_dir):
@@ -52,22 +56,21 @@ def rle_round_trip(spark, sf_dir):
 
 
 def henikoff_weights(spark, sf_dir):
-    return _weights(cells(spark, sf_dir)).select("msa", "k", F.round("w", 8).alias("w"))
+    return msa.global_weights(alignment_rows(spark, sf_dir)).select("msa", "k", F.round("w", 8).alias("w"))
 
 
 def column_freqs(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return msa.column_frequencies(c, _weights(c)).select("msa", "i", "r", F.round("f", 6).alias("f"))
+    return msa.column_frequencies(_vectors(spark, sf_dir)).select("msa", "i", "r", F.round("f", 6).alias("f"))
 
 
 def match_transitions(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return msa.match_transitions(c, _weights(c)).select("msa", "i", F.round("mm", 6).alias("mm"), F.round("md", 6).alias("md"))
+    rows = alignment_rows(spark, sf_dir)
+    return msa.match_transitions(rows, msa.global_weights(rows)).select("msa", "i", F.round("mm", 6).alias("mm"), F.round("md", 6).alias("md"))
 
 
 def delete_transitions(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return msa.delete_transitions(c, _weights(c)).select("msa", "i", F.round("dm", 6).alias("dm"), F.round("dd", 6).alias("dd"))
+    rows = alignment_rows(spark, sf_dir)
+    return msa.delete_transitions(rows, msa.global_weights(rows)).select("msa", "i", F.round("dm", 6).alias("dm"), F.round("dd", 6).alias("dd"))
 
 
 def insert_transitions(spark, sf_dir):
@@ -78,26 +81,22 @@ def insert_transitions(spark, sf_dir):
 
 
 def neff_columns(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return msa.effective_number(msa.column_frequencies(c, _weights(c))).select("msa", "i", F.round("neff", 6).alias("neff"))
+    return msa.effective_number(_vectors(spark, sf_dir)).select("msa", "i", F.round("neff", 6).alias("neff"))
 
 
 def neff_alignment(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    f = msa.column_frequencies(c, _weights(c))
-    return msa.alignment_neff(msa.effective_number(f)).join(msa.alignment_neff(msa.pairs_neff(f)).withColumnRenamed("neff", "pairs"), "msa").select("msa", F.round("neff", 6).alias("neff"), F.round("pairs", 6).alias("pairs"))
+    both = msa.alignment_numbers(_vectors(spark, sf_dir))
+    return both.select("msa", F.round("neff", 6).alias("neff"), F.round("pairs", 6).alias("pairs"))
 
 
 def background_freqs(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    f = msa.column_frequencies(c, _weights(c))
-    return msa.background(f, msa.alignment_neff(msa.effective_number(f)), flat_prior(spark)).select("msa", "r", F.round("pav", 6).alias("pav"))
+    v = _vectors(spark, sf_dir)
+    return msa.background(v, flat_prior(spark)).select("msa", "r", F.round("pav", 6).alias("pav"))
 
 
 def consensus(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    even = c.select("msa", "k").distinct().withColumn("w", F.lit(1.0))
-    return msa.consensus(msa.column_frequencies(c, even), flat_prior(spark))
+    rows = alignment_rows(spark, sf_dir)
+    return msa.consensus(msa.frequency_vectors(rows, _even(rows)), flat_prior(spark))
 
 
 def coverage_filter(spark, sf_dir):

@@ -12,13 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its scan has fewer tasks than there are, as a small file in one piece does; a scan of
+    many tasks stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store(table(spark, sf_dir, "documents"), F.col("doc_id"), F.coalesce("text", F.lit("")))
 
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as members (msa, k, row) of the alignment of their language and source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return msa.text_rows(docs, F.concat_ws("/", F.col("lang"), F.col("source")), F.col("doc_id"), F.col("text"))
 
 
