@@ -73,10 +73,9 @@ def keep_diverse(x: np.ndarray, first_id: int, max_id: int, diversity: int, keep
                     continue
             accepted[k] = True
             depth[a : b + 1] += 1
-        step = max(1, min(5, need * step // (2 * (need_before - need + 1)))) if need_before != need - 1 else 1
+        # Whole numbers throughout: the ratio is cut before it is multiplied.
+        step = max(1, min(5, need // (need_before - need + 1) * step // 2)) if need_before >= need else 1
         need_before, seqid = need, seqid + step
-        if seqid - step < max_id < seqid:
-            seqid = max_id
     return accepted
 
 

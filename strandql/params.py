@@ -44,6 +44,7 @@ class Params:
     min_columns: int = 6
     viterbi_band: int = 40
     mac_band: int = 2
+    min_overlap: int = 0
     # Alignment filters: identity, coverage, identity and score with the query, diversity.
     max_seqid: int = 90
     coverage: int = 0
