@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandql.llm import bpe, decontaminate, minhash, quality_gbt, secrets
-from strandql.llm.common import crc_bucket, new_folder, read_table, text_of
+from strandql.llm.common import crc_bucket, dropped, new_folder, read_table, swept, text_of
 from strandql.llm.queries import tokenizer
 
 #: A document is kept if the classifier gives it this score at least.
@@ -28,11 +28,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest id. Rows without an id stay."""
-    found = minhash.near_duplicates(docs, k=SHINGLE_WORDS)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(_marked(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return _once(kept, docs.columns)
+    """One document of each near-duplicate group: the one of smallest id. Rows without an id stay. Different texts under one
+    id are documents of their own, which come after all others in their groups; equal rows are one."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_print()).alias("lo"), F.max(_print()).alias("hi")).where("n > 1").select(F.col("doc_id").alias("_again"), (F.col("lo") != F.col("hi")).alias("_differ"))
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        apart = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", _print()), F.lit(1 << 61))
+        rows = docs.join(_marked(again), F.col("doc_id") == F.col("_again"), "left").withColumn("_node", F.when(F.col("_differ"), apart).otherwise(F.col("doc_id")))
+    else:
+        rows = docs.withColumn("_node", F.col("doc_id"))
+    found = minhash.near_duplicates(rows, k=SHINGLE_WORDS, id_col="_node")
+    gone = found.where(~F.col("kept")).select(F.col("_node").alias("_gone")).distinct()
+    kept = rows.join(_marked(gone), F.col("_node") == F.col("_gone"), "left_anti")
+    if not repeated:
+        return kept.select(*docs.columns)
+    one = kept.where("_again is not null").groupBy("_node").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return kept.where("_again is null").select(*docs.columns).unionByName(one.select("_row.*"))
+
+
+def _print() -> Column:
+    return F.xxhash64(text_of("text"))
 
 
 def _marked(ids: DataFrame) -> DataFrame:
@@ -40,17 +55,6 @@ def _marked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(1_000_001).count() <= 1_000_000 else ids
 
 
-def _once(kept: DataFrame, columns: list[str]) -> DataFrame:
-    """Of rows with the same id, which are one node of the groups, one stays: that of the least text."""
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    if not again.limit(1).count():
-        return kept.select(*columns)
-    mark = _marked(again)
-    single = kept.join(mark, F.col("doc_id") == F.col("_again"), "left_anti")
-    several = kept.join(mark, F.col("doc_id") == F.col("_again")).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *columns)).alias("_row"))
-    return single.select(*columns).unionByName(several.select("_row.*").select(*columns))
-
-
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate.hits(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("id").alias("_id"), F.col("fp").alias("_fp")).distinct()
@@ -59,7 +63,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by a mark and n_chars counted again."""
+    """All documents, with the live secrets in their texts replaced by a mark and n_chars counted again."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
@@ -82,13 +86,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """All stages over documents, each written as Parquet to the shared folder and read again. What a stage stored on its
+    way, and what its predecessor wrote, is deleted once it has written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
         folder = new_folder(spark, name)
-        out.write.parquet(folder)
+        with swept(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
         docs = spark.read.schema(out.schema).parquet(folder)
-    return docs
+        if before is not None:
+            dropped(spark, before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

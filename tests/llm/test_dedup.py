@@ -61,6 +61,26 @@ def test_chains_and_families(spark):
     assert got == brute(rows, 2)
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Large buckets, hubs of many members, sets of many copies and a second band give the same components."""
+    random.seed(9)
+    base, rows = [f"w{random.randrange(300)}" for _ in range(80)], []
+    for n in range(90):
+        text = list(base)
+        for _ in range(random.choice([0, 0, 3, 12, 20])):
+            text[random.randrange(len(text))] = f"x{random.randrange(40)}"
+        rows.append((n, " ".join(text)))
+    rows += [(200 + k, rows[0][1]) for k in range(30)] + [(300 + k, "") for k in range(20)] + [(400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    for name, values in (("small chunks", {"CHUNK": 4, "SPLIT": 5}), ("few shingles", {"CHUNK_SHINGLES": 300, "SPLIT": 5}), ("second band", {"HEAVY": 10, "CHUNK": 8})):
+        with monkeypatch.context() as m:
+            for key, value in values.items():
+                m.setattr(minhash, key, value)
+            got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, k=2).collect()}
+        assert got == want, name
+
+
 def test_components(spark):
     random.seed(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, b) for b in range(101, 140)] + [(200, 201), (201, 200), (5, 5)]

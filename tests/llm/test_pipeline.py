@@ -60,3 +60,22 @@ def test_stages_keep_columns(spark, docs, no_docs):
             assert got.count() <= d.count()
     last = stages[-1][1](spark, no_docs, SF)
     assert last.count() == 0
+
+
+def test_near_duplicates_of_odd_ids(spark, docs):
+    """Different texts under one id are documents of their own; equal rows and near copies are one; rows without an id stay."""
+    long = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(5, long), (5, other), (3, long), (7, other), (7, other), (8, long + " end"), (None, long), (9, ""), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=str)
+    assert got == sorted([(3, long), (7, other), (None, long), (9, ""), (10, "")], key=str) or got == sorted([(3, long), (7, other), (None, long), (9, None), (10, "")], key=str)
+
+
+def test_pipeline_deletes_what_it_stored(spark):
+    from strandql.llm import common
+
+    begun = len(common.MADE)
+    out = corpus_pipeline.run(spark, SF)
+    left = [f.rsplit("/", 1)[-1].rsplit("-", 1)[0] for f in common.MADE[begun:]]
+    assert set(left) <= {name for name, _ in corpus_pipeline.STAGES} and out.count() > 0
