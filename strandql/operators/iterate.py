@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandql.params import ITERATIVE, Params
+from strandql.session import stored
 
 
 @dataclass
@@ -34,19 +35,14 @@ class Search:
 
     def run(self, query, spark) -> DataFrame:
         """Hits of the last round, with the round in which each was first accepted."""
-        import uuid
-
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strandql-shared"
         seen = None
         for k in range(1, self.params.rounds + 1):
-            path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
             found = self.find(query).withColumn("_key", F.concat_ws("__", F.col("target").cast("string"), F.col("irep").cast("string")))
             if seen is None:
                 found = found.withColumn("first_round", F.when(F.col("eval") <= self.params.e, F.lit(k)))
             else:
                 found = found.join(seen, "_key", "left").withColumn("first_round", F.coalesce("seen_round", F.when(F.col("eval") <= self.params.e, F.lit(k)))).drop("seen_round")
-            found.write.parquet(path)
-            hits = spark.read.parquet(path)
+            hits = stored(found, "round")
             fresh = hits.where(F.col("first_round") == k)
             new = fresh.count()
             query, neff, members = self.take(query, fresh.drop("_key", "first_round")) if new else (query, 0.0, 0)

@@ -18,8 +18,9 @@ def lookup(entries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def at_ordinal(entries: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """Entries by their place in name order; ``ordinal`` counts from 1."""
-    return numbered(entries, ["name"], "ordinal").join(ordinals.select("ordinal").distinct(), "ordinal", "left_semi")
+    """Entries by their place in name order; ``ordinal`` counts from 1. Names alone are put in order; payloads meet what is wanted."""
+    wanted = numbered(entries.select("name"), ["name"], "ordinal").join(ordinals.select("ordinal").distinct(), "ordinal", "left_semi")
+    return entries.join(wanted, "name")
 
 
 def unlink(entries: DataFrame, names: DataFrame) -> DataFrame:

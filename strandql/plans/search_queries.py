@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from strandql.functions.residues import LETTERS, upper_ascii
 from strandql.operators import context, dp, hits, iterate, msa, redundancy
 from strandql.params import ITERATIVE, PAIRWISE
-from strandql.plans.tables import alignment_rows, table
+from strandql.plans.tables import alignment_rows, spread, table
+from strandql.session import stored
 
 OFFSET = ITERATIVE.score_offset
 
@@ -51,7 +52,7 @@ def top_hits(spark, sf_dir):
     scores of what is left, statistics, paging."""
     q = query_sequence(spark, sf_dir)
     first = dp.prefilter_join(_targets(spark, sf_dir), byte_table(q), "ungapped").where("t_len > 0")
-    first = first.withColumn("score", hits.length_corrected(F.col("score"), F.lit(max(1, len(q))), F.col("t_len"), 1)).persist()  # read by the floor and by the threshold; three numbers a row
+    first = stored(first.withColumn("score", hits.length_corrected(F.col("score"), F.lit(max(1, len(q))), F.col("t_len"), 1)), "first-scores")  # read by the floor and by the threshold; three numbers a row
     left = hits.floor_top_k(first, "score", "name", ITERATIVE.min_prefilter_hits, ITERATIVE.smax_thresh).select("name")
     again = dp.prefilter_join(_targets(spark, sf_dir).join(left, "name", "left_semi"), byte_table(q), "gapped")
     found = again.select(F.lit("query").alias("query"), F.col("name").alias("target"), F.col("name").alias("file"), (F.col("score") / 4.0).alias("score"), F.lit(0.0).alias("score_ss"), F.col("t_len").cast("int").alias("t_len"), F.lit(3.0).alias("t_neff"), F.lit(max(1, len(q))).alias("q_len"), F.lit(3.0).alias("q_neff"))

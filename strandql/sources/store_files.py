@@ -36,7 +36,7 @@ def write_store(entries: DataFrame, folder: str) -> None:
     byte between them, and index lines whose offsets are whole for the concatenated parts."""
     from strandql.operators.ordered import running
 
-    sized = running(entries.select("name", "payload", (F.octet_length("payload") + 1).cast("long").alias("length")), ["name"], F.col("length"), "_end").persist()
+    sized = running(entries.select("name", "payload", (F.octet_length("payload") + 1).cast("long").alias("length")), ["name"], F.col("length"), "_end")
     lines = F.concat_ws("\t", "name", (F.col("_end") - F.col("length")).cast("string"), F.col("length").cast("string"))
     ordered = sized.repartitionByRange(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_end").sortWithinPartitions("_end")
     ordered.select("payload").write.option("lineSep", "\x00").text(f"{folder}/data")
@@ -44,7 +44,12 @@ def write_store(entries: DataFrame, folder: str) -> None:
 
 
 def unpack(entries: DataFrame, folder: str) -> int:
-    """Each entry as a file of a folder that all machines share; returns how many."""
+    """Each entry as a file of a folder that all machines share, on a cluster below the session's shared one; returns how many."""
+    from strandql.session import shared_dir
+
+    spark = entries.sparkSession
+    if not spark.sparkContext.master.startswith("local") and not folder.startswith(shared_dir(spark)):
+        raise ValueError("on a cluster entries are unpacked below spark.checkpoint.dir")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
