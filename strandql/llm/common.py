@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.session import reachable
-
-#: Used by local sessions that name no checkpoint folder, as in tests.
-LOCAL_SHARED = "/tmp/strandql-shared"
+from strandql.session import dropped, new_folder, reachable, stored, swept
 
-#: Folders made so far; names only.
-MADE: list[str] = []
+__all__ = ["ascii_lower", "bounded_batches", "crc_bucket", "dropped", "new_folder", "read_table", "stored", "swept", "text_of", "words_of"]
 
 #: Bytes of an Arrow batch, and the bound that Spark has by itself.
 ARROW_BYTES, SPARK_ARROW_BYTES = "8m", "67108864b"
@@ -36,57 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A local session may leave it unset; on a cluster a folder of
-    one machine would be of no use to the others, so there it must be named."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        where = LOCAL_SHARED
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of stored() tables that nothing reads any more."""
-    for df in tables:
-        for name in df.inputFiles()[:1]:
-            _delete(spark, name.rsplit("/", 1)[0])
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all tables that were stored inside, for work whose result has been written by then."""
-    begun = len(MADE)
-    try:
-        yield
-    finally:
-        for folder in MADE[begun:]:
-            _delete(spark, folder)
-        del MADE[begun:]
-
-
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

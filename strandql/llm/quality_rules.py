@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandql.llm.common import text_of
+from strandql.llm.common import stored, text_of
 
 BUCKETS, SMOOTHING, WINDOW = 1 << 16, 1.0, 8
 #: Trusted ids that a broadcast may hold.
@@ -96,7 +96,8 @@ def weights(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     words = docs.join(ids.withColumn("good", F.lit(1)), "id", "left").select("good", _split())
     one, two = _grams()
     each = words.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), "words", F.posexplode_outer("words").alias("pos", "word")).where("pos is not null").select("good", F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null")
-    counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).persist()
+    counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    counts = stored(counts, "gram-counts")  # at most BUCKETS rows, read three times
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not total["target"]:
         return counts.select("bucket", F.lit(0).cast("long").alias("weight"))

@@ -73,9 +73,9 @@ def test_near_duplicates_of_odd_ids(spark, docs):
 
 
 def test_pipeline_deletes_what_it_stored(spark):
-    from strandql.llm import common
+    from strandql import session
 
-    begun = len(common.MADE)
+    begun = len(session.MADE)
     out = corpus_pipeline.run(spark, SF)
-    left = [f.rsplit("/", 1)[-1].rsplit("-", 1)[0] for f in common.MADE[begun:]]
+    left = [f.rsplit("/", 1)[-1].rsplit("-", 1)[0] for f in session.MADE[begun:]]
     assert set(left) <= {name for name, _ in corpus_pipeline.STAGES} and out.count() > 0
