@@ -73,7 +73,7 @@ def test_hot_keys(spark, monkeypatch):
     rows += [(200 + k, rows[0][1]) for k in range(30)] + [(300 + k, "") for k in range(20)] + [(400, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 2)
-    for name, values in (("small chunks", {"CHUNK": 4, "SPLIT": 5}), ("few shingles", {"CHUNK_SHINGLES": 300, "SPLIT": 5}), ("second band", {"HEAVY": 10, "CHUNK": 8})):
+    for name, values in (("small chunks", {"CHUNK": 4, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5}), ("few shingles", {"CHUNK_SHINGLES": 300, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5}), ("second band", {"HEAVY": 10, "CHUNK": 8})):
         with monkeypatch.context() as m:
             for key, value in values.items():
                 m.setattr(minhash, key, value)
