@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, SAME, as_row
+from strandql.session import few
 
 
 def long_form(rows: DataFrame, msa: str, k: str, row: str) -> DataFrame:
@@ -25,15 +26,14 @@ def long_form(rows: DataFrame, msa: str, k: str, row: str) -> DataFrame:
     return cells.select("msa", "k", F.posexplode("_cells").alias("_i", "r")).where("r <> ''").select("msa", "k", (F.col("_i") + 1).cast("long").alias("i"), "r")
 
 
-#: Columns of a block, members of an alignment that a task may hold of it, and alignments beyond that a broadcast may hold.
-BLOCK, SALT, BROADCAST_LARGE = 256, 50_000, 100_000
+#: Columns of a block, and members of an alignment that a task may hold of it.
+BLOCK, SALT = 256, 50_000
 
 
 def large_alignments(rows: DataFrame) -> DataFrame | None:
     """(msa, salts) of the alignments of more than SALT members; None if there is none."""
     many = rows.groupBy("msa").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).where("salts > 1")
-    n = many.limit(BROADCAST_LARGE + 1).count()
-    return None if not n else F.broadcast(many) if n <= BROADCAST_LARGE else many
+    return few(many) if many.limit(1).count() else None
 
 
 def blocks(rows: DataFrame, large: DataFrame | None, *more: str) -> DataFrame:
@@ -364,7 +364,7 @@ def query_score(cells: DataFrame, scores: DataFrame, least: float, gap_open: flo
     met = met.withColumn("state", F.when(real("r") & real("q"), "m").when(real("r") & (F.col("q") == "-"), "q").when((F.col("r") == "-") & real("q"), "k")).where("state is not null")
     along = Window.partitionBy("msa", "k").orderBy("i")
     opened = F.when(F.lag("state").over(along) == F.col("state"), gap_extend).otherwise(gap_open)
-    met = met.withColumn("cost", F.when(F.col("state") != "m", opened)).join(F.broadcast(scores), (F.col("r") == F.col("b")) & (F.col("q") == F.col("a")) & (F.col("state") == "m"), "left")
+    met = met.withColumn("cost", F.when(F.col("state") != "m", opened)).join(few(scores), (F.col("r") == F.col("b")) & (F.col("q") == F.col("a")) & (F.col("state") == "m"), "left")
     nres = residue_cells(cells).groupBy("msa", "k").agg(F.count("*").alias("nres"))
     out = met.groupBy("msa", "k").agg(F.sum(F.coalesce("s", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0))).alias("score")).join(nres, ["msa", "k"])
     return out.withColumn("kept", F.col("score") >= least * F.col("nres"))

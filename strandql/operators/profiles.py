@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of a table over residues (400 pairs at most) or states that a broadcast may hold.
-BROADCAST_ROWS = 100_000
-
-
-def _few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows at most limit rows; else the join shuffles it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+from strandql.session import few
 
 
 def substitution_model(joint: DataFrame) -> DataFrame:
@@ -38,7 +31,7 @@ def counted_joint(cells: DataFrame, weights: DataFrame) -> DataFrame:
 
 def spread(freqs: DataFrame, model: DataFrame) -> DataFrame:
     """g(i, a) = sum over b of P(a|b) f(i, b) (hmm, i, r, g)."""
-    m = _few(model.select("a", F.col("b").alias("r"), F.col("r").alias("cond")))
+    m = few(model.select("a", F.col("b").alias("r"), F.col("r").alias("cond")))
     return freqs.join(m, "r").groupBy("hmm", "i", "a").agg(F.sum(F.col("cond") * F.col("f")).alias("g")).select("hmm", "i", F.col("a").alias("r"), "g")
 
 
@@ -97,7 +90,7 @@ def local_background(p: DataFrame, prior: DataFrame, reach: int = 40, pseudo: fl
     # The windows of the columns reach + 1 from either end; a shorter profile's is the whole.
     ends = near.withColumns({"_left": F.max(F.when(F.col("_at") == reach + 1, F.col("_mid"))).over(whole), "_right": F.max(F.when(F.col("_at") == F.col("_n") - reach, F.col("_mid"))).over(whole), "_all": F.sum("p").over(whole)})
     window = F.when(F.col("_n") <= width, F.col("_all")).when(F.col("_at") <= reach, F.col("_left")).when(F.col("_at") > F.col("_n") - reach, F.col("_right")).otherwise(F.col("_mid"))
-    mean = ends.withColumn("_local", window).join(_few(prior), "r")
+    mean = ends.withColumn("_local", window).join(few(prior), "r")
     local = (F.col("_local") + pseudo * F.col("prior")) / (F.least(F.col("_n"), F.lit(width)) + pseudo)
     return mean.select("hmm", "i", "r", (F.col("p") / F.sqrt(local)).alias("q"))
 
@@ -112,21 +105,21 @@ def over_null(p: DataFrame, null: DataFrame | None = None, mode: int = 0, query:
     if mode in (5, 11):
         return p.withColumnRenamed("p", "q")
     if mode == 10:
-        met = p.join(_few(null), "r").withColumn("_all", F.sum(F.col("n") * F.col("p")).over(Window.partitionBy("hmm", "i")))
+        met = p.join(few(null), "r").withColumn("_all", F.sum(F.col("n") * F.col("p")).over(Window.partitionBy("hmm", "i")))
         return met.select("hmm", "i", "r", (F.col("p") / F.sqrt("_all")).alias("q"))
     if mode == 1:
-        met = p.join(target.withColumnRenamed("pav", "_t"), ["hmm", "r"]).join(_few(query.withColumnRenamed("pav", "_q")), "r").withColumn("n", 0.5 * (F.col("_q") + F.col("_t")))
+        met = p.join(target.withColumnRenamed("pav", "_t"), ["hmm", "r"]).join(few(query.withColumnRenamed("pav", "_q")), "r").withColumn("n", 0.5 * (F.col("_q") + F.col("_t")))
     elif mode == 2:
         met = p.join(target.withColumnRenamed("pav", "n"), ["hmm", "r"])
     else:
-        met = p.join(_few(null if mode == 0 else query.withColumnRenamed("pav", "n")), "r")
+        met = p.join(few(null if mode == 0 else query.withColumnRenamed("pav", "n")), "r")
     return met.select("hmm", "i", "r", (F.col("p") / F.col("n")).alias("q"))
 
 
 def column_scores(q: DataFrame, t: DataFrame, null: DataFrame, shift: float = 0.0) -> DataFrame:
     """log2 of the sum of q t / null over residues, for all columns of queries against all columns of targets
     (hmm, i, target, j, s). An equi-join on the residue and a sum."""
-    left = q.select("hmm", "i", "r", F.col("p").alias("pq")).join(_few(null), "r").withColumn("pq", F.col("pq") / F.col("n")).drop("n")
+    left = q.select("hmm", "i", "r", F.col("p").alias("pq")).join(few(null), "r").withColumn("pq", F.col("pq") / F.col("n")).drop("n")
     right = t.select(F.col("hmm").alias("target"), F.col("i").alias("j"), "r", F.col("p").alias("pt"))
     return left.join(right, "r").groupBy("hmm", "i", "target", "j").agg((F.log2(F.sum(F.col("pq") * F.col("pt"))) + shift).alias("s"))
 
@@ -151,7 +144,7 @@ def shifted(p: DataFrame, by: float) -> DataFrame:
 
 def nearest_state(p: DataFrame, library: DataFrame) -> DataFrame:
     """The library state (state, r, lp = log2 p, prior) of largest posterior for each column (hmm, i, state, post)."""
-    lib = _few(library)
+    lib = few(library)
     z = p.join(lib, "r").groupBy("hmm", "i", "state", "prior").agg(F.sum(F.col("p") * F.col("lp")).alias("z")).withColumn("z", F.col("z") + F.log2("prior"))
     top = z.groupBy("hmm", "i").agg(F.max("z").alias("most"), F.max_by("state", F.struct("z", -F.col("state"))).alias("state"))
     sums = z.join(top, ["hmm", "i"]).groupBy("hmm", "i", top["state"]).agg((1.0 / F.sum(F.pow(F.lit(2.0), F.col("z") - F.col("most")))).alias("post"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,6 +23,15 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows of a table over residue pairs, states or parameters that a broadcast may hold.
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if a count shows at most limit rows; else the join shuffles it."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 #: Used by local sessions that name no checkpoint folder, as in tests.
 LOCAL_SHARED = "/tmp/strandql-shared"
 
