@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandql.llm import bpe, decontaminate, html_extract, langid, licenses, minhash, quality_gbt, quality_rules, rans, secrets
+from strandql.llm import bpe, curriculum, decontaminate, html_extract, langid, lexical, licenses, minhash, oracles, quality_gbt, quality_rules, rans, resample, secrets
 from strandql.llm.common import crc_bucket, read_table
 
 
@@ -71,6 +71,22 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the training position of their first draw; those that are never drawn stand first, with none."""
+    mixed = curriculum.mix(read_table(spark, sf_dir, "documents"))
+    first = F.round(F.get("draws", F.lit(0))["position"], 6).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("n_draws"), first).orderBy("first_position", "doc_id")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, stats = lexical.index(read_table(spark, sf_dir, "documents"))
+    return lexical.search(table, stats, read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -83,8 +99,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_secrets": op9_secrets,
         "op10_html": op10_html,
+        "op11_curriculum": op11_curriculum,
+        "op12_resample": op12_resample,
+        "op13_lexical": op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
