@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import context, dp, hits, iterate, msa, redundancy
+from strandql.operators import context, dp, hits, iterate, msa, redundancy, tiles
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, spread, table
-from strandql.session import stored
+from strandql.session import few, stored
 
 OFFSET = ITERATIVE.score_offset
+#: Texts of one language share words by nature, so here a run has to be longer than one of them to pass the prefilter.
+TEXTS = replace(ITERATIVE, smax_thresh=50)
 
 
 def letter_codes(text: Column) -> Column:
-    """A text's letters as bytes 0-25, everything else left out."""
-    return F.encode(F.translate(F.regexp_replace(upper_ascii(text), "[^A-Z]", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(26)))), "UTF-8")
+    """A text's letters as bytes 1-26, everything else left out (translate takes a zero byte for a deletion)."""
+    return F.encode(F.translate(F.regexp_replace(upper_ascii(text), "[^A-Z]", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(1, 27)))), "UTF-8")
+
+
+def letter_shares(spark, sf_dir) -> np.ndarray:
+    """Background of the letters: their shares in all queries' texts. 26 numbers come to the driver."""
+    text = upper_ascii(F.coalesce("text", F.lit("")))
+    counts = table(spark, sf_dir, "benchmark").agg(*(F.coalesce(F.sum(F.length(text) - F.length(F.replace(text, F.lit(a)))), F.lit(0)).alias(a) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).first()
+    seen = np.array(list(counts), dtype=float) + 1
+    return seen / seen.sum()
 
 
-def byte_table(query: bytes, same: int = 8, other: int = -3) -> np.ndarray:
-    """The score table of a query sequence: bytes with the offset added, one row a position."""
-    t = np.full((len(query), 26), OFFSET + other, dtype=np.uint8)
-    t[np.arange(len(query)), list(query)] = OFFSET + same
-    return t
+def byte_table(query: bytes, shares: np.ndarray, own: float = 0.8) -> np.ndarray:
+    """The score table of a query sequence: log2 of (own letter's share mixed with the background) over the background, in
+    units of a bit's part, as bytes with the offset added, one row a position. State 0 is no letter."""
+    mixed = (1 - own) * np.tile(shares, (len(query), 1))
+    mixed[np.arange(len(query)), np.array(list(query), dtype=np.int64) - 1] += own
+    scores = np.clip(np.floor(np.log2(mixed / shares) * ITERATIVE.bit_factor + OFFSET + 0.5), 0, 255).astype(np.uint8)
+    return np.concatenate([np.zeros((len(query), 1), dtype=np.uint8), scores], 1)
 
 
 def query_sequence(spark, sf_dir) -> bytes:
@@ -33,33 +47,43 @@ def query_sequence(spark, sf_dir) -> bytes:
     return bytes(row[0]["s"]) if row else b""
 
 
-def _targets(spark, sf_dir):
-    """All documents as state sequences, dealt evenly: the work of a row is far larger than its bytes."""
+def _targets(spark, sf_dir, only=None):
+    """All documents, or those of the names in only, as state sequences, dealt evenly: the work of a row is far larger than its bytes."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), letter_codes(F.coalesce("text", F.lit(""))).alias("states")).repartition(n)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text")
+    docs = docs if only is None else docs.join(few(only), "name", "left_semi")
+    return docs.repartition(n).select("name", letter_codes(F.coalesce("text", F.lit(""))).alias("states"))
 
 
 def ungapped_prefilter(spark, sf_dir):
-    return dp.prefilter_join(_targets(spark, sf_dir), byte_table(query_sequence(spark, sf_dir)), "ungapped")
+    return dp.prefilter_join(_targets(spark, sf_dir), byte_table(query_sequence(spark, sf_dir), letter_shares(spark, sf_dir)), "ungapped")
 
 
 def gapped_prefilter(spark, sf_dir):
-    return dp.prefilter_join(_targets(spark, sf_dir), byte_table(query_sequence(spark, sf_dir)), "gapped")
+    return dp.prefilter_join(_targets(spark, sf_dir), byte_table(query_sequence(spark, sf_dir), letter_shares(spark, sf_dir)), "gapped")
 
 
 def top_hits(spark, sf_dir):
     """The ranked hit list of one query sequence over all documents: cheap scores, length correction, floored top-k, gapped
-    scores of what is left, statistics, paging."""
+    scores of what is left, statistics against the number of documents searched, paging."""
     q = query_sequence(spark, sf_dir)
-    first = dp.prefilter_join(_targets(spark, sf_dir), byte_table(q), "ungapped").where("t_len > 0")
-    first = stored(first.withColumn("score", hits.length_corrected(F.col("score"), F.lit(max(1, len(q))), F.col("t_len"), 1)), "first-scores")  # read by the floor and by the threshold; three numbers a row
-    left = hits.floor_top_k(first, "score", "name", ITERATIVE.min_prefilter_hits, ITERATIVE.smax_thresh).select("name")
-    again = dp.prefilter_join(_targets(spark, sf_dir).join(left, "name", "left_semi"), byte_table(q), "gapped")
-    found = again.select(F.lit("query").alias("query"), F.col("name").alias("target"), F.col("name").alias("file"), (F.col("score") / 4.0).alias("score"), F.lit(0.0).alias("score_ss"), F.col("t_len").cast("int").alias("t_len"), F.lit(3.0).alias("t_neff"), F.lit(max(1, len(q))).alias("q_len"), F.lit(3.0).alias("q_neff"))
-    listed = hits.paged(hits.calibrated(found, 1000), ITERATIVE.z, ITERATIVE.Z, ITERATIVE.p, ITERATIVE.E)
+    own = byte_table(q, letter_shares(spark, sf_dir))
+    first = dp.prefilter_join(_targets(spark, sf_dir), own, "ungapped").where("t_len > 0")
+    first = stored(first.withColumn("score", hits.length_corrected(F.col("score"), F.lit(max(1, len(q))), F.col("t_len"), ITERATIVE.bit_factor)), "first-scores")  # read by the floor and by the threshold; three numbers a row
+    left = hits.floor_top_k(first, "score", "name", ITERATIVE.min_prefilter_hits, TEXTS.smax_thresh).select("name")
+    again = dp.prefilter_join(_targets(spark, sf_dir, left), own, "gapped")
+    found = again.select(F.lit("query").alias("query"), F.col("name").alias("target"), F.col("name").alias("file"), (F.col("score") / float(ITERATIVE.bit_factor)).alias("score"), F.lit(0.0).alias("score_ss"), F.col("t_len").cast("int").alias("t_len"), F.lit(3.0).alias("t_neff"), F.lit(max(1, len(q))).alias("q_len"), F.lit(3.0).alias("q_neff"))
+    listed = hits.paged(hits.calibrated(found, first.select("name").distinct().count()), ITERATIVE.z, ITERATIVE.Z, ITERATIVE.p, ITERATIVE.E)
     return listed.select("line", "target", "t_len", "score", F.round("probab", 4).alias("probab"), F.round("log_eval", 4).alias("log_eval"))
 
 
+def batch_prefilter(spark, sf_dir):
+    """What the prefilter keeps of all documents for every benchmark item, in tiles of items."""
+    shares = letter_shares(spark, sf_dir)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), letter_codes(F.coalesce("text", F.lit(""))).alias("states"))
+    return tiles.prefilter(queries, _targets(spark, sf_dir), lambda q: byte_table(q, shares), replace(TEXTS, min_prefilter_hits=10))
+
+
 def seqid_filter(spark, sf_dir):
     return redundancy.identity_filter(alignment_rows(spark, sf_dir), 90)
 
@@ -145,8 +169,6 @@ def iterative_search(spark, sf_dir):
         return spark.createDataFrame(rows, mean.schema), neff, 0
 
     start = p.join(p.agg(F.min("hmm").alias("hmm")), "hmm", "left_semi").select(F.lit(-1).cast("long").alias("hmm"), F.lit(0).alias("i"), "r", "p")
-    from dataclasses import replace
-
     search = iterate.Search(find, take, replace(ITERATIVE, rounds=4, e=0.2, neff_max=1e9))
     return search.run(start, spark).select("target", "score", "eval", "first_round")
 
@@ -182,8 +204,24 @@ def independent_hits(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        top_hits, ungapped_prefilter, gapped_prefilter, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
+        top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
         state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }
-SQL: dict[str, str] = {}
+#: A run's score changes at equal letters and falls evenly between them, so only equal letters need rows: the best run of a diagonal is the
+#: largest rise of the running sum over its least value before. Bytes saturate at 255, the offset included.
+SQL: dict[str, str] = {
+    "ungapped_prefilter": r"""with l as (select unnest(range(26)) as a), sh as (select a, (sum(length(t) - length(replace(t, chr(cast(65 + a as integer)), ''))) + 1.0::double) as n from (select translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as t from benchmark), l group by a),
+f as (select a, n / sum(n) over () as f from sh),
+w as (select f.a as a, cast(floor(log2((0.2 * f + 0.8) / f) * 4 + 50.5) as integer) - 50 as same, cast(floor(log2(0.2 * f / f) * 4 + 50.5) as integer) - 50 as other from f),
+qs as (select regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from benchmark order by item_id limit 1),
+q as (select unnest(generate_series(1, length(s))) as i, unnest(string_split(s, '')) as c from qs),
+ds as (select doc_id, regexp_replace(translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from documents),
+d as (select doc_id, unnest(generate_series(1, length(s))) as j, unnest(string_split(s, '')) as c from ds where s <> ''),
+m as (select doc_id, j - i as g, i, same, other from d join q using (c) join w on a = ascii(c) - 65),
+p as (select doc_id, g, i, sum(same - other) over (partition by doc_id, g order by i) as up, same, other from m),
+e as (select doc_id, g, up + other * i as here, up - (same - other) + other * (i - 1) as before, i from p),
+b as (select doc_id, here - min(before) over (partition by doc_id, g order by i) as s from e),
+t as (select doc_id, least(205, max(s)) as s from b group by 1)
+select doc_id as name, length(ds.s) as t_len, cast(coalesce(t.s, 0) as bigint) as score from ds left join t using (doc_id)""",
+}
