@@ -375,3 +375,50 @@ def never_empty(kept: DataFrame) -> DataFrame:
     any_kept = Window.partitionBy("msa")
     first = F.min("k").over(any_kept) == F.col("k")
     return kept.withColumn("kept", F.col("kept") | (~F.bool_or("kept").over(any_kept) & first))
+
+
+# ---- the filter tool: all figures of a member in one pass ---------------------------------------------------
+
+
+def with_first(rows: DataFrame) -> DataFrame:
+    """rows with ``q``, the row of each alignment's first member, and ``columns``, the alignment's width."""
+    first = rows.groupBy("msa").agg(F.min_by("row", "k").alias("q"), F.max(F.length("row")).cast("long").alias("columns"))
+    return rows.join(few(first), "msa")
+
+
+def member_figures(rows: DataFrame, scores: DataFrame, gap_open: float = 6.0, gap_extend: float = 1.0) -> DataFrame:
+    """(msa, k, row, columns, nres, differ, score) of members with a residue: what ``coverage``, ``query_identity`` and ``query_score`` look
+    at, in one walk along a member's row beside the first one's. scores: (a, b, s) of the 20 residues; no row is made for a cell."""
+    known = {(r["a"], r["b"]): float(r["s"]) for r in scores.collect()}  # 400 rows
+    table = F.array(*(F.array(*(F.lit(known.get((a, b), 0.0)) for b in LETTERS)) for a in LETTERS))
+    text = lambda c: F.translate(F.col(c), "".join(SAME), "".join(SAME.values()))
+    met = with_first(rows).withColumn("_r", text("row")).withColumn("_q", F.rpad(text("q"), F.greatest(F.length("q"), F.length("row")), F.lit("-")))
+    # From the first to the last residue; what lies outside counts for nothing.
+    lead = F.length("_r") - F.length(F.ltrim(F.col("_r"), F.lit("-")))
+    inner = F.trim(F.col("_r"), F.lit("-"))
+    met = met.withColumn("_n", F.length(inner)).where("_n > 0").withColumn("_a", F.split(inner, "")).withColumn("_b", F.split(F.substring("_q", lead + 1, F.col("_n")), ""))
+    place = lambda c: F.instr(F.lit(LETTERS), c)  # noqa: E731  0: no residue
+    pairs = F.zip_with("_a", "_b", lambda a, b: F.struct(place(a).alias("a"), place(b).alias("b"), (a == "-").alias("ga"), (b == "-").alias("gb")))
+    none = F.struct(F.lit(0).cast("long").alias("nres"), F.lit(0).cast("long").alias("differ"), F.lit(0.0).alias("score"), F.lit(0).alias("was"))
+
+    def step(s: Column, p: Column) -> Column:
+        real, facing = p["a"] > 0, p["b"] > 0
+        # 1: residues on both sides, 2: a gap in the first row, 3: a gap in the member, 0: neither, which leaves the run as it is.
+        kind = F.when(real & facing, 1).when(real & p["gb"], 2).when(p["ga"] & facing, 3).otherwise(0)
+        gain = F.when(kind == 1, F.get(F.get(table, p["b"] - 1), p["a"] - 1)).when(kind == 0, 0.0).when(kind == s["was"], -gap_extend).otherwise(-gap_open)
+        return F.struct(
+            (s["nres"] + real.cast("long")).alias("nres"), (s["differ"] + (real & (~facing | (p["a"] != p["b"]))).cast("long")).alias("differ"),
+            (s["score"] + gain).alias("score"), F.when(kind == 0, s["was"]).otherwise(kind).alias("was"),
+        )
+
+    return met.withColumn("_f", F.aggregate(pairs, none, step)).select("msa", "k", "row", "columns", "_f.nres", "_f.differ", "_f.score").where("nres > 0")
+
+
+def filter_tool(rows: DataFrame, scores: DataFrame, percent: int = 0, qid: int = 0, qsc: float = -20.0) -> DataFrame:
+    """Every member with a residue, its figures and whether coverage, identity and score with the first member all pass (msa, k, row,
+    columns, nres, differ, score, kept); an alignment's first member stays where none does. ``redundancy.identity_filter``
+    goes over what is kept."""
+    out = member_figures(rows, scores)
+    near = F.col("differ") < F.floor((0.9999 - 0.01 * qid) * F.col("nres") + 0.9999)
+    out = out.withColumn("kept", (100 * F.col("nres") >= percent * F.col("columns")) & near & (F.col("score") >= qsc * F.col("nres")))
+    return never_empty(out)

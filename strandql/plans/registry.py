@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandql.plans import format_queries, hits_queries, map_queries, msa_queries, search_queries, store_queries
+from strandql.plans import build_queries, format_queries, hits_queries, map_queries, msa_queries, search_queries, store_queries
 
-_FAMILIES = (store_queries, msa_queries, format_queries, hits_queries, map_queries, search_queries)
+_FAMILIES = (store_queries, msa_queries, format_queries, hits_queries, map_queries, build_queries, search_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
