@@ -106,7 +106,7 @@ def mix(df: DataFrame, schedules: Mapping[str | None, Knots] | None = None, repe
     # The documents meet the table of cells, not that of sources: no key of the join holds a large source.
     cells = cells.join(few(known.drop("source")), "key")
     along = Window.partitionBy("key", "cell").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = docs.withColumn("cell", cell).join(few(cells), ["key", "cell"]).withColumn("before", F.sum("size").over(along) - F.col("size") + F.col("offset"))
+    placed = docs.withColumn("cell", cell).join(cells, ["key", "cell"]).withColumn("before", F.sum("size").over(along) - F.col("size") + F.col("offset"))
 
     wanted, size, whole = F.floor("target"), F.col("size"), F.col("source_size")
     begun = F.when((size > 0) & (wanted > F.col("before")), F.floor((wanted - F.col("before") - 1) / whole).cast("int") + 1).otherwise(0)

@@ -119,3 +119,75 @@ def test_blocks_by_brute_force():
         want.close()
         want.cut()
         assert [b.text for b in H.blocks(page)] == want.out, page
+
+
+LONG = ARTICLE + "<p>A third one, longer than the others, tells at some length what the first two have only touched upon, so that it is prose.</p>"
+LONG_TEXT = TEXT + " A third one, longer than the others, tells at some length what the first two have only touched upon, so that it is prose."
+
+
+def test_no_name_of_an_ancestor_empties_an_article():
+    for open_ in (
+        '<div class="page-with-menu">', '<div class="nav-closed content">', '<div class="share-price-report">', '<div class="reply-to-critics">', '<div class="post-comment-count-0">', '<div id="menu-cooking">', '<article class="ad">',
+        '<form id="aspnetForm"><article>', "<form>", '<div class="menu">', '<div class="modal"><div>', "<fieldset>", '<section class="sidebar"><div class=x>',
+    ):
+        for around in ("", "<nav><a href=/>Home</a> <a href=/b>Away</a></nav>"):
+            assert H.main_text(f"{around}{open_}{LONG}") == LONG_TEXT, open_
+
+
+def test_headings_and_lists_stay_in_plain_containers():
+    assert H.main_text(f"<div><h1>Head</h1>{ARTICLE}</div>") == f"Head {TEXT}"
+    assert H.main_text(f"<div><ul><li>Flour</li><li>Water</li></ul>{ARTICLE}</div>") == f"Flour Water {TEXT}"
+    assert H.main_text(f"<div>{ARTICLE}<h2>More</h2><ol><li>One</li><li>Two</li><li>Three</li></ol>{ARTICLE}</div>") == f"{TEXT} More One Two Three {TEXT}"
+    assert H.main_text(f"<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul><div><h1>Head</h1>{ARTICLE}</div>") == f"Head {TEXT}"
+
+
+def test_notices_and_comments_without_names_go():
+    notice = "<div>We use cookies to make this site better. By going on you accept our policy.</div>"
+    assert H.main_text(f"{notice}<div>{LONG}</div>") == LONG_TEXT
+    comments = "<div><h3>3 Comments</h3><p>I have read this with great interest, and I agree with all of it.</p><div><p>So have I, but I do not agree with any of it at all.</p></div></div>"
+    assert H.main_text(f"<div>{LONG}</div>{comments}") == LONG_TEXT
+    assert H.main_text(f"<article>{LONG}{comments}</article>") == LONG_TEXT
+    assert H.main_text(f"<article>{LONG}<section class='comments'>{3 * LONG}</section></article>") == LONG_TEXT
+    # An article about cookies is no notice, and one word of a text no heading of comments.
+    about = "<p>Most cookies are baked with butter, and we use sugar, flour and a policy of patience.</p>"
+    assert "butter" in H.main_text(f"<article>{LONG}{about}{LONG}</article>")
+
+
+def test_weights_are_learned_from_certain_blocks(spark):
+    rng = random.Random(3)
+    counts = {(c, y): rng.randrange(1, 50) for c in rng.sample(range(H.COMBINATIONS), 60) for y in (False, True)}
+    got = H.fit(counts)
+    # At the optimum the slope in every direction is nought: a plain sum over blocks.
+    sides = {y: sum(n for (_, s), n in counts.items() if s == y) for y in (False, True)}
+    import numpy as np
+
+    w, slope = np.array(got) / 100, H.RIDGE * (np.array(got) - np.array(H.WEIGHTS)) / 100
+    for (c, y), n in counts.items():
+        p = 1 / (1 + np.exp(-sum(w[k] for k in H._parts(c))))
+        for k in H._parts(c):
+            slope[k] += n * sum(sides.values()) / 2 / sides[y] * (p - y)
+    assert np.abs(slope).max() < 0.01 * sum(sides.values())
+    assert H.fit({}) == H.WEIGHTS == H.fit({(3, True): 9})
+    pages = [f"<nav><a href=/>Home</a></nav><article><h1>T</h1>{ARTICLE}</article><div class=ad>Buy a thing of great value today.</div>"] * 40
+    df = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)] + [(99, None, None)], "page_id long, url string, html string")
+    seen = H.learn(df)
+    one = {}
+    for h in pages:
+        for key in H.certain(h):
+            one[key] = one.get(key, 0) + 1
+    assert seen == H.fit(one) != H.WEIGHTS
+    assert {r["text"] for r in H.extract(df).collect()} == {f"T {TEXT}", ""}
+
+
+def test_page_text_of_the_tables_is_the_article(spark):
+    """Pages of the tables have one article each: its blocks, read with a pattern, are the main text."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        if inner:
+            text = re.sub(r"</?(?:p|h1|div|ul|li)\b[^>]*>|<br>", " ", inner[1])
+            assert got[r["page_id"]] == " ".join(unescape(re.sub(r"</?b>", "", text)).split()), r["page_id"]
