@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,15 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 #: Used by local sessions that name no checkpoint folder, as in tests.
 LOCAL_SHARED = "/tmp/strandql-shared"
 
-#: Folders made so far; names only.
-MADE: list[str] = []
+#: Folders made so far by each thread, so that jobs of several threads don't clear each other's tables; names only.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def made() -> list[str]:
+    found = _MADE.get()
+    if found is None:
+        _MADE.set(found := [])
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    made().append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made()[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -79,12 +87,16 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all tables that were stored inside, for work whose result has been written by then."""
-    begun = len(MADE)
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete at the end all tables that were stored inside, for work whose result has been written by then; but for those that were
+    put into the list: what a result that is still to be read reads."""
+    begun, kept = len(made()), []
     try:
-        yield
+        yield kept
     finally:
-        for folder in MADE[begun:]:
-            _delete(spark, folder)
-        del MADE[begun:]
+        stay = {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in kept for name in df.inputFiles()[:1]}
+        rest = made()[begun:]
+        for folder in rest:
+            if folder.rsplit("/", 1)[1] not in stay:
+                _delete(spark, folder)
+        made()[begun:] = [f for f in rest if f.rsplit("/", 1)[1] in stay]
