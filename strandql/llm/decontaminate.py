@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandql.llm.common import stored, text_of
+from strandql.llm.common import dropped, stored, text_of
 
 #: Marked places of the fixed masks, each over at most SPAN words. Together they leave a seed in every overlap that counts:
 #: 13 words whichever two are exchanged, 12 or 11 whichever one is, and 10 equal ones (an item of 11 words cut short).
@@ -91,7 +91,9 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     best = met.select("id", "fp", F.explode(F.transform("hits", _compared)).alias("h")).select("id", "fp", "h.*").groupBy("id", "fp", "item").agg(F.max("equal").alias("best"), F.max("n").alias("n"))
     # An item shorter than OVERLAP words needs the same share of its own; one shorter than SPAN was found as a whole.
     enough = F.col("best") * OVERLAP >= MATCHES * F.least(F.lit(OVERLAP), F.greatest(F.lit(SPAN), F.col("n")))
-    return best.where(enough | (F.col("n") < SPAN)).drop("n")
+    best = stored(best.where(enough | (F.col("n") < SPAN)).drop("n"), "contaminated")
+    dropped(docs.sparkSession, found)
+    return best
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

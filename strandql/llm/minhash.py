@@ -12,8 +12,7 @@
 A link needs ``den * |A and B| >= num * |A or B|``. At similarity 0.8 two texts share no band with probability 5e-8, and a
 true link has fewer than AGREE equal minima with probability 3e-7; nothing else is lost, and no pair but one of those
 candidates is ever made. Large buckets are dealt out in chunks, of members as of those that are compared with them and by
-their shingles as by their number, so no task holds one. A bucket of more than HEAVY comparisons is parted by a second band
-first, which a true link lacks with probability 1e-6. A hub of many members and a set of many copies are several keys.
+their shingles as by their number, so no task holds one. A hub of many members and a set of many copies are several keys.
 
 Null, empty and wordless texts have no shingle and link with nothing; texts of fewer than k words have one. Rows of
 equal ids are one node; a null id links with nothing and gets a null component. Extra columns aren't read.
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandql.llm.common import bounded_batches, dropped, stored
+from strandql.llm.common import bounded_batches, dropped, stored, swept
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -44,9 +43,8 @@ BROADCAST_IDS = 1_000_000
 CHUNK, CHUNK_SHINGLES = 512, 2_000_000
 #: Texts that a worker shingles at a time.
 SLICE = 1000
-#: Comparisons of a bucket beyond which a second band parts it, pairs of a hub that one of its salts holds, and copies of a
-#: set beyond which they meet its component by a broadcast.
-HEAVY, SPLIT_PAIRS, SPLIT_COPIES = 1 << 28, 1_000, 10_000
+#: Pairs of a hub that one of its salts holds, and copies of a set beyond which they meet its component by a broadcast.
+SPLIT_PAIRS, SPLIT_COPIES = 1_000, 10_000
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)[:, None]
@@ -225,14 +223,9 @@ def _open_links(members: DataFrame, comps: DataFrame, dist: DataFrame, sigs: Dat
     """
     near = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     near = near.join(dist.select(F.col("a").alias("hub"), F.col("b").alias("id"), "far"), ["hub", "id"], "left").withColumn("far", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("far")))
-    near = stored(near.withColumn("second", F.lit(-1)), "bucket-members")
+    near = stored(near, "bucket-members")
     parted = _parted(near)
-    heavy = F.col("size").cast("double") * F.col("asked") > HEAVY
-    if parted.where(heavy).limit(1).count():
-        again = parted.where(heavy).join(sigs.select("id", "sig"), "id").select(*near.columns, F.posexplode(_bands()).alias("other", "print")).where("other > band")
-        again = again.withColumn("second", F.col("other")).withColumn("bucket", F.xxhash64("bucket", "other", "print")).select(*near.columns)
-        parted = _parted(stored(parted.where(~heavy).select(*near.columns).union(again), "bucket-members"))
-    kept = ("band", "second", "id", "component", "far")
+    kept = ("band", "id", "component", "far")
     split = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = parted.select("bucket", split("chunks").alias("chunk"), every("parts").alias("part"), F.lit(0).alias("side"), *kept)
@@ -242,7 +235,7 @@ def _open_links(members: DataFrame, comps: DataFrame, dist: DataFrame, sigs: Dat
         key, rows, table, used = None, [], None, None
         for b in batches:
             out: list[tuple] = []
-            for bucket, chunk, part, side, band, second, i, c, d, s in zip(*(x.to_pylist() for x in b.columns)):
+            for bucket, chunk, part, side, band, i, c, d, s in zip(*(x.to_pylist() for x in b.columns)):
                 d = np.nan if d is None else d
                 if (bucket, chunk, part) != key:
                     key, rows, table = (bucket, chunk, part), [], None
@@ -261,9 +254,6 @@ def _open_links(members: DataFrame, comps: DataFrame, dist: DataFrame, sigs: Dat
                 at, same = at[good], same[good]
                 shared = same.reshape(-1, BANDS, ROWS).all(2)
                 here = shared.argmax(1) == band
-                if second >= 0:
-                    shared[:, : band + 1] = False
-                    here &= shared[:, second] & (shared.argmax(1) == second)
                 at = at[here]
                 if len(at):
                     out.append((bucket, chunk, part, 1, i, c))
@@ -313,32 +303,34 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     """id, n_shingles, component_id (smallest id reachable over links) and kept (the id is its component's), one row per row of df."""
     spark = df.sparkSession
     bounded_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = stored(signatures(df, k, id_col, text_col), "signatures")
-    real = own.where("id is not null and n_shingles > 0")
-    classes = stored(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
-    sigs = classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
-
-    met = classes.select(F.col("rep").alias("id"), "n_shingles", F.posexplode(_bands()).alias("band", "bucket"))
-    buckets = stored(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("n")).where("n > 1 and hub <> other"), "buckets")
-    large = buckets.where("n > 2").select("bucket", "hub")
-    members = stored(met.join(_small(large), "bucket"), "members")
-    pairs = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("other").alias("b")).union(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-    pairs = stored(pairs, "hub-pairs")
-    near = stored(_agreeing(pairs, sigs), "near-pairs")
-    first = stored(_measured(near, docs, k), "measured")
-    linked = lambda m: m.where(den * F.col("both") >= num * F.col("either")).select("a", "b")
-
-    # Ids that occur with different texts tie these texts' classes together.
-    twice = real.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).where("lo <> hi").select("id")
-    ties = real.join(twice, "id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stored(linked(first).union(ties), "links")
-    comps = stored(components(links), "components")
-
-    dist = first.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    more = stored(_open_links(members, comps, dist, sigs, docs, k, num, den), "open-links")
-    if more.limit(1).count():
-        comps = stored(components(links.union(more)), "components")
+    with swept(spark) as kept:
+        docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        own = stored(signatures(df, k, id_col, text_col), "signatures")
+        real = own.where("id is not null and n_shingles > 0")
+        classes = stored(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
+        sigs = classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
+
+        met = classes.select(F.col("rep").alias("id"), "n_shingles", F.posexplode(_bands()).alias("band", "bucket"))
+        buckets = stored(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("n")).where("n > 1 and hub <> other"), "buckets")
+        large = buckets.where("n > 2").select("bucket", "hub")
+        members = stored(met.join(_small(large), "bucket"), "members")
+        pairs = buckets.where("n = 2").select(F.col("hub").alias("a"), F.col("other").alias("b")).union(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+        pairs = stored(pairs, "hub-pairs")
+        near = stored(_agreeing(pairs, sigs), "near-pairs")
+        first = stored(_measured(near, docs, k), "measured")
+        linked = lambda m: m.where(den * F.col("both") >= num * F.col("either")).select("a", "b")
+
+        # Ids that occur with different texts tie these texts' classes together.
+        twice = real.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).where("lo <> hi").select("id")
+        ties = real.join(twice, "id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = stored(linked(first).union(ties), "links")
+        comps = stored(components(links), "components")
+
+        dist = first.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
+        more = stored(_open_links(members, comps, dist, sigs, docs, k, num, den), "open-links")
+        if more.limit(1).count():
+            comps = stored(components(links.union(more)), "components")
+        kept += [own, classes, comps]
 
     named = classes.join(comps, classes["rep"] == comps["node"], "left").where("n > 1 or component is not null").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     # Texts without shingles are all of one print, and many copies of one: neither may be a key of the join.
@@ -351,6 +343,5 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
         parts.append(met.where("_hot is not null").select("id", "n_shingles", F.col("_hot").alias("component_id")))
         cold = met.where("_hot is null").drop("_hot")
     parts.append(cold.join(named.where(F.col("n") <= SPLIT_COPIES), ["f1", "f2"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")))
-    dropped(spark, buckets, members, pairs, near, first, links)
     out = reduce(DataFrame.union, parts)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of the whole text (character classes, words, repetition, lines) are cut into at most BINS bins by
+Statistics of the whole text (character classes by Unicode category, words, repetition, lines) are cut into at most BINS bins by
 quantiles of the training rows; trees of fixed depth are grown level by level from gradient histograms of the
 logistic loss. A forest is flat arrays in heap order, so scoring walks all trees of all rows by numpy gathers.
 
@@ -11,7 +11,10 @@ scored like any other (all statistics 0). Repeated rows get equal scores. Other
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,24 @@ from strandql.llm.common import bounded_batches
 TRAIN_ROWS, BINS, TREES, DEPTH, RATE, RIDGE = 20_000, 64, 80, 5, 0.15, 1.0
 
 NAMES = ["log_chars", "log_words", "word_length", "letters", "upper", "digits", "spaces", "symbols", "pipes", "exclaims", "punctuation", "ends", "distinct", "adjacent", "repeat8", "repeat3", "dup_lines", "line_length", "line_ends", "short_words", "top_char", "entropy", "brackets", "wide", "case_changes"]
-_LATIN = bytes(range(256)).decode("latin-1")
-_UPPER = np.array([c.isupper() for c in _LATIN])
-_LETTER = np.array([c.isalpha() for c in _LATIN])
-_DIGIT = np.array([c.isdigit() for c in _LATIN])
-_SPACE = np.array([c.isspace() for c in _LATIN])
-_at = lambda s: np.frombuffer(s.encode("latin-1"), dtype=np.uint8)
-_SYMBOL, _PUNCT, _END, _BRACKET = _at("#*$%&|<>"), _at(",;:.?!\"'-"), _at(".?!"), _at("()[]{}\"")
+#: Symbols, sentence punctuation and ends, brackets, and the scripts that are written without spaces between words.
+SYMBOLS, PUNCTUATION, ENDS, BRACKETS = "#*$%&|<>", ",;:.?!\"'-、，。；：？！…·«»„“”‘’—–؟،।", ".?!。？！…؟।", "()[]{}\"（）「」『』【】"
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+UPPER, LETTER, DIGIT, SPACE, SYMBOL, PUNCT, END, BRACKET, NO_SPACES = (1 << k for k in range(9))
+
+
+@cache
+def classes() -> np.ndarray:
+    """The classes of every code point, by Unicode category, as bits."""
+    out = np.zeros(sys.maxunicode + 1, dtype=np.uint16)
+    of = {"Lu": UPPER | LETTER, "Lt": UPPER | LETTER, "Ll": LETTER, "Lm": LETTER, "Lo": LETTER, "Mn": LETTER, "Mc": LETTER, "Nd": DIGIT}
+    for c in range(sys.maxunicode + 1):
+        out[c] = of.get(category(chr(c)), 0) | (SPACE if chr(c).isspace() else 0)
+    for text, bit in ((SYMBOLS, SYMBOL), (PUNCTUATION, PUNCT), (ENDS, END), (BRACKETS, BRACKET)):
+        out[[ord(c) for c in text]] |= bit
+    for lo, hi in UNSPACED:
+        out[lo : hi + 1] |= np.where(out[lo : hi + 1] & LETTER, NO_SPACES, 0).astype(np.uint16)
+    return out
 
 
 def _repeated(h: np.ndarray, n: int) -> float:
@@ -49,23 +63,28 @@ def statistics(text: str | None) -> np.ndarray:
     out = np.zeros(len(NAMES))
     if not text:
         return out
-    raw = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     n = len(raw)
-    count = np.bincount(raw, minlength=256).astype(float)
+    kinds = classes()[raw]
+    count = np.bincount(raw).astype(float)
+    seen = np.flatnonzero(count)
+    share = count[seen] / n
+    of = lambda bit: float(np.count_nonzero(kinds & bit))
     words = text.split()
-    m = max(1, len(words))
-    letters = max(1.0, count[_LETTER].sum())
+    # A word of a script without spaces counts as two letters.
+    m = max(1.0, len(words) + of(NO_SPACES) / 2)
+    letters = max(1.0, of(LETTER))
     h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    share = count[count > 0] / n
-    up = _UPPER[raw]
+    top = count[seen[(classes()[seen] & LETTER) > 0]]
+    up = (kinds & UPPER) > 0
     out[:] = (
-        np.log1p(n), np.log1p(len(words)), sizes.mean() if len(words) else 0, letters / n, count[_UPPER].sum() / letters, count[_DIGIT].sum() / n,
-        count[_SPACE].sum() / n, count[_SYMBOL].sum() / m, count[ord("|")] / m, count[ord("!")] / m, count[_PUNCT].sum() / m, count[_END].sum() / m,
-        len(np.unique(h)) / m, (h[1:] == h[:-1]).sum() / m, _repeated(h, 8), _repeated(h, 3), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
-        sum(x.rstrip()[-1] in ".?!" for x in lines) / max(1, len(lines)), (sizes <= 2).sum() / m, count[_LETTER].max() / n, -(share * np.log(share)).sum(), count[_BRACKET].sum() / m,
-        (n - count[:128].sum()) / n, (up[1:] != up[:-1]).sum() / m,
+        np.log1p(n), np.log1p(m if words else 0), sizes.sum() / m, letters / n, of(UPPER) / letters, of(DIGIT) / n,
+        of(SPACE) / n, of(SYMBOL) / m, text.count("|") / m, (text.count("!") + text.count("！")) / m, of(PUNCT) / m, of(END) / m,
+        len(np.unique(h)) / max(1, len(words)), (h[1:] == h[:-1]).sum() / m, _repeated(h, 8), _repeated(h, 3), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
+        sum(x.rstrip()[-1] in ENDS for x in lines) / max(1, len(lines)), (sizes <= 2).sum() / m, top.max(initial=0) / n, -(share * np.log(share)).sum(), of(BRACKET) / m,
+        (raw >= 128).sum() / n, (up[1:] != up[:-1]).sum() / m,
     )
     return out
 
@@ -142,6 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # The chosen ids are at most train_rows, and so may be broadcast.
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label", F.xxhash64(id_col).alias("h"))
+    # An id may stand on many rows: the bound holds for rows too.
+    rows = rows.orderBy("h", F.xxhash64("text")).limit(train_rows)
     got = rows.mapInArrow(run, "x binary, label int, h long").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))

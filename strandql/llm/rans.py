@@ -318,7 +318,9 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, vocab_size: int, i
             yield cut()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens.select("id", "ids").repartitionByRange(n, "id").sortWithinPartitions("id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    # Rows of one id, or of none, are told apart by a print of theirs, so that many of them are no single range.
+    keyed = tokens.select("id", "ids", F.xxhash64("ids").alias("print"))
+    keyed.repartitionByRange(n, "id", "print").sortWithinPartitions("id", "print").select("id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     dropped(spark, tokens)
 
 

@@ -8,6 +8,8 @@ kinds (pem, url, opaque) live ones that no reported span covers are added. Only
 Positions are code points, the end exclusive. They come from the lengths of the matches and of the gaps between
 them, summed along each text, so no row is larger than a text and no step is quadratic in its matches.
 
+A private key is a span from its first mark to its last, whatever headers, escapes or quotes it has; its value is its body alone.
+
 Null and empty texts have no spans; repeated rows get equal spans; a null owner or repository counts as one owner or
 repository of its own; an empty table gives an empty table. Only the named columns are read.
 """
@@ -17,22 +19,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandql.llm.common import stored, text_of
+from strandql.llm.common import stored, swept, text_of
 
+_PRIVATE = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BEGIN = rf"-----BEGIN {_PRIVATE}"
 #: Kinds in their order, each with its pattern, the group that holds the value, and the least lengths of match and value.
 KINDS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 0, 6),
     # Runs are taken whole, so their least length may stand in the pattern: shorter ones hold no match either way.
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, 0),
     ("hex", r"[0-9a-f]{24,}", 0, 24, 0),
-    # Every run is taken whole, however long; none can begin twice at the same character, so matching stays linear.
-    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z0-9 ]*PRIVATE KEY-----)?", 0, 0, 0),
-    ("url", r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*)?://[^\s:/@]+:([^\s:/@]{6,})@", 1, 0, 0),
+    # Every run is taken whole, however long; none can begin twice at the same character, so matching stays linear. A key goes from its first mark
+    # to its last, over headers, line ends that are escaped, and quotes; its value is the body without all these.
+    ("pem", rf"{_BEGIN}(?:(?:\\[nr]|\s){{0,8}}[A-Za-z][A-Za-z-]{{1,30}}: ?[^\n\\]*){{0,8}}([A-Za-z0-9+/=\s\\\"',]*)(?:-----END {_PRIVATE})?", 1, 0, 24),
+    ("url", r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*)?://[^\s:/@]*:([^\s:/@]{6,})@", 1, 0, 0),
     ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 0, 0),
 ]
 BASE = ("assign", "access", "hex")
 #: A text without this has no span of any kind.
-ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |://[^\s:/@]+:[^\s:/@]{6,}@|""" + KINDS[5][1]
+ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |://[^\s:/@]*:[^\s:/@]{6,}@|""" + KINDS[5][1]
 #: A value is live while at most so many owners and at most so many repositories hold it; beyond either it is a copied example.
 MAX_OWNERS, MAX_REPOS = 2, 20
 #: Rows of a value from which on its counts are broadcast, and how many such values a broadcast may hold.
@@ -52,7 +57,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     kinds = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(name).alias("kind"), F.lit(size).alias("least"), F.lit(value).alias("least_value"), _matches(F.col("text"), p, g).alias("found")) for k, (name, p, g, size, value) in enumerate(KINDS)))
     rows = docs.select("id", F.xxhash64("text").alias("fp"), "owner", "repo", F.inline(kinds))
     rows = rows.select("id", "fp", "owner", "repo", "rank", "kind", "least", "least_value", F.posexplode("found").alias("i", "m")).where(F.col("m.match").isNotNull())
-    size, value = F.length("m.match"), F.col("m.value")
+    size, value = F.length("m.match"), F.when(F.col("kind") == "pem", F.regexp_replace("m.value", r"\\[nr]|[^A-Za-z0-9+/=]", "")).otherwise(F.col("m.value"))
     kept = (size >= F.col("least")) & (F.length(value) >= F.col("least_value"))
     return rows.select("id", "fp", "owner", "repo", "rank", "kind", "i", F.length("m.gap").alias("gap"), size.alias("size"), F.when(kept, F.sha2(value.cast("binary"), 256)).alias("value"))
 
@@ -71,27 +76,32 @@ def _owned(placed: DataFrame, own: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     count = hot.limit(BROADCAST_VALUES + 1).count()
     own = own.drop("rows")
     if not 0 < count <= BROADCAST_VALUES:
-        return placed.join(own, "value")
+        return placed.join(own, "value", "left")
     hot = F.broadcast(hot.drop("rows").withColumn("_hot", F.lit(True)))
     met = placed.join(hot, "value", "left")
-    cold = met.where(F.col("_hot").isNull()).drop("owners", "repos", "_hot").join(own, "value")
+    cold = met.where(F.col("_hot").isNull()).drop("owners", "repos", "_hot").join(own, "value", "left")
     return met.where("_hot").drop("_hot").unionByName(cold)
 
 
-def spans(df: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
-    """id, fp (hash of the text), rank, kind, start, end, owners, repos, live: the reported spans of each text.
+def spans(df: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, corpus: DataFrame | None = None, **columns: str) -> DataFrame:
+    """id, fp (hash of the text), rank, kind, start, end, owners, repos, live: the reported spans of each text, as a stored table.
+    corpus: the documents over which ownership is counted, where df is only what is left of them; a value that it lacks has one owner.
     columns: id_col, text_col, owner_col, repo_col."""
-    found = stored(candidates(df, **columns), "secret-candidates")
-    own = stored(ownership(found), "secret-owners")
-    one = found.groupBy("id", "fp", "rank", "kind", "i").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("value").alias("value"))  # repeated rows are equal
-    along = Window.partitionBy("id", "fp", "kind").orderBy("i")
-    placed = one.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("end") - F.col("size")).where(F.col("value").isNotNull())
-    is_base = F.col("kind").isin(*BASE)
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
-    seen = _owned(placed, own).withColumn("live", live).where(is_base | F.col("live"))
-    cover = Window.partitionBy("id", "fp").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    seen = seen.withColumn("covered", F.max(F.when(is_base, F.col("end"))).over(cover))
-    return seen.where(is_base | F.col("covered").isNull() | (F.col("covered") < F.col("end"))).select("id", "fp", "rank", "kind", "start", "end", "owners", "repos", "live")
+    with swept(df.sparkSession) as kept:
+        found = stored(candidates(df, **columns), "secret-candidates")
+        own = stored(ownership(found if corpus is None else candidates(corpus, **columns)), "secret-owners")
+        one = found.groupBy("id", "fp", "rank", "kind", "i").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("value").alias("value"))  # repeated rows are equal
+        along = Window.partitionBy("id", "fp", "kind").orderBy("i")
+        placed = one.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("end") - F.col("size")).where(F.col("value").isNotNull())
+        is_base = F.col("kind").isin(*BASE)
+        one_ = F.lit(1).cast("long")
+        owned = _owned(placed, own).withColumns({"owners": F.coalesce("owners", one_), "repos": F.coalesce("repos", one_)})
+        seen = owned.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where(is_base | F.col("live"))
+        cover = Window.partitionBy("id", "fp").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+        seen = seen.withColumn("covered", F.max(F.when(is_base, F.col("end"))).over(cover))
+        out = seen.where(is_base | F.col("covered").isNull() | (F.col("covered") < F.col("end"))).select("id", "fp", "rank", "kind", "start", "end", "owners", "repos", "live")
+        kept.append(out := stored(out, "secret-spans"))
+    return out
 
 
 def _joined(items: Column) -> Column:
@@ -118,13 +128,14 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, *(count(k) for k in BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), live, verdicts)
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, corpus: DataFrame | None = None) -> DataFrame:
     """df with every live span of its texts replaced by mark, copied examples and other rows and columns as they are.
+    corpus: the documents over which ownership is counted, if not df.
 
     Texts without a candidate never move; the others meet their spans by id and hash of the text.
     """
     odd = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    got = spans(df, max_owners, max_repos, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col).where("live")
+    got = spans(df, max_owners, max_repos, corpus, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col).where("live")
     # Spans that overlap become one: a span begins a new island where it starts beyond all ends before it.
     before = Window.partitionBy("id", "fp").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy("id", "fp").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, 0)

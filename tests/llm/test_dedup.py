@@ -62,7 +62,7 @@ def test_chains_and_families(spark):
 
 
 def test_hot_keys(spark, monkeypatch):
-    """Large buckets, hubs of many members, sets of many copies and a second band give the same components."""
+    """Large buckets, hubs of many members, and sets of many copies give the same components."""
     random.seed(9)
     base, rows = [f"w{random.randrange(300)}" for _ in range(80)], []
     for n in range(90):
@@ -73,7 +73,7 @@ def test_hot_keys(spark, monkeypatch):
     rows += [(200 + k, rows[0][1]) for k in range(30)] + [(300 + k, "") for k in range(20)] + [(400, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 2)
-    for name, values in (("small chunks", {"CHUNK": 4, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5}), ("few shingles", {"CHUNK_SHINGLES": 300, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5}), ("second band", {"HEAVY": 10, "CHUNK": 8})):
+    for name, values in (("small chunks", {"CHUNK": 4, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5}), ("few shingles", {"CHUNK_SHINGLES": 300, "SPLIT_PAIRS": 5, "SPLIT_COPIES": 5})):
         with monkeypatch.context() as m:
             for key, value in values.items():
                 m.setattr(minhash, key, value)
