@@ -29,7 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of smallest id. Rows without an id stay. Different texts under one
-    id are documents of their own, which come after all others in their groups; equal rows are one."""
+    id are documents of their own, which come after all others in their groups; rows that are equal in every column are one, and
+    rows of equal id and text that differ elsewhere all stay or go together."""
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_print()).alias("lo"), F.max(_print()).alias("hi")).where("n > 1").select(F.col("doc_id").alias("_again"), (F.col("lo") != F.col("hi")).alias("_differ"))
     repeated = again.limit(1).count() > 0
     if repeated:
@@ -42,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = rows.join(_marked(gone), F.col("_node") == F.col("_gone"), "left_anti")
     if not repeated:
         return kept.select(*docs.columns)
-    one = kept.where("_again is not null").groupBy("_node").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return kept.where("_again is null").select(*docs.columns).unionByName(one.select("_row.*"))
+    one = kept.where("_again is not null").select(*docs.columns).dropDuplicates()
+    return kept.where("_again is null").select(*docs.columns).unionByName(one)
 
 
 def _print() -> Column:
@@ -63,8 +64,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the live secrets in their texts replaced by a mark and n_chars counted again."""
-    clean = secrets.redact(docs)
+    """All documents, with the live secrets in their texts replaced by a mark and n_chars counted again. Ownership is counted over
+    the corpus as it was read: an example stays one that thousands hold, though near copies of it are gone by now."""
+    clean = secrets.redact(docs, corpus=read_table(spark, sf_dir, "documents"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
