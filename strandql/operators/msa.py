@@ -4,15 +4,17 @@ Rows are (msa, k, i, r): alignment, member, column from 1, symbol. Long form is
 and stays inside code generation.
 
 Figures of columns take row texts (msa, k, row). These are cut into blocks of BLOCK columns, and the blocks of an alignment
-meet by (msa, block): that moves a byte a cell. Everything of a column is then counted where it lies, the 20 residues as
-one vector, and nothing else moves but sums. The members of a large alignment are dealt over several salts, whose
+meet by (msa, block): that moves a byte a cell. Residues are then counted where they lie, a batch of blocks at a time in
+numpy, and a block's counts are one vector; nothing else moves but sums. The members of a large alignment are dealt over several salts, whose
 vectors are added up, so no task holds more than SALT members of a block.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +55,65 @@ def block_cells(blocks_: DataFrame, *more: str) -> DataFrame:
     return out.select("msa", "b", "salt", "k", "first", "last", *more, "j", "r", F.get("cells", F.col("j") + 1).alias("next"), (F.col("b") * BLOCK + F.col("j") + 1).cast("long").alias("i"))
 
 
-def _sums(cells: DataFrame, value: Column, large: DataFrame | None) -> DataFrame:
-    """(msa, b, j, one column for each residue): sums of value over the cells of a column that hold it, null for none."""
-    placed = cells.withColumn("a", F.instr(F.lit(LETTERS), F.col("r")))
-    summed = placed.groupBy("msa", "b", "salt", "j").agg(*(F.sum(F.when(F.col("a") == k, value)).alias(f"_{a}") for k, a in enumerate(LETTERS, 1)))
-    if large is not None:  # the salts of a column
-        summed = summed.groupBy("msa", "b", "j").agg(*(F.sum(f"_{a}").alias(f"_{a}") for a in LETTERS))
-    return summed.drop("salt")
-
-
-def _added(values: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, values)
+#: Byte to place in LETTERS, 20 for everything else.
+_PLACE = np.full(256, 20, dtype=np.int64)
+_PLACE[[ord(c) for c in LETTERS]] = np.arange(20)
+
+
+def _places(segs: list[str]) -> np.ndarray:
+    """Block texts as a matrix of places in LETTERS; what lies beyond a text's end is no residue."""
+    raw = b"".join(s.encode("latin-1", "replace")[:BLOCK].ljust(BLOCK, b"-") for s in segs)
+    return _PLACE[np.frombuffer(raw, dtype=np.uint8).reshape(len(segs), BLOCK)]
+
+
+def _groups(b: pa.RecordBatch) -> tuple[np.ndarray, list[tuple]]:
+    """For rows that are sorted by (msa, b, salt): the number of each row's group, and the groups' keys."""
+    keys, number = [], np.empty(b.num_rows, dtype=np.int64)
+    for k, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("msa", "b", "salt")))):
+        if not keys or key != keys[-1]:
+            keys.append(key)
+        number[k] = len(keys) - 1
+    return number, keys
+
+
+def _counted(blocks_: DataFrame, large: DataFrame | None, weight: str | None = None) -> DataFrame:
+    """(msa, b, v): how often each residue stands in each column of a block, or the sum of weights, as one vector of BLOCK times 20 numbers.
+    A task adds up the blocks that it holds in numpy, one batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(keys: list[tuple], sums: np.ndarray) -> pa.RecordBatch:
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (BLOCK * 20)), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], kind), pa.array([k[1] for k in keys], pa.int32()), flat], names=["msa", "b", "v"])
+
+        last, held, kind = None, None, pa.string()
+        for b in batches:
+            kind = b.column("msa").type
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                number, keys = _groups(part)
+                place = _places(part.column("seg").to_pylist())
+                real = place < 20
+                index = ((number[:, None] * BLOCK + np.arange(BLOCK)) * 20 + place)[real]
+                w = None if weight is None else np.repeat(part.column("w").to_numpy(), BLOCK)[real.ravel()]
+                sums = np.bincount(index, w, minlength=len(keys) * BLOCK * 20).astype(np.float64).reshape(len(keys), -1)
+                if last is not None:
+                    if keys[0] == last:
+                        sums[0] += held
+                    else:
+                        yield rows([last], held[None])
+                if len(keys) > 1:
+                    yield rows(keys[:-1], sums[:-1])
+                last, held = keys[-1], sums[-1]
+        if last is not None:
+            yield rows([last], held[None])
+
+    cols = [F.col("msa"), F.col("b"), F.col("salt"), F.col("seg"), *([F.col(weight).cast("double").alias("w")] if weight else [])]
+    out = blocks_.select(*cols, "k").sortWithinPartitions("msa", "b", "salt", "k").drop("k").mapInArrow(run, f"msa {dict(blocks_.dtypes)['msa']}, b int, v array<double>")
+    if large is None:
+        return out
+    # The salts of a block: few, each of thousands of members.
+    several = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), F.get("vs", F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return out.groupBy("msa", "b").agg(F.collect_list("v").alias("vs")).select("msa", "b", several.alias("v"))
 
 
 def text_rows(df: DataFrame, msa: Column, k: Column, text: Column) -> DataFrame:
@@ -204,25 +254,42 @@ def residue_cells(cells: DataFrame) -> DataFrame:
     return cells.where("r <> '-' and r not in ('J', 'O', 'X')").withColumn("r", F.translate("r", "UBZ", "CDE"))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each member gets from the columns of each of its blocks, and its residues there. Rows come sorted; a block's
+    table (side 0) before its members."""
+    share = None
+    for b in batches:
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            side, member, n = part.column("side").to_numpy(), np.zeros(part.num_rows), np.zeros(part.num_rows, dtype=np.int64)
+            ends = [*np.flatnonzero(side == 0).tolist(), part.num_rows]
+            begin = 0
+            for k, end in enumerate(ends):
+                if end > begin:
+                    place = _places(part.column("seg").slice(begin, end - begin).to_pylist())
+                    member[begin:end] = share[np.arange(BLOCK), place].sum(1)
+                    n[begin:end] = (place < 20).sum(1)
+                if end < part.num_rows:
+                    count = np.asarray(part.column("v")[end].values.to_numpy()).reshape(BLOCK, 20)
+                    kinds = (count > 0).sum(1, keepdims=True)
+                    # A symbol that is no residue gets nothing.
+                    share = np.concatenate([np.divide(1.0, count * kinds, out=np.zeros_like(count), where=count > 0), np.zeros((BLOCK, 1))], 1)
+                begin = end + 1
+            own = pa.array(side == 1)
+            yield pa.RecordBatch.from_arrays([part.column("msa").filter(own), part.column("k").filter(own), pa.array(member).filter(own), pa.array(n).filter(own)], names=["msa", "k", "s", "nres"])
+
+
 def global_weights(rows: DataFrame, pseudo: int = 30) -> DataFrame:
     """Henikoff weights (msa, k, w), normalised to 1 within an alignment: a member gets 1 / (members with its residue *
     residues of the column * (its length + pseudo)) from each column. A member without residues has none."""
     large = large_alignments(rows)
     own = blocks(rows, large)
-    counts = _sums(block_cells(own), F.lit(1), large)
-    kinds = _added([F.coalesce((F.col(f"_{a}") > 0).cast("int"), F.lit(0)) for a in LETTERS])
-    shares = counts.select("msa", "b", "j", F.array(*(1.0 / (F.col(f"_{a}") * kinds) for a in LETTERS)).alias("v"))
-    # Every column of a block up to its last has a row, so the places of the table are the columns.
-    tables = shares.groupBy("msa", "b").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("t")).select("msa", "b", F.col("t.v").alias("t"))
-    if large is not None:
-        tables = tables.join(large, "msa", "left").select("msa", "b", "t", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    else:
-        tables = tables.withColumn("salt", F.lit(0))
-    # In place: a block's table is far larger than a cell, so no row is made for a cell here.
-    found = F.transform(F.split("seg", ""), lambda r, j: F.get(F.get("t", j), F.instr(F.lit(LETTERS), r) - 1))
-    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    summed = F.aggregate(found, none, lambda done, x: F.struct((done["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (done["n"] + x.isNotNull().cast("long")).alias("n")))
-    share = own.join(tables, ["msa", "b", "salt"]).select("msa", "k", summed.alias("x")).select("msa", "k", F.col("x.s").alias("s"), F.col("x.n").alias("nres")).where("nres > 0")
+    tables = _counted(own, large)
+    # The table of a block stands before its members in each of its salts.
+    every = F.lit(0) if large is None else F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    tables = (tables if large is None else tables.join(large, "msa", "left")).select("msa", "b", every.alias("salt"), F.lit(0).alias("side"), F.lit(None).cast(dict(rows.dtypes)["k"]).alias("k"), F.lit("").alias("seg"), "v")
+    met = tables.unionByName(own.select("msa", "b", "salt", F.lit(1).alias("side"), "k", "seg", F.lit(None).cast("array<double>").alias("v")))
+    share = met.repartition("msa", "b", "salt").sortWithinPartitions("msa", "b", "salt", "side", "k").mapInArrow(_shared, f"msa {dict(rows.dtypes)['msa']}, k {dict(rows.dtypes)['k']}, s double, nres long").where("nres > 0")
     share = share.groupBy("msa", "k").agg(F.sum("s").alias("s"), F.sum("nres").alias("nres"))
     raw = share.select("msa", "k", (F.col("s") / (F.col("nres") + pseudo) + 1e-6).alias("raw"))
     total = raw.groupBy("msa").agg(F.sum("raw").alias("total"))
@@ -233,10 +300,22 @@ def frequency_vectors(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted residue frequencies of each column that has a residue, in the order of LETTERS (msa, i, f: array).
     The weights meet the row texts, not their cells."""
     large = large_alignments(rows)
-    summed = _sums(block_cells(blocks(rows.join(weights, ["msa", "k"]), large, "w"), "w"), F.col("w"), large)
-    own = [F.coalesce(F.col(f"_{a}"), F.lit(0.0)) for a in LETTERS]
-    total = summed.withColumn("n", _added(own)).where("n > 0")
-    return total.select("msa", _column(), F.array(*(x / F.col("n") for x in own)).alias("f"))
+    summed = _counted(blocks(rows.join(weights, ["msa", "k"]), large, "w"), large, "w")
+    return summed.mapInArrow(_columns, f"msa {dict(rows.dtypes)['msa']}, i long, f array<double>")
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shares of the residues in each column of a block that has one."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            v = np.asarray(part.column("v").flatten().to_numpy()).reshape(-1, 20)
+            total = v.sum(1)
+            real = np.flatnonzero(total > 0)
+            block, place = np.divmod(real, BLOCK)
+            f = pa.ListArray.from_arrays(pa.array(np.arange(len(real) + 1, dtype=np.int32) * 20), pa.array((v[real] / total[real, None]).ravel()))
+            i = part.column("b").to_numpy().astype(np.int64)[block] * BLOCK + place + 1
+            yield pa.RecordBatch.from_arrays([part.column("msa").take(pa.array(block)), pa.array(i), f], names=["msa", "i", "f"])
 
 
 def column_frequencies(vectors: DataFrame) -> DataFrame:
