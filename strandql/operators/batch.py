@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandql.session import stored, swept
 
 
 def map_entries(entries: DataFrame, f: Callable[[str], str | None]) -> DataFrame:
@@ -36,7 +39,8 @@ def apply_program(entries: DataFrame, command: list[str], timeout: float = 600.0
 
 
 def feed_program(entries: DataFrame, command: list[str]) -> int:
-    """Entries fed one after the other to one program for each partition, output not kept; returns how many."""
+    """Entries fed one after the other to one program for each partition, output not kept; returns how many. A program that fails
+    fails its task, and so the job."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import subprocess
@@ -47,17 +51,16 @@ def feed_program(entries: DataFrame, command: list[str]) -> int:
                 p.stdin.write(payload or "")
                 n += 1
         p.stdin.close()
-        p.wait()
+        if p.wait():
+            raise RuntimeError(f"{command[0]} ended with status {p.returncode}")
         yield pd.DataFrame({"n": [n]})
 
-    return sum(r["n"] for r in entries.select("payload").mapInPandas(run, "n long").collect())
+    return entries.select("payload").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_sinks(df: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], folder: str) -> None:
-    """Several sinks from one result, which is computed once."""
-    df = df.persist()
-    try:
+    """Several sinks from one result, which is computed once and read as a table, so that lost executors cost nothing."""
+    with swept(df.sparkSession):
+        df = stored(df, "sinks")
         for name, make in sinks.items():
             make(df).write.parquet(f"{folder}/{name}")
-    finally:
-        df.unpersist()

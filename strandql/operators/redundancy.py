@@ -1,7 +1,7 @@
 """Greedy redundancy and diversity filters: one alignment at a time, alignments in parallel.
 
-The choice of a member depends on all chosen before it, so an alignment is the unit of work; alignments beyond
-``max_members`` rows should be split or pre-filtered by coverage first.
+The choice of a member depends on all chosen before it, so an alignment is the unit of work; very large ones should be
+filtered by coverage or score first (``msa.filter_tool``), which goes row by row.
 """
 
 from __future__ import annotations
@@ -105,14 +105,15 @@ def identity_filter(rows: DataFrame, max_id: int = 90, diversity: int = 0, first
 
 
 def neff_of(x: np.ndarray) -> float:
-    """Mean over columns of two to the entropy."""
-    out = []
-    for col in x.T:
-        c = np.bincount(col[col != 255], minlength=26)
-        if c.sum():
-            p = c[c > 0] / c.sum()
-            out.append(2 ** -(p * np.log2(p)).sum())
-    return float(np.mean(out)) if out else 1.0
+    """Mean over columns of two to the entropy of the residues' weighted shares, by position-based weights of the members."""
+    if not len(x):
+        return 1.0
+    f = _counts(x, henikoff(x))
+    total = f.sum(1)
+    p = f[total > 0] / total[total > 0, None]
+    if not len(p):
+        return 1.0
+    return float(np.exp2(-(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)).mean())
 
 
 def query_scores(rows: list[str], table: np.ndarray, gap_open: float = 6.0, gap_extend: float = 1.0) -> np.ndarray:

@@ -42,6 +42,7 @@ class Params:
     egt: float = 0.0
     ss_weight: float = 0.11
     min_columns: int = 6
+    realign_max: int = 500
     viterbi_band: int = 40
     mac_band: int = 2
     min_overlap: int = 0

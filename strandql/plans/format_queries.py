@@ -96,8 +96,9 @@ def store_files_round_trip(spark, sf_dir):
     folder = new_folder(spark, "flat-store")
     entries = documents_store(spark, sf_dir)
     store_files.write_store(entries, folder)
-    back = store_files.read_index(spark, f"{folder}/index").where("length > 0")
-    return back.select("name", "offset", "length")
+    sizes = store_files.read_index(spark, f"{folder}/index").select("name", "offset", "length")
+    back = store_files.read_store(spark, f"{folder}/data", f"{folder}/index")
+    return sizes.join(back, "name").select("name", "offset", "length", F.md5(F.col("payload").cast("binary")).alias("md5"))
 
 
 def store_named(spark, sf_dir):
@@ -116,7 +117,11 @@ def long_hits(spark, sf_dir):
 
 _A3M = """a3m as (select concat_ws('/', lang, source) as msa, doc_id as k, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '-', 'g') as "row" from documents)"""
 _SIZED = """msa, k, length("row") as size, md5("row") as md5"""
-_PROB = {key: "case when -s > 200 then 100.0::double else 100.0 / (1 + pow(sqrt({}::double) * exp(s / {}) + sqrt({}::double) * exp(s / {}), 2)) end".format(*evd.PROBABILITY[key]) for key in evd.PROBABILITY}
+# The constants of the four curves, written out here as they were published: (local, with structure) to squared factor, width, squared factor, width.
+_PROB = {
+    key: f"case when -s > 200 then 100.0::double else 100.0 / (1 + pow(sqrt({a}::double) * exp(s / {b}) + sqrt({c}::double) * exp(s / {d}), 2)) end"
+    for key, a, b, c, d in (((True, True), 6000.0, 5.0, 0.12, 64.0), ((True, False), 4000.0, 5.0, 0.15, 68.0), ((False, True), 4000.0, 6.0, 0.13, 68.0), ((False, False), 6000.0, 5.0, 0.10, 74.0))
+}
 SQL = {
     "match_states": f"""with {_A3M} select msa, k, length(regexp_replace("row", '[a-z]', '', 'g')) as n from a3m""",
     "drop_inserts": f"""with {_A3M}, b as (select msa, k, regexp_replace("row", '[a-z]', '', 'g') as "row" from a3m) select {_SIZED} from b""",
@@ -139,7 +144,7 @@ SQL = {
     "weighted_inserts": f"""with {_A3M}, p as (select msa, k, regexp_extract_all('-' || "row", '[A-Z-][a-z]*') as parts from a3m), u as (select msa, 1 + k % 5 as w, unnest(generate_series(0, len(parts) - 1)) as after, unnest(parts) as part from p),
  t as (select msa, after, cast(sum(w) as double) / sum(w * (length(part) - 1)) as im from u where length(part) > 1 group by 1, 2) select msa, after, round(im, 6) as im, round(1 - im, 6) as ii from t""",
     "probabilities": "with a as (select l_orderkey, l_linenumber, -(l_quantity * 2 - fmod(l_extendedprice, 37)) as s from lineitem) select l_orderkey, l_linenumber, " + ", ".join(f"round({_PROB[loc, ss]}, 6) as p_{int(loc)}{int(ss)}" for loc in (True, False) for ss in (True, False)) + " from a",
-    "store_files_round_trip": """with e as (select cast(doc_id as varchar) as name, octet_length(encode(coalesce(text, ''))) + 1 as length from documents) select name, cast(sum(length) over (order by name rows unbounded preceding) - length as bigint) as "offset", cast(length as bigint) as length from e""",
+    "store_files_round_trip": """with e as (select cast(doc_id as varchar) as name, md5(coalesce(text, '')) as md5, octet_length(encode(coalesce(text, ''))) + 1 as length from documents) select name, cast(sum(length) over (order by name rows unbounded preceding) - length as bigint) as "offset", cast(length as bigint) as length, md5 from e""",
     "store_named": """select cast(doc_id as varchar) as name, octet_length(encode(coalesce(text, ''))) as size from documents where doc_id in (select doc_id from labels where quality = 1)""",
     "long_hits": "select l_orderkey, count(*) as matched_cols from lineitem group by 1 having count(*) >= 6",
 }

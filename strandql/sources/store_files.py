@@ -44,7 +44,8 @@ def write_store(entries: DataFrame, folder: str) -> None:
 
 
 def unpack(entries: DataFrame, folder: str) -> int:
-    """Each entry as a file of a folder that all machines share, on a cluster below the session's shared one; returns how many."""
+    """Each entry as a file of a folder that all machines share, on a cluster below the session's shared one; returns how many.
+    Names are written as in addresses (a slash as %2F), so that no two share a file."""
     from strandql.session import shared_dir
 
     spark = entries.sparkSession
@@ -53,11 +54,12 @@ def unpack(entries: DataFrame, folder: str) -> int:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
+        from urllib.parse import quote
 
         os.makedirs(folder, exist_ok=True)
         for f in frames:
             for name, payload in zip(f["name"], f["payload"]):
-                with open(os.path.join(folder, name.replace("/", "_")), "w") as out:
+                with open(os.path.join(folder, quote(name, safe=" ")), "w") as out:
                     out.write(payload)
             yield pd.DataFrame({"n": [len(f)]})
 
