@@ -139,10 +139,11 @@ def realigned_selection(found: DataFrame, params: Params = ITERATIVE) -> DataFra
     return found.where(F.when(F.col("eval") <= params.e, F.col("line") <= max(params.realign_max, wide)).otherwise(plain))
 
 
-def searched_rounds(own: DataFrame, members: DataFrame, model: DataFrame, params: Params = ITERATIVE) -> tuple[DataFrame, DataFrame]:
+def searched_rounds(own: DataFrame, members: DataFrame, model: DataFrame, params: Params = ITERATIVE, realign: bool = True) -> tuple[DataFrame, DataFrame]:
     """The fix point of search and merge for all queries: (their alignments (query, n, name, row), the last round's hits with the round that
     took each in). own: queries' alignments (query, k, name, row), members: the targets' (msa, k, name, row), all A3M. A round's new
     alignments are tables; a query without new hits stays as it is, and the loop ends when none has any."""
+    model = stored(model, "model")  # 400 rows, read for every preparation
     targets = stored(prepared(match_rows(members), model, params), "targets")
     target_rows = members.select("msa", "k", "name", "row")
     kind = dict(members.dtypes)["msa"]
@@ -152,7 +153,7 @@ def searched_rounds(own: DataFrame, members: DataFrame, model: DataFrame, params
     for turn in range(1, params.rounds + 1):
         numbered_ = now.select(F.col("query").alias("msa"), F.struct("round", "at").alias("k"), "row")
         queries = stored(prepared(match_rows(numbered_), model, params), "profiles")
-        found = search(queries, targets, model, params)
+        found = search(queries, targets, model, params, realign)
         found = found.join(few(queries.select(F.col("name").alias("query"), "length")), "query")
         ready = found.select("query", "target", "irep", F.col("target").alias("msa"), "eval", "matched_cols", "length", F.col("target").cast("string").alias("name"), "path", "score", "probab")
         if seen is not None:

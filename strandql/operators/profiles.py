@@ -19,12 +19,12 @@ def substitution_model(joint: DataFrame) -> DataFrame:
     return out.select("a", "b", "p", "pa", "pb", (F.col("p") / F.col("pb")).alias("r"), F.log2(F.col("p") / (F.col("pa") * F.col("pb"))).alias("s"))
 
 
-def counted_joint(cells: DataFrame, weights: DataFrame) -> DataFrame:
+def counted_joint(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Joint probabilities estimated from alignment columns: the outer product of weighted residue shares, summed over
     columns. Columns are pre-aggregated to at most 20 residues first, so pairs stay at 400 a column."""
-    from strandql.operators.msa import column_frequencies
+    from strandql.operators.msa import column_frequencies, frequency_vectors
 
-    f = column_frequencies(cells, weights)
+    f = column_frequencies(frequency_vectors(rows, weights))
     a, b = f.select("msa", "i", F.col("r").alias("a"), F.col("f").alias("fa")), f.select("msa", "i", F.col("r").alias("b"), F.col("f").alias("fb"))
     return a.join(b, ["msa", "i"]).groupBy("a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("p"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import context, dp, hits, iterate, msa, redundancy, tiles
+from strandql.operators import context, dp, hits, iterate, msa, preparation, profiles, redundancy, tiles
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, spread, table
 from strandql.session import few, stored
@@ -173,6 +173,36 @@ def iterative_search(spark, sf_dir):
     return search.run(start, spark).select("target", "score", "eval", "first_round")
 
 
+def _families(spark, sf_dir):
+    """Parts as aligned members of the family of their name: the letters of name and type."""
+    p = table(spark, sf_dir, "part")
+    row = F.regexp_replace(upper_ascii(F.concat("p_name", "p_type")), "[^A-Z]", "")
+    return p.select(F.col("p_name").alias("msa"), F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("name"), row.alias("row"))
+
+
+def search_rounds(spark, sf_dir):
+    """The first part of every name, as a query of one sequence, against the families of all names: searched, merged and searched again with
+    what was found, by a model counted from the families themselves."""
+    members = _families(spark, sf_dir)
+    rows = preparation.match_rows(members)
+    joint = profiles.counted_joint(rows, msa.global_weights(rows))
+    own = members.groupBy(F.col("msa").alias("query")).agg(F.min(F.struct("k", "name", "row")).alias("m")).select("query", "m.*")
+    # A pair that never shares a column still has a small share.
+    every = spark.createDataFrame([(a, b, 1e-4) for a in LETTERS for b in LETTERS], "a string, b string, p double")
+    model = profiles.substitution_model(joint.unionByName(every).groupBy("a", "b").agg(F.sum("p").alias("p")))
+    now, last = preparation.searched_rounds(own, members, model, replace(ITERATIVE, rounds=2, min_prefilter_hits=5), realign=False)
+    size = now.groupBy("query").agg(F.count("*").alias("members"))
+    return last.join(few(size), "query").select("query", "target", "irep", "matched_cols", F.round("score", 4).alias("score"), F.col("first_round"), "members")
+
+
+def count_profiles(spark, sf_dir):
+    """Residue counts of the columns of families, normalised to each column's effective number."""
+    rows = preparation.match_rows(_families(spark, sf_dir))
+    cols = msa.frequency_vectors(rows, msa.global_weights(rows)).withColumn("neff", F.pow(F.lit(2.0), F.aggregate("f", F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log2(x)).otherwise(0.0))))
+    named = F.filter(F.transform("c", lambda x, a: F.struct(F.substring(F.lit(LETTERS), a + 1, F.lit(1)).alias("r"), F.round(x, 6).alias("c"))), lambda x: x["c"] > 0)
+    return preparation.count_profile(cols).select("msa", "i", F.inline(named))
+
+
 def similarity_tree(spark, sf_dir):
     """The tree of the labels' mean profiles by Bhattacharyya similarity."""
     e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("r", "x")).groupBy("label", "r").agg(F.avg(F.exp(F.col("x").cast("double"))).alias("w"))
@@ -204,13 +234,18 @@ def independent_hits(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
+        top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, search_rounds, count_profiles, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
         state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }
 #: A run's score changes at equal letters and falls evenly between them, so only equal letters need rows: the best run of a diagonal is the
 #: largest rise of the running sum over its least value before. Bytes saturate at 255, the offset included.
 SQL: dict[str, str] = {
+    "count_profiles": """with r as (select p_name as msa, p_partkey as k, regexp_replace(translate(p_name || p_type, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from part),
+ c as (select msa, k, unnest(generate_series(1, length(s))) as i, unnest(string_split(s, '')) as r from r where s <> ''), res as (select msa, k, i, translate(r, 'UBZ', 'CDE') as r from c where r not in ('J', 'O', 'X')),
+ cnt as (select msa, i, r, count(*) as n from res group by 1, 2, 3), kinds as (select msa, i, count(*) as kinds from cnt group by 1, 2), raw as (select res.msa, res.k, sum(1.0::double / (n * kinds)) / (count(*) + 30) + 1e-6 as raw from res join cnt using (msa, i, r) join kinds using (msa, i) group by 1, 2),
+ w as (select msa, k, raw / sum(raw) over (partition by msa) as w from raw), s as (select msa, i, r, sum(w) as s from res join w using (msa, k) group by 1, 2, 3), f as (select msa, i, r, s / sum(s) over (partition by msa, i) as f from s),
+ n as (select msa, i, pow(2.0, -sum(f * log2(f))) as neff from f group by 1, 2) select msa, i, r, round(f * neff, 6) as c from f join n using (msa, i)""",
     "ungapped_prefilter": r"""with l as (select unnest(range(26)) as a), sh as (select a, (sum(length(t) - length(replace(t, chr(cast(65 + a as integer)), ''))) + 1.0::double) as n from (select translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as t from benchmark), l group by a),
 f as (select a, n / sum(n) over () as f from sh),
 w as (select f.a as a, cast(floor(log2((0.2 * f + 0.8) / f) * 4 + 50.5) as integer) - 50 as same, cast(floor(log2(0.2 * f / f) * 4 + 50.5) as integer) - 50 as other from f),

@@ -17,11 +17,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, data: str, index: str) -> DataFrame:
-    """Entries of a store. The data file is cut at its end bytes by the reader's own splits, so a large file is read by
-    many tasks; entries and index lines meet by their place in the order of offsets."""
+    """Entries of a store whose data is a file, or a folder of parts that are read one after the other in order of their numbers. Files are cut at
+    their end bytes by the reader's own splits, so a large one is read by many tasks; entries and index lines meet by their
+    place in the order of offsets."""
     from pyspark.sql import Window
 
-    entries = spark.read.option("lineSep", "\x00").text(data).select(F.col("value").alias("payload"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    path = F.col("_metadata.file_path")
+    part = F.coalesce(F.regexp_extract(path, r"/part-([0-9]+)[^/]*$", 1).try_cast("int"), F.lit(-1))
+    entries = spark.read.option("lineSep", "\x00").text(data).select(F.col("value").alias("payload"), F.struct(part.alias("part"), path.alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("_block"), F.monotonically_increasing_id().alias("_id"))
     sized = entries.withColumn("_size", F.octet_length("payload") + 1)
     blocks = sized.groupBy("_block").agg(F.sum("_size").alias("_sum"))
     # One row a split: their running sum is small.
