@@ -185,7 +185,7 @@ def search_rounds(spark, sf_dir):
     what was found, by a model counted from the families themselves."""
     members = _families(spark, sf_dir)
     rows = preparation.match_rows(members)
-    joint = profiles.counted_joint(rows, msa.global_weights(rows))
+    joint = stored(profiles.counted_joint(rows, stored(msa.global_weights(rows), "weights")), "joint")  # 400 rows at most, read several times
     own = members.groupBy(F.col("msa").alias("query")).agg(F.min(F.struct("k", "name", "row")).alias("m")).select("query", "m.*")
     # A pair that never shares a column still has a small share.
     every = spark.createDataFrame([(a, b, 1e-4) for a in LETTERS for b in LETTERS], "a string, b string, p double")
