@@ -162,8 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The chosen ids are at most train_rows, and so may be broadcast.
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label", F.xxhash64(id_col).alias("h"))
     # An id may stand on many rows: the bound holds for rows too.
-    rows = rows.orderBy("h", F.xxhash64("text")).limit(train_rows)
-    got = rows.mapInArrow(run, "x binary, label int, h long").toPandas()
+    got = rows.mapInArrow(run, "x binary, label int, h long").orderBy("h", "x", "label").limit(train_rows).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.stack([np.frombuffer(b) for b in got["x"]])
