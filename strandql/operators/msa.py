@@ -469,7 +469,7 @@ def member_figures(rows: DataFrame, scores: DataFrame, gap_open: float = 6.0, ga
     """(msa, k, row, columns, nres, differ, score) of members with a residue: what ``coverage``, ``query_identity`` and ``query_score`` look
     at, in one walk along a member's row beside the first one's. scores: (a, b, s) of the 20 residues; no row is made for a cell."""
     known = {(r["a"], r["b"]): float(r["s"]) for r in scores.collect()}  # 400 rows
-    table = F.array(*(F.array(*(F.lit(known.get((a, b), 0.0)) for b in LETTERS)) for a in LETTERS))
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{known.get((a, b), 0.0)!r}D" for b in LETTERS) + ")" for a in LETTERS) + ")")
     text = lambda c: F.translate(F.col(c), "".join(SAME), "".join(SAME.values()))
     met = with_first(rows).withColumn("_r", text("row")).withColumn("_q", F.rpad(text("q"), F.greatest(F.length("q"), F.length("row")), F.lit("-")))
     # From the first to the last residue; what lies outside counts for nothing.

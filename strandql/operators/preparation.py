@@ -60,7 +60,7 @@ def background_of(model: DataFrame) -> np.ndarray:
 
 
 def _vector(values) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def column_profiles(rows: DataFrame, model: DataFrame, params: Params = ITERATIVE) -> DataFrame:
