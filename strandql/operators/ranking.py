@@ -26,6 +26,37 @@ def ranking_net(inputs: list[Column], hidden: list[tuple[list[float], float]], o
     return logistic(total)
 
 
+# The published net that predicts a template's similarity from score, structure score, sum of probabilities over the query's length,
+# score a column and similarity: weights and bias of each hidden unit, output weights, output bias.
+SIMILARITY_NET = (
+    [
+        ([-3.129355e-04, -1.589077e-02, -2.161848e00, 2.226650e-01, -4.868254e-01], 2.849843e00),
+        ([4.035841e-03, 8.064615e-02, -1.659731e01, 8.745763e-01, -1.147158e00], 2.111072e00),
+        ([4.432926e-03, 4.485627e-02, 1.612531e01, -6.115551e00, -3.739336e00], -1.083691e01),
+        ([8.667732e-02, 2.469719e-01, 3.679384e00, -8.063131e-01, -4.584766e00], -4.135554e00),
+        ([-8.657036e-01, -3.492344e-01, -1.328472e-01, -5.744038e-01, 3.360329e-02], -4.120570e-01),
+    ],
+    [-7.531151e00, -9.724150e-01, -2.660009e00, 7.692027e-01, 1.438417e00],
+    2.0,
+)
+
+
+def predicted_similarity(hits: DataFrame) -> DataFrame:
+    """Hits (score, score_ss, sum_probs, matched_cols, similarity, q_len) with ``predicted``, to six places. An alignment without columns counts as
+    one of one column."""
+    cols, length = (F.greatest(F.lit(1), F.col(c)) for c in ("matched_cols", "q_len"))
+    inputs = [F.col("score"), F.col("score_ss"), F.col("sum_probs") / length, F.col("score") / cols, F.col("similarity")]
+    return hits.withColumn("predicted", F.round(ranking_net(inputs, *SIMILARITY_NET), 6))
+
+
+def ranked_templates(hits: DataFrame, top: int = 10) -> DataFrame:
+    """Each query's ``top`` templates by predicted similarity (ties: the lower target), numbered."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("predicted").desc(), "target"))
+    return predicted_similarity(hits).withColumn("rank", place).where(F.col("rank") <= top)
+
+
 def tagged_columns(consensus: str) -> list[int]:
     """Columns, from 0, of purification tags and of what stands close around them."""
     out: set[int] = set()

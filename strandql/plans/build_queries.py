@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import database, fields, msa
+from strandql.operators import database, fields, msa, ranking
 from strandql.plans.msa_queries import SQL as _MSA
 from strandql.plans.tables import alignment_rows, table
 from strandql.session import new_folder
@@ -93,6 +93,13 @@ def matrix_runs(spark, sf_dir):
     return matrices.runs(_cells(spark, sf_dir)).drop("irep")
 
 
+def ranked_templates(spark, sf_dir):
+    """Each supplier's ten best order lines by the net that ranks templates."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("query"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("target")).agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("e"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    hits = lines.select("query", "target", F.col("q").alias("score"), (F.col("d") * 50).alias("score_ss"), (F.col("e") / 4000).alias("sum_probs"), (F.floor("q") * 2).alias("matched_cols"), (F.col("t") * 10).alias("similarity"), F.lit(40).alias("q_len"))
+    return ranking.ranked_templates(hits).select("query", "target", "predicted", "rank")
+
+
 _DB = """d as (select doc_id, cast(doc_id as varchar) as name, coalesce(text, '') as t from documents), good as (select distinct doc_id from labels where quality = 1), bad as (select distinct doc_id from labels where toxic = 1),
 u as (select *, case when doc_id % 7 = 0 then translate(t, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else t end as now from d where doc_id not in (select doc_id from bad)),
 m as (select doc_id, name, 'a3m' as kind, now as p, case when now <> t then 2 else 1 end as generation from u union all select doc_id, name, 'hhm', 'H' || t, 1 from u where doc_id in (select doc_id from good))"""
@@ -115,6 +122,11 @@ SQL = {
  z as (select x.hmm, x.i, bias.state, any_value(bias) + coalesce(sum(w), 0) as z from c x, bias left join (select c.hmm, c.i - w.d as i, w.state, w.w from c join w using (r)) y on y.hmm = x.hmm and y.i = x.i and y.state = bias.state group by 1, 2, 3),
  p as (select hmm, i, state, exp(z - max(z) over (partition by hmm, i)) as e from z), t as (select hmm, i, r, sum(e * pc) as e from p join em using (state) group by 1, 2, 3)
  select hmm, cast(i as integer) as i, r, round(e / sum(e) over (partition by hmm, i), 6) as pc from t""",
+    "ranked_templates": """with h as (select l_suppkey as query, concat_ws(':', l_orderkey, l_linenumber, l_partkey) as target, max(l_quantity) as s, max(l_discount) * 50 as ss, max(l_extendedprice) / 4000 / 40 as p, max(l_quantity) / greatest(1, floor(max(l_quantity)) * 2) as c, max(l_tax) * 10 as m from lineitem group by 1, 2),
+ u as (select query, target, 1 / (1 + exp(-(-0.0003129355 * s - 0.01589077 * ss - 2.161848 * p + 0.2226650 * c - 0.4868254 * m + 2.849843))) as a, 1 / (1 + exp(-(0.004035841 * s + 0.08064615 * ss - 16.59731 * p + 0.8745763 * c - 1.147158 * m + 2.111072))) as b,
+  1 / (1 + exp(-(0.004432926 * s + 0.04485627 * ss + 16.12531 * p - 6.115551 * c - 3.739336 * m - 10.83691))) as d, 1 / (1 + exp(-(0.08667732 * s + 0.2469719 * ss + 3.679384 * p - 0.8063131 * c - 4.584766 * m - 4.135554))) as e, 1 / (1 + exp(-(-0.8657036 * s - 0.3492344 * ss - 0.1328472 * p - 0.5744038 * c + 0.03360329 * m - 0.4120570))) as f from h),
+ o as (select query, target, round(1 / (1 + exp(-(-7.531151 * a - 0.9724150 * b - 2.660009 * d + 0.7692027 * e + 1.438417 * f + 2.0))), 6) as predicted from u)
+ select query, target, predicted, cast(rank as integer) as rank from (select *, row_number() over (partition by query order by predicted desc, target) as rank from o) where rank <= 10""",
     "matrix_runs": f"with {_CELLS} select query, target, kind, i, j, n, bytes from r",
     "matrix_entries": f"""with {_CELLS}, h as (select distinct query, target from c where 10 + query % 90 >= 20 and 100 + target * 200 < 4000 and 1 + (query % 5) * 0.03 < 1.1::double),
  m as (select query, target, kind, string_agg({_U16.format("i")} || {_U16.format("j")} || bytes || '00', '' order by i, j) || '0000' as t from r group by 1, 2, 3),
