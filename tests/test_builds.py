@@ -193,3 +193,23 @@ def test_matrix_rows_read_back(spark):
             assert b[at + n] == 0
             at += n + 1
     assert at == len(b) and seen.keys() == {k[3:] for k in cells if k[1] == "a"}
+
+
+def test_template_net_by_hand(spark):
+    from math import exp
+
+    from strandql.operators import ranking
+
+    rows = [("q", t, float(7 * t), 0.5 * t, 3.0 * t, 5 * t, 0.1 * t, 40) for t in range(12)] + [("r", 0, 0.0, 0.0, 0.0, 0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "query string, target int, score double, score_ss double, sum_probs double, matched_cols int, similarity double, q_len int")
+    logistic = lambda z: 1 / (1 + exp(-z))
+    hidden, output, bias = ranking.SIMILARITY_NET
+    want = {}
+    for q, t, s, ss, p, c, m, n in rows:
+        x = [s, ss, p / max(1, n), s / max(1, c), m]
+        want[q, t] = logistic(bias + sum(o * logistic(b + sum(a * v for a, v in zip(w, x))) for (w, b), o in zip(hidden, output)))
+    got = {(r["query"], r["target"]): r["predicted"] for r in ranking.predicted_similarity(df).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    best = [(r["query"], r["rank"], r["target"]) for r in ranking.ranked_templates(df, 2).orderBy("query", "rank").collect()]
+    order = sorted(range(12), key=lambda t: (-round(want["q", t], 6), t))
+    assert best == [("q", 1, order[0]), ("q", 2, order[1]), ("r", 1, 0)]
