@@ -7,12 +7,15 @@ filtered by coverage or score first (``msa.filter_tool``), which goes row by row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandql.session import BROADCAST_ROWS, dropped, stored
+
 GAPS = 20  # codes from here on are no residues
 
 
@@ -266,7 +269,7 @@ def prune_similar(vectors: DataFrame, group: str, name: str, vector: str, limit:
         v = np.sqrt(np.maximum(0, np.stack([np.asarray(x, dtype=float) for x in f[vector]])))
         v /= np.maximum(1e-30, np.linalg.norm(v, axis=1, keepdims=True))
         live = np.ones(len(f), dtype=bool)
-        total = (v @ v.T).sum(1)
+        total = v @ v.sum(0)  # the similarities to all, without their matrix
         while live.sum() > limit:
             worst = int(np.where(live, total, -np.inf).argmax())
             live[worst] = False
@@ -292,27 +295,35 @@ def independent(hits: DataFrame, limit: int) -> DataFrame:
     return hits.select("query", "target", "rank", "i1", "i2").groupBy("query").applyInPandas(run, f"query {kinds['query']}, target {kinds['target']}, rank {kinds['rank']}")
 
 
-def greedy_cover(gains: DataFrame, alpha: float = 1.0, limit: int = 10) -> DataFrame:
-    """Targets that together cover a query best (query, target, turn): each turn takes the target of the largest sum of
-    exp(alpha * (p - best so far)) - 1 over the positions it improves. gains: (query, target, i, p)."""
-    kinds = dict(gains.dtypes)
+#: Decimals of a turn's gains: sums in another order are equal to so many, and less than half of the last one is no gain.
+GAIN_DIGITS = 9
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        wide = f.pivot_table(index="target", columns="i", values="p", aggfunc="max", fill_value=0.0).sort_index()
-        p, names = wide.to_numpy(), wide.index.tolist()
-        best, out = np.zeros(p.shape[1]), []
-        left = np.ones(len(names), dtype=bool)
-        while left.any() and len(out) < limit:
-            gain = np.where(left, np.expm1(alpha * np.maximum(0, p - best)).sum(1), -1.0)
-            k = int(gain.argmax())
-            if gain[k] <= 1e-12:
-                break
-            left[k] = False
-            best = np.maximum(best, p[k])
-            out.append((f["query"].iloc[0], names[k], len(out) + 1))
-        return pd.DataFrame(out, columns=["query", "target", "turn"])
 
-    return gains.select("query", "target", "i", "p").groupBy("query").applyInPandas(run, f"query {kinds['query']}, target {kinds['target']}, turn int")
+def greedy_cover(gains: DataFrame, alpha: float = 1.0, limit: int | None = 10) -> DataFrame:
+    """Targets that together cover a query best (query, target, turn): each turn takes the target of the largest sum of
+    exp(alpha * (p - best so far)) - 1 over the positions it improves, of equal ones the least; limit: turns at most, None for as many as
+    gain anything. gains: (query, target, i, p); rows with a null are left out.
+
+    A turn goes over all queries at once: sums by (query, target), one target a query, and the best of its positions joined
+    back. A cell that a turn's best reaches can't gain any more and is gone, so the turns read less and less.
+    """
+    open_ = gains.where("query is not null and target is not null and i is not null and p > 0").groupBy("query", "target", "i").agg(F.max("p").cast("double").alias("p"))
+    open_ = stored(open_.withColumn("best", F.lit(0.0)), "cover")
+    taken, turn = [], 0
+    while limit is None or turn < limit:
+        turn += 1
+        gain = open_.groupBy("query", "target").agg(F.round(F.sum(F.expm1(alpha * (F.col("p") - F.col("best")))), GAIN_DIGITS).alias("g")).where("g > 0")
+        picked = stored(gain.groupBy("query").agg(F.min(F.struct((-F.col("g")).alias("g"), "target"))["target"].alias("target")).withColumn("turn", F.lit(turn)), "cover-turn")
+        taken.append(picked)
+        n = 0 if turn == limit else picked.limit(BROADCAST_ROWS + 1).count()
+        if not n:
+            break
+        chosen = open_.join(F.broadcast(picked) if n <= BROADCAST_ROWS else picked, ["query", "target"]).select("query", "i", F.col("p").alias("now"))
+        left = open_.join(chosen, ["query", "i"], "left").withColumn("best", F.greatest("best", F.coalesce("now", F.lit(0.0)))).where("p > best")
+        before, open_ = open_, stored(left.select("query", "target", "i", "p", "best"), "cover")
+        dropped(gains.sparkSession, before)
+    dropped(gains.sparkSession, open_)
+    return reduce(DataFrame.unionByName, taken)
 
 
 def distances(sim: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from strandql.operators import context, dp, hits, iterate, msa, preparation, pro
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, spread, table
 from strandql.session import few, stored
+from strandql.sources import matrices
 
 OFFSET = ITERATIVE.score_offset
 #: Texts of one language share words by nature, so here a run has to be longer than one of them to pass the prefilter.
@@ -131,6 +132,13 @@ def posterior_mac(spark, sf_dir):
     return a.select("query", "target", "irep", "matched_cols", F.round(posts, 6).alias("sum_probs"))
 
 
+def posterior_matrices(spark, sf_dir):
+    """Every part's posteriors with the five regions, of a hundredth or more, as the bytes of its matrix, in hexadecimal digits."""
+    a = dp.align_join(_pairs(spark, sf_dir), np.full(20, 0.05), PAIRWISE, realign=True, least=0.01)
+    cells = a.select("query", "target", "irep", F.lit("posterior").alias("kind"), F.inline("cells"))
+    return matrices.matrices(matrices.runs(cells)).select("query", "target", "irep", F.hex("matrix").alias("matrix"))
+
+
 def tabular_hits(spark, sf_dir):
     a = dp.align_join(_pairs(spark, sf_dir), np.full(20, 0.05), PAIRWISE)
     path = F.transform("path", lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j"), s["state"].alias("state"), (s["s"] > 2).alias("same")))
@@ -234,13 +242,23 @@ def independent_hits(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, search_rounds, count_profiles, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac, tabular_hits,
-        state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
+        top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, search_rounds, count_profiles, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac,
+        posterior_matrices, tabular_hits, state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }
+#: Greedy turns one after the other, each over what the one before it left open.
+_COVER = "".join(
+    f""", g{k} as materialized (select query, target, round(sum(exp(p - best) - 1), 9) as g from o{k} group by 1, 2),
+ k{k} as materialized (select query, target from (select *, row_number() over (partition by query order by g desc, target) as n from g{k} where g > 0) where n = 1),
+ o{k + 1} as materialized (select * from (select o.query, o.target, o.i, o.p, greatest(o.best, coalesce(c.p, 0)) as best from o{k} o left join (select x.query, x.i, x.p from o{k} x join k{k} using (query, target)) c using (query, i)) where p > best)"""
+    for k in range(1, 11)
+)
 #: A run's score changes at equal letters and falls evenly between them, so only equal letters need rows: the best run of a diagonal is the
 #: largest rise of the running sum over its least value before. Bytes saturate at 255, the offset included.
 SQL: dict[str, str] = {
+    "greedy_cover": """with o1 as materialized (select p_brand as query, l_suppkey as target, l_partkey as i, max(l_quantity / 51.0::double) as p, 0.0::double as best from lineitem join part on l_partkey = p_partkey group by 1, 2, 3)"""
+    + _COVER
+    + " " + " union all ".join(f"select query, target, {k} as turn from k{k}" for k in range(1, 11)),
     "count_profiles": """with r as (select p_name as msa, p_partkey as k, regexp_replace(translate(p_name || p_type, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from part),
  c as (select msa, k, unnest(generate_series(1, length(s))) as i, unnest(string_split(s, '')) as r from r where s <> ''), res as (select msa, k, i, translate(r, 'UBZ', 'CDE') as r from c where r not in ('J', 'O', 'X')),
  cnt as (select msa, i, r, count(*) as n from res group by 1, 2, 3), kinds as (select msa, i, count(*) as kinds from cnt group by 1, 2), raw as (select res.msa, res.k, sum(1.0::double / (n * kinds)) / (count(*) + 30) + 1e-6 as raw from res join cnt using (msa, i, r) join kinds using (msa, i) group by 1, 2),

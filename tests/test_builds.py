@@ -5,10 +5,11 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS
-from strandql.operators import database, dp, fields, msa, tiles
-from strandql.params import ITERATIVE
+from strandql.operators import database, dp, fields, msa, redundancy, tiles
+from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans import search_queries
 from strandql.sources import matrices
 
@@ -213,3 +214,56 @@ def test_template_net_by_hand(spark):
     best = [(r["query"], r["rank"], r["target"]) for r in ranking.ranked_templates(df, 2).orderBy("query", "rank").collect()]
     order = sorted(range(12), key=lambda t: (-round(want["q", t], 6), t))
     assert best == [("q", 1, order[0]), ("q", 2, order[1]), ("r", 1, 0)]
+
+
+def cover_plain(gains, limit=None):
+    """Greedy turns of one query's cells {(target, i): p}."""
+    best, out = {}, []
+    while limit is None or len(out) < limit:
+        sums = {}
+        for (t, i), p in gains.items():
+            sums[t] = sums.get(t, 0.0) + np.expm1(max(0.0, p - best.get(i, 0.0)))
+        top = min(((-round(g, 9), t) for t, g in sums.items()), default=(0, None))
+        if top[0] >= 0:
+            return out
+        out.append(top[1])
+        for (t, i), p in gains.items():
+            if t == top[1]:
+                best[i] = max(best.get(i, 0.0), p)
+    return out
+
+
+@pytest.mark.parametrize("limit", [None, 2, 1])
+def test_greedy_cover(spark, limit):
+    """Ties, repeated cells, a query of most rows, nulls and values of zero."""
+    rng = np.random.default_rng(9)
+    rows = [("hot", int(t), int(i), float(p)) for t, i, p in zip(rng.integers(0, 12, 300), rng.integers(0, 40, 300), rng.integers(0, 5, 300) / 4)]
+    rows += [("tie", t, i, 0.5) for t in (3, 1, 2) for i in (1, 2)] + [("one", 7, 1, 0.25), ("none", 1, 1, 0.0), (None, 1, 1, 0.5), ("one", None, 1, 0.9), ("one", 8, None, 0.9), ("one", 8, 1, None)]
+    got = redundancy.greedy_cover(spark.createDataFrame(rows, "query string, target int, i int, p double"), limit=limit).collect()
+    want = []
+    for query in ("hot", "tie", "one"):
+        cells = {}
+        for q, t, i, p in rows:
+            if q == query and None not in (t, i, p):
+                cells[t, i] = max(p, cells.get((t, i), 0.0))
+        want += [(query, t, turn + 1) for turn, t in enumerate(cover_plain(cells, limit))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert not redundancy.greedy_cover(spark.createDataFrame([], "query string, target int, i int, p double")).collect()
+
+
+def test_matrices_of_posteriors(spark):
+    """Pairs to bytes and back: a cell's probability is that of the alignment, to a sixteenth power of two."""
+    rng, null = np.random.default_rng(2), np.full(4, 0.25)
+    rows = [(k, 5, rng.dirichlet(np.full(4, 0.3), n).tolist(), rng.dirichlet(np.full(4, 0.3), m).tolist()) for k, (n, m) in enumerate([(12, 9), (30, 25), (3, 3)])]
+    found = dp.align_join(spark.createDataFrame(rows, "query int, target int, q array<array<double>>, t array<array<double>>"), null, PAIRWISE, realign=True, least=0.01)
+    runs = matrices.runs(found.select("query", "target", "irep", F.lit("posterior").alias("kind"), F.inline("cells")))
+    got = {(r["query"], r["i"], r["j"]): r["p"] for r in matrices.cells_of(runs).collect()}
+    for query, _, q, t in rows:
+        post, _ = dp.posterior(dp.Profile(q), dp.Profile(t), null, PAIRWISE.shift)
+        own = {(query, i, j): p for i, j, p in dp.sparse(post, 0.01)}
+        assert own and own == {k: pytest.approx(v, rel=0.03) for k, v in got.items() if k[0] == query}
+    lengths = {r["query"]: len(r["matrix"]) for r in matrices.matrices(runs).collect()}
+    sizes = {}
+    for r in runs.collect():
+        sizes[r["query"]] = sizes.get(r["query"], 2) + 5 + r["n"]
+    assert lengths == sizes
