@@ -12,6 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Columns of a profile that are scored together.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -105,3 +109,33 @@ def translated(profiles: DataFrame, lib: Library, name: str = "name", cols: str
             yield pd.DataFrame({name: f[name], "states": [state_sequence(np.stack(list(x)) if len(x) else np.zeros((0, shared.value.emits.shape[1])), shared.value) for x in f[cols]]})
 
     return profiles.select(name, cols).mapInPandas(run, f"{name} {dict(profiles.dtypes)[name]}, states binary")
+
+
+def translated_columns(columns: DataFrame, lib: Library, block: int = BLOCK) -> DataFrame:
+    """(name, i, state): the state of largest posterior of every column (name, i, p: array of probabilities).
+
+    Profiles are cut into blocks of columns with the window's reach on both sides, so neither a long profile nor a name of most
+    columns is ever in one task. Columns that a profile lacks, or whose p is null, count nothing in their neighbours' windows.
+    """
+    shared = columns.sparkSession.sparkContext.broadcast(lib)
+    reach, residues = lib.weights.shape[1] // 2, lib.emits.shape[1]
+    parts = F.sequence(F.floor((F.col("i") - reach) / block), F.floor((F.col("i") + reach) / block))
+    kinds = dict(columns.dtypes)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        first = int(f["_block"].iloc[0]) * block - reach
+        p = np.zeros((block + 2 * reach, residues))
+        at = f["i"].to_numpy() - first
+        p[at] = np.stack(list(f["p"]))
+        own = f[(at >= reach) & (at < block + reach)]
+        states = posteriors(p, shared.value).argmax(1)
+        return pd.DataFrame({"name": own["name"], "i": own["i"], "state": states[own["i"].to_numpy() - first]})
+
+    cut = columns.select("name", "i", "p", F.explode(parts).alias("_block")).where("p is not null")
+    return cut.groupBy("name", "_block").applyInPandas(run, f"name {kinds['name']}, i {kinds['i']}, state int")
+
+
+def state_texts(states: DataFrame) -> DataFrame:
+    """(name, states): a profile's states as a sequence of one byte a column, in order; only the states move."""
+    ordered = F.sort_array(F.collect_list(F.struct("i", "state")))
+    return states.groupBy("name").agg(F.unhex(F.array_join(F.transform(ordered, lambda s: F.lpad(F.hex(s["state"].cast("long")), 2, "0")), "")).alias("states"))

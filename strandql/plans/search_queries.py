@@ -9,7 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import context, dp, hits, iterate, msa, preparation, profiles, redundancy, tiles
+from strandql.operators import context, dp, hits, iterate, msa, ordered, preparation, profiles, redundancy, tiles
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, spread, table
 from strandql.session import few, stored
@@ -145,16 +145,30 @@ def tabular_hits(spark, sf_dir):
     return hits.tabular(a.select("query", "target", path.alias("path"), "t_len", F.exp(-F.col("score")).alias("eval"), (-F.col("score")).alias("score_aass"))).withColumn("eval", F.round("eval", 8))
 
 
-def state_translation(spark, sf_dir):
-    """Embeddings as columns of profiles, by label, translated to the states of their own label means."""
+def _label_columns(spark, sf_dir):
+    """Embeddings as columns (name, i, p) of their label's profile, in order of their ids, and the labels' means (states, residues)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("w"))
-    e = e.withColumn("p", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda s, y: s + y)))
+    e = e.withColumn("p", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda s, y: s + y))).drop("w")
+    n = ordered.numbered(e.select("label", "vec_id"), ["label", "vec_id"], "n")
+    first = few(n.groupBy("label").agg(F.min("n").alias("first")))
+    i = n.join(first, "label").select("vec_id", (F.col("n") - F.col("first")).alias("i"))
     # At most as many means as labels, ten here: a dimension table.
     means = e.select("label", F.posexplode("p")).groupBy("label", "pos").agg(F.avg("col").alias("p")).orderBy("label", "pos").toPandas()
-    emits = np.stack([g["p"].to_numpy() for _, g in means.groupby("label")])
+    return e.join(i, "vec_id").select(F.col("label").alias("name"), "i", "p"), np.stack([g["p"].to_numpy() for _, g in means.groupby("label")])
+
+
+def state_translation(spark, sf_dir):
+    """Embeddings as columns of profiles, by label, translated to the states of their own label means."""
+    columns, emits = _label_columns(spark, sf_dir)
     lib = context.Library(np.log2(emits)[:, None, :], np.full(len(emits), -np.log2(len(emits))), emits)
-    profiles = e.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "p"))), lambda s: s["p"]).alias("p")).withColumnRenamed("label", "name")
-    return context.translated(profiles, lib).select("name", F.hex("states").alias("states"))
+    return context.state_texts(context.translated_columns(columns, lib)).select("name", F.hex("states").alias("states"))
+
+
+def state_columns(spark, sf_dir):
+    """The same columns with a context of the columns before and after them."""
+    columns, emits = _label_columns(spark, sf_dir)
+    lib = context.Library(np.log2(np.repeat(emits[:, None, :], 3, 1)), np.full(len(emits), -np.log2(len(emits))), emits)
+    return context.translated_columns(columns, lib).select("name", F.col("i").cast("long").alias("i"), "state")
 
 
 def iterative_search(spark, sf_dir):
@@ -243,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, search_rounds, count_profiles, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac,
-        posterior_matrices, tabular_hits, state_translation, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
+        posterior_matrices, tabular_hits, state_translation, state_columns, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }
 #: Greedy turns one after the other, each over what the one before it left open.
@@ -259,6 +273,12 @@ SQL: dict[str, str] = {
     "greedy_cover": """with o1 as materialized (select p_brand as query, l_suppkey as target, l_partkey as i, max(l_quantity / 51.0::double) as p, 0.0::double as best from lineitem join part on l_partkey = p_partkey group by 1, 2, 3)"""
     + _COVER
     + " " + " union all ".join(f"select query, target, {k} as turn from k{k}" for k in range(1, 11)),
+    "state_columns": """with e as (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as i, embedding from embeddings),
+ x as (select label, i, unnest(range(len(embedding))) as r, exp(cast(unnest(embedding) as double)) as w from e), prof as (select label, i, r, w / sum(w) over (partition by label, i) as p from x),
+ cen as (select dense_rank() over (order by label) - 1 as state, r, avg(p) as c from prof group by label, r),
+ own as (select prof.label, prof.i, state, sum(p * log2(c)) as z from prof join cen using (r) group by 1, 2, 3),
+ z as (select label, i, state, 1.6::double * z + 1.6::double * 0.85::double * (coalesce(lag(z) over k, 0) + coalesce(lead(z) over k, 0)) as z from own window k as (partition by label, state order by i))
+ select label as name, i, cast(arg_max(state, z) as integer) as state from z group by 1, 2""",
     "count_profiles": """with r as (select p_name as msa, p_partkey as k, regexp_replace(translate(p_name || p_type, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from part),
  c as (select msa, k, unnest(generate_series(1, length(s))) as i, unnest(string_split(s, '')) as r from r where s <> ''), res as (select msa, k, i, translate(r, 'UBZ', 'CDE') as r from c where r not in ('J', 'O', 'X')),
  cnt as (select msa, i, r, count(*) as n from res group by 1, 2, 3), kinds as (select msa, i, count(*) as kinds from cnt group by 1, 2), raw as (select res.msa, res.k, sum(1.0::double / (n * kinds)) / (count(*) + 30) + 1e-6 as raw from res join cnt using (msa, i, r) join kinds using (msa, i) group by 1, 2),

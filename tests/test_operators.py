@@ -252,6 +252,22 @@ def test_context(spark):
     assert np.allclose(context.parse_library(text).emits, emits, atol=1e-3)
 
 
+def test_translated_columns(spark):
+    """Blocks give what whole profiles give, at any cut; columns that are missing or null count as nothing."""
+    rng = np.random.default_rng(4)
+    lib = context.Library(np.log2(rng.dirichlet(np.ones(5), size=(6, 3))), np.full(6, -np.log2(6)), rng.dirichlet(np.ones(5), size=6))
+    profiles = {"long": rng.dirichlet(np.full(5, 0.4), 23), "one": rng.dirichlet(np.ones(5), 1), "gap": rng.dirichlet(np.full(5, 0.4), 12)}
+    rows = [(name, i, x.tolist()) for name, p in profiles.items() for i, x in enumerate(p) if (name, i) != ("gap", 5)] + [("gap", 5, None)]
+    profiles["gap"][5] = 0
+    df = spark.createDataFrame(rows, "name string, i long, p array<double>")
+    for block in (4, 7, 1024):
+        got = {(r["name"], r["i"]): r["state"] for r in context.translated_columns(df, lib, block).collect()}
+        assert got == {(name, i): int(s) for name, p in profiles.items() for i, s in enumerate(context.posteriors(p, lib).argmax(1)) if (name, i) != ("gap", 5)}
+    texts = {r["name"]: bytes(r["states"]) for r in context.state_texts(context.translated_columns(df, lib, 4)).collect()}
+    assert texts["long"] == context.state_sequence(profiles["long"], lib) and len(texts["gap"]) == 11
+    assert not context.translated_columns(df.limit(0), lib).collect()
+
+
 def test_iteration(spark):
     base = spark.createDataFrame([(i, float(i)) for i in range(10)], "target long, x double")
 
