@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Purification tags as patterns over a consensus, and the columns around a match that go with it.
-TAGS = [("H{5,}", 8), ("EQKLISEEDL", 0), ("DYKDDDDK", 0)]
+#: Purification tags (of histidines, any five in a row), and how many columns on both sides go with them.
+TAGS = [("HHHHH", 8), ("EQKLISEEDL", 0), ("DYKDDDDK", 0)]
 
 
 def ranking_net(inputs: list[Column], hidden: list[tuple[list[float], float]], output: list[float], bias: float) -> Column:
@@ -57,31 +54,24 @@ def ranked_templates(hits: DataFrame, top: int = 10) -> DataFrame:
     return predicted_similarity(hits).withColumn("rank", place).where(F.col("rank") <= top)
 
 
-def tagged_columns(consensus: str) -> list[int]:
-    """Columns, from 0, of purification tags and of what stands close around them."""
-    out: set[int] = set()
-    for pattern, reach in TAGS:
-        for m in re.finditer(pattern, consensus.upper()):
-            out.update(range(max(0, m.start() - reach), min(len(consensus), m.end() + reach)))
-    return sorted(out)
+def _around(text: Column, word: str, reach: int) -> Column:
+    """Columns, from 0, of a word's occurrences in a text and of ``reach`` on both sides."""
+    n = F.length(text)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - len(word))), lambda i: F.substring(text, i + 1, F.lit(len(word))) == word)
+    return F.flatten(F.transform(starts, lambda i: F.sequence(F.greatest(F.lit(0), i - reach), F.least(n, i + len(word) + reach) - 1)))
 
 
-def neutral_tags(profiles: DataFrame, background: list[float], name: str = "name", consensus: str = "consensus", cols: str = "p") -> DataFrame:
-    """Profiles with the columns of tags set to the background."""
-    kinds = dict(profiles.dtypes)
+def tagged_columns(consensus: Column, tags: Sequence[tuple[str, int]] = TAGS) -> Column:
+    """Columns, from 0, of tags in a consensus, in either case, and of what stands close around them; null and empty: none."""
+    text = F.upper(F.coalesce(consensus, F.lit("")))
+    return F.array_sort(F.array_distinct(F.concat(*(_around(text, *tag) for tag in tags))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for c, p in zip(f[consensus], f[cols]):
-                own = [np.asarray(x, dtype=float).tolist() for x in p]
-                for i in tagged_columns(c or ""):
-                    if i < len(own):
-                        own[i] = list(background)
-                out.append(own)
-            yield f.assign(**{cols: out})
 
-    return profiles.select(name, consensus, cols).mapInPandas(run, f"{name} {kinds[name]}, {consensus} string, {cols} array<array<double>>")
+def neutral_tags(profiles: DataFrame, background: list[float], name: str = "name", consensus: str = "consensus", cols: str = "p", tags: Sequence[tuple[str, int]] = TAGS) -> DataFrame:
+    """Profiles (name, consensus, p: an array of columns) with the columns of tags set to the background."""
+    marked = profiles.select(name, consensus, cols, tagged_columns(F.col(consensus), tags).alias("_tags"))
+    even = F.array(*(F.lit(float(x)) for x in background))
+    return marked.select(name, consensus, F.when(F.size("_tags") == 0, F.col(cols)).otherwise(F.transform(cols, lambda c, i: F.when(F.array_contains("_tags", i), even).otherwise(c))).alias(cols))
 
 
 def conjugate(hits: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strandql.functions.residues import LETTERS, upper_ascii
-from strandql.operators import context, dp, hits, iterate, msa, ordered, preparation, profiles, redundancy, tiles
+from strandql.operators import context, dp, hits, iterate, msa, ordered, preparation, profiles, ranking, redundancy, tiles
 from strandql.params import ITERATIVE, PAIRWISE
 from strandql.plans.tables import alignment_rows, spread, table
 from strandql.session import few, stored
 from strandql.sources import matrices
 
 OFFSET = ITERATIVE.score_offset
+#: Words that stand for tags in names: what is to be neutral, and how many columns around it.
+NAME_TAGS = [("BOLT", 1), ("SMALL", 0)]
 #: Texts of one language share words by nature, so here a run has to be longer than one of them to pass the prefilter.
 TEXTS = replace(ITERATIVE, smax_thresh=50)
 
@@ -145,6 +147,15 @@ def tabular_hits(spark, sf_dir):
     return hits.tabular(a.select("query", "target", path.alias("path"), "t_len", F.exp(-F.col("score")).alias("eval"), (-F.col("score")).alias("score_aass"))).withColumn("eval", F.round("eval", 8))
 
 
+def neutral_tags(spark, sf_dir):
+    """The names of parts as profiles, in which the columns of two words, one with a column on both sides, are set to the background."""
+    letters = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.regexp_replace(upper_ascii("p_name"), "[^A-Z]", "").alias("consensus")).where("consensus <> ''")
+    parts = parts.withColumn("p", F.transform(F.split("consensus", ""), lambda c: F.transform(letters, lambda a: F.when(a == c, 0.75).otherwise(0.01))))
+    cols = ranking.neutral_tags(parts, [1 / 26] * 26, tags=NAME_TAGS).select("name", F.posexplode("p").alias("i", "c"))
+    return cols.select("name", F.col("i").cast("long").alias("i"), (F.array_max("c") < 0.5).alias("neutral"))
+
+
 def _label_columns(spark, sf_dir):
     """Embeddings as columns (name, i, p) of their label's profile, in order of their ids, and the labels' means (states, residues)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("w"))
@@ -257,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         top_hits, ungapped_prefilter, gapped_prefilter, batch_prefilter, search_rounds, count_profiles, seqid_filter, diversity_filter, neff_filter, display_filter, local_profiles, viterbi, posterior_mac,
-        posterior_matrices, tabular_hits, state_translation, state_columns, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
+        posterior_matrices, tabular_hits, neutral_tags, state_translation, state_columns, iterative_search, similarity_tree, prune_similar, greedy_cover, independent_hits,
     )
 }
 #: Greedy turns one after the other, each over what the one before it left open.
@@ -273,6 +284,9 @@ SQL: dict[str, str] = {
     "greedy_cover": """with o1 as materialized (select p_brand as query, l_suppkey as target, l_partkey as i, max(l_quantity / 51.0::double) as p, 0.0::double as best from lineitem join part on l_partkey = p_partkey group by 1, 2, 3)"""
     + _COVER
     + " " + " union all ".join(f"select query, target, {k} as turn from k{k}" for k in range(1, 11)),
+    "neutral_tags": """with s as (select p_partkey as name, regexp_replace(translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from part),
+ c as (select name, s, unnest(range(length(s))) as i from s where s <> '')
+ select name, i, len(list_filter(range(length(s)), lambda a: (substr(s, a + 1, 4) = 'BOLT' and i between a - 1 and a + 4) or (substr(s, a + 1, 5) = 'SMALL' and i between a and a + 4))) > 0 as neutral from c""",
     "state_columns": """with e as (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as i, embedding from embeddings),
  x as (select label, i, unnest(range(len(embedding))) as r, exp(cast(unnest(embedding) as double)) as w from e), prof as (select label, i, r, w / sum(w) over (partition by label, i) as p from x),
  cen as (select dense_rank() over (order by label) - 1 as state, r, avg(p) as c from prof group by label, r),

@@ -1,5 +1,7 @@
 """Store algebra, alignments, filters, formats and searches on small inputs."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -395,7 +397,14 @@ def test_compressed_members(spark):
 def test_downstream(spark):
     from strandql.operators import ranking
 
-    assert ranking.tagged_columns("MKHHHHHHAAAAAAAAAAAA")[:3] == [0, 1, 2] and ranking.tagged_columns("MKV") == []
+    texts = ["MKHHHHHHAAAAAAAAAAAA", "MKV", "", None, "hhhh", "aEQKLISEEDLhhhhhhh" + "A" * 20, "H" * 30, "DYKDDDDKDYKDDDDK", "A" * 20 + "HHHHH"]
+    tagged = spark.createDataFrame(list(enumerate(texts)), "k int, c string").select("k", ranking.tagged_columns(F.col("c"))).orderBy("k").collect()
+    for (_, got), text in zip(tagged, texts):
+        want = set()
+        for pattern, reach in (("H{5,}", 8), ("EQKLISEEDL", 0), ("DYKDDDDK", 0)):
+            for m in re.finditer(pattern, (text or "").upper()):
+                want.update(range(max(0, m.start() - reach), min(len(text), m.end() + reach)))
+        assert got == sorted(want)
     p = spark.createDataFrame([("a", "DYKDDDDKM", [[1.0, 0.0]] * 9)], "name string, consensus string, p array<array<double>>")
     assert ranking.neutral_tags(p, [0.5, 0.5]).first()["p"] == [[0.5, 0.5]] * 8 + [[1.0, 0.0]]
     net = ranking.ranking_net([F.lit(1.0), F.lit(2.0)], [([1.0, -1.0], 0.5)], [2.0], -1.0)
