@@ -159,7 +159,9 @@ def neutral_tags(spark, sf_dir):
 def _label_columns(spark, sf_dir):
     """Embeddings as columns (name, i, p) of their label's profile, in order of their ids, and the labels' means (states, residues)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("w"))
-    e = e.withColumn("p", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda s, y: s + y))).drop("w")
+    # The sum is bound once a row, not once an element.
+    total = F.aggregate("w", F.lit(0.0), lambda s, y: s + y)
+    e = e.withColumn("p", F.get(F.transform(F.array(total), lambda t: F.transform("w", lambda x: x / t)), F.lit(0))).drop("w")
     n = ordered.numbered(e.select("label", "vec_id"), ["label", "vec_id"], "n")
     first = few(n.groupBy("label").agg(F.min("n").alias("first")))
     i = n.join(first, "label").select("vec_id", (F.col("n") - F.col("first")).alias("i"))
