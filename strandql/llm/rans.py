@@ -149,38 +149,122 @@ def decode_block(block: dict, t: Tables) -> np.ndarray:
 # ---- tokens ---------------------------------------------------------------------------------------------
 
 
+#: The normaliser and pre-tokenizer of the vocabularies whose chunks can be cut before the library sees them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+WHITE, LETTER, DIGIT, OTHER, ODD, WHOLE = range(6)
+#: Pieces that the library gets in one string.
+LINE_PIECES = 1000
+
+
+def _kinds(special: list[str]) -> np.ndarray:
+    """What each byte of UTF-8 is: of ASCII its class; odd are contractions' marks, first bytes of special tokens and what isn't ASCII."""
+    kind = np.full(256, ODD, dtype=np.uint8)
+    for b in range(128):
+        c = chr(b)
+        kind[b] = WHITE if c in " \t\n\v\f\r" else LETTER if c.isalpha() else DIGIT if c.isdigit() else OTHER
+    kind[[ord("'"), *(t.encode()[0] for t in special)]] = ODD
+    return kind
+
+
 class WordEncoder:
-    """Ids as the tokenizers library gives them; it encodes each distinct chunk between white space once.
+    """Ids as the tokenizers library gives them; it encodes each distinct piece once.
 
     For vocabularies whose normaliser (NFC, white space to one blank, lower case) and pre-tokenizer never look across
-    white space.
+    white space. Chunks between white space of ASCII and of the letters from U+00C0 to U+00FF are cut where the split pattern
+    cuts them: runs of letters in lower case, single digits, runs of other characters. A chunk that holds anything else, an
+    apostrophe or what may begin a special token is one piece, as is every chunk where the vocabulary's steps are others.
     """
 
     def __init__(self, path: str, dtype: str):
+        import json
         import os
+        import string
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = dtype
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.cuts = bool(suffix) and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and all(t[0] in string.punctuation for t in special)
+        #: By byte; if chunks aren't cut, every byte but white space makes its chunk a whole piece.
+        self.kind = _kinds(special)
+        if not self.cuts:
+            self.kind[self.kind != WHITE] = ODD
+        self.lower = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+        #: The same model for pieces that are cut and in lower case, with blanks between them; and which ids end a piece.
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
         #: White space beyond ASCII's, as Unicode has it.
         self.odd = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-        #: Known chunks with the number of their ids, and all these ids in turn.
+        #: Known pieces with the number of their ids, and all these ids in turn.
         self.known, self.size, self.flat = pa.array([""], pa.string()), np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and the ids."""
-        size, flat = [], []
+        """Number of ids of each chunk that isn't cut, and the ids."""
+        size, flat = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
         for k in range(0, len(words), 20_000):
             ids = [e.ids for e in self.tok.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
             size.append(np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size[-1].sum())))
         return np.concatenate(size), np.concatenate(flat)
 
+    def _learn_cut(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each cut piece, and the ids: many pieces a string, told apart by the ids that end one."""
+        lines = [" ".join(pieces[k : k + LINE_PIECES]) for k in range(0, len(pieces), LINE_PIECES)]
+        flat = [np.zeros(0, dtype=np.int32)]
+        for k in range(0, len(lines), 20):
+            flat += [np.array(e.ids, dtype=np.int32) for e in self.model.encode_batch_fast(lines[k : k + 20], add_special_tokens=False)]
+        flat = np.concatenate(flat)
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1).astype(np.int32)
+        if len(size) != len(pieces) or size.sum() != len(flat):
+            raise ValueError("pieces and the ids that end them differ in number")
+        return size, flat
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All pieces of the texts in turn, which of them are whole chunks, and where each text's pieces begin and end."""
+        bounds = pa.array(texts, pa.string()).buffers()[1]
+        starts = np.frombuffer(bounds, dtype=np.int32, count=len(texts) + 1) + np.arange(len(texts) + 1)  # a line feed after each text
+        data = np.frombuffer("\n".join([*texts, ""]).encode(), dtype=np.uint8)
+        kind, low = self.kind[data], self.lower[data]
+        if self.cuts:
+            at = np.flatnonzero(data == 0xC3)  # U+00C0 to U+00FF: letters but for the signs of multiplication and division
+            after = data[at + 1]
+            letter = (after != 0x97) & (after != 0xB7)
+            kind[at[letter]] = kind[at[letter] + 1] = LETTER
+            low[at[letter & (after < 0x9F)] + 1] += 32
+        gaps, odd = np.flatnonzero(kind == WHITE), np.flatnonzero(kind == ODD)
+        if len(odd):
+            chunk = np.searchsorted(gaps, odd)
+            chunk = chunk[np.diff(chunk, prepend=-1) > 0]
+            turn = np.zeros(len(data), dtype=np.int8)
+            turn[np.where(chunk > 0, gaps[chunk - 1] + 1, 0)] = 1
+            turn[gaps[chunk]] = -1
+            inside = np.cumsum(turn, dtype=np.int8).view(bool)
+            kind[inside], low[inside] = WHOLE, data[inside]
+        cut = kind == DIGIT
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut[:1] = True
+        first = np.flatnonzero(cut)
+        what = kind[first]
+        held = what != WHITE
+        size = np.diff(first, append=len(data))[held]
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(low[kind != WHITE]))
+        return pieces, what[held] == WHOLE, np.searchsorted(first[held], starts)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         collecting = gc.isenabled()
@@ -193,24 +277,29 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         texts = [t if t.isascii() or not self.odd.search(t) else self.odd.sub(" ", t) for t in texts]
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        pieces, whole, bounds = self._pieces(texts)
         del texts
-        words = lists.flatten().dictionary_encode()
-        distinct, codes = words.dictionary, words.indices.to_numpy()
+        pieces = pieces.dictionary_encode()
+        distinct, codes = pieces.dictionary, pieces.indices.to_numpy()
         at = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(at.is_null())
-        if len(new):
-            size, flat = self._learn(new.to_pylist())
+        is_new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        if is_new.any():
+            uncut = np.zeros(len(distinct), dtype=bool)
+            uncut[codes[whole]] = True
+            cut, uncut = np.flatnonzero(is_new & ~uncut), np.flatnonzero(is_new & uncut)
+            new = distinct.take(pa.array(np.concatenate([cut, uncut])))
             if len(self.known) + len(new) > CACHE_WORDS:  # keep what these texts need
-                kept = pc.unique(at.drop_null())
-                self.flat = _gather(self.flat, self.size, kept.to_numpy())
-                self.known, self.size = self.known.take(kept), self.size[kept.to_numpy()]
-            self.known, self.size, self.flat = pa.concat_arrays([self.known, new]), np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-            at = pc.index_in(distinct, value_set=self.known)
-        codes = at.to_numpy()[codes]
-        bounds, out = lists.offsets.to_numpy(), []
+                kept, at[~is_new] = np.unique(at[~is_new], return_inverse=True)
+                self.flat = _gather(self.flat, self.size, kept)
+                self.known, self.size = self.known.take(pa.array(kept)), self.size[kept]
+            at[np.concatenate([cut, uncut])] = len(self.known) + np.arange(len(new))
+            words = new.to_pylist()
+            (size, flat), (more, rest) = self._learn_cut(words[: len(cut)]), self._learn(words[len(cut) :])
+            self.known, self.size, self.flat = pa.concat_arrays([self.known, new]), np.concatenate([self.size, size, more]), np.concatenate([self.flat, flat, rest])
+        codes, out = at[codes], []
         start, size, flat = np.cumsum(self.size) - self.size, self.size, self.flat.astype(self.dtype)
-        for k in range(0, len(lists), 2000):  # the ids of some texts at a time
+        for k in range(0, len(bounds) - 1, 2000):  # the ids of some texts at a time
             own = bounds[k : k + 2001]
             code = codes[own[0] : own[-1]]
             ends = np.concatenate(([0], np.cumsum(size[code])))

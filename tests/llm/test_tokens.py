@@ -1,5 +1,6 @@
 """BPE and rANS against the tokenizers library."""
 
+import json
 import random
 import zlib
 
@@ -40,6 +41,48 @@ def test_word_encoder_equals_library(texts):
     assert [x.tolist() for x in got] == [e.ids for e in word_library.encode_batch(texts, add_special_tokens=False)]
 
 
+def library_ids(texts, library=word_library):
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_encoder_asks_for_each_piece_once(monkeypatch):
+    """Words with marks, digits and capitals beside them share their pieces; the library gets no chunk that can be cut."""
+    encoder, asked = rans.WordEncoder(WORD, "<u2"), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: asked.extend(words) or learn(words))
+    texts = ["word, WORD. (Word) word42,", "12 21 1.2 déjà-VU Déjà ÀÉß straße, a×b", "word's <|endoftext|>, <|ENDOFTEXT|> 日本 e\u0301,", ""]
+    assert [x.tolist() for x in encoder.encode(texts)] == library_ids(texts)
+    assert sorted(encoder.known.to_pylist()) == sorted(["", "word", ",", ".", "(", ")", "4", "2", "1", "déjà", "-", "vu", "àéß", "straße", *asked])
+    assert sorted(asked) == sorted(["a×b", "word's", "<|endoftext|>,", "<|ENDOFTEXT|>", "日本", "e\u0301,"])
+
+
+LETTERS = ["a", "Z", "é", "É", "ß", "ÿ", "Þ", "ª", "µ", "×", "÷", "ƒ", "İ", "\u212a", "\u0301", "\u0338", "Σ", "7", "½", "٣", "'", "'s", "'ll", "’", "<", "|", "<|endoftext|>", "<|EndOfText|>", "-", "_", "\0", "\x1c", "\u200b", "日", "😀", " ", "\n", "\x85", "\xa0", "\u3000"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LETTERS), max_size=25).map("".join), max_size=5))
+def test_word_encoder_cuts_as_the_pattern(texts):
+    assert [x.tolist() for x in rans._encoder(WORD, "<u2").encode(texts)] == library_ids(texts)
+
+
+def test_word_encoder_full_cache(monkeypatch):
+    monkeypatch.setattr(rans, "CACHE_WORDS", 6)
+    encoder = rans.WordEncoder(WORD, "<u2")
+    for texts in (["one two three, don't"], ["two four's five", "six"], ["seven eight nine ten eleven twelve"], ["one one two, twelve don't"], ["two", ""]):
+        assert [x.tolist() for x in encoder.encode(texts)] == library_ids(texts)
+
+
+def test_word_encoder_other_pattern(tmp_path):
+    """A vocabulary with steps of its own: chunks stay whole."""
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["ab12cd!?? it's (x)", "Déjà 2024,"]
+    got = [x.tolist() for x in rans.WordEncoder(str(path), "<u2").encode(texts)]
+    assert got == library_ids(texts, Tokenizer.from_file(str(path))) and got != library_ids(texts)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=5000))
 def test_rans_round_trip(ids):
