@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandql.functions import evd
+from strandql.operators import hits
 
 
 def test_a_p_of_one_is_the_worst_score(spark):
@@ -13,3 +14,11 @@ def test_a_p_of_one_is_the_worst_score(spark):
     score = evd.score_of_p(log_p, p, F.lit(1.0), F.lit(-3.7), F.lit(0.0))
     got = spark.range(1).select(p.alias("p"), score.alias("s"), evd.probability(score).alias("prob")).first()
     assert (got["p"], got["s"], got["prob"]) == (1.0, np.inf, 0.0)
+
+
+def test_paging_keeps_ties_and_ranks_infinity_last(spark):
+    rows = [("q", t, f, s, 90.0, 0.1) for t, f, s in (("a", 1, 1.0), ("b", 2, 2.0), ("c", 2, 2.0), ("d", 3, float("inf")), ("e", 4, 3.0))]
+    df = spark.createDataFrame(rows, "query string, target string, file int, score_aass double, probab double, eval double")
+    got = hits.paged(df, 2, 10, 20.0, 1.0).orderBy("line").collect()
+    assert [r["line"] for r in got] == [1, 2, 3, 4, 5]
+    assert [r["target"] for r in got][0::4] == ["a", "d"] and {r["target"] for r in got} == set("abcde")
