@@ -1,11 +1,20 @@
 """Cases that larger tables brought up."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandql.functions import evd
-from strandql.operators import hits
+from strandql.operators import dp, hits, maps, msa, redundancy
+from strandql.plans import build_queries, msa_queries, search_queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_a_p_of_one_is_the_worst_score(spark):
@@ -22,3 +31,20 @@ def test_paging_keeps_ties_and_ranks_infinity_last(spark):
     got = hits.paged(df, 2, 10, 20.0, 1.0).orderBy("line").collect()
     assert [r["line"] for r in got] == [1, 2, 3, 4, 5]
     assert [r["target"] for r in got][0::4] == ["a", "d"] and {r["target"] for r in got} == set("abcde")
+
+
+@pytest.mark.parametrize("long", [1023, 1100, 5000])
+def test_prefilters_over_the_ends_of_pieces(long):
+    rng = np.random.default_rng(long)
+    table = rng.integers(20, 60, (40, 6)).astype(np.uint8)
+    table[np.arange(40), np.arange(40) % 6] = 70
+    best = (np.arange(40) % 6).astype(np.uint8)
+    target = rng.integers(0, 6, long).astype(np.uint8)
+    for at in (0, 1000, long - 40):
+        t = target.copy()
+        t[at : at + 40] = best[: len(t[at : at + 40])]
+        gap = np.concatenate([t[: at + 20], np.full(3, 5, dtype=np.uint8), t[at + 20 :]])
+        assert dp.ungapped(table, [t, t[:7]], 50)[0] == dp.ungapped(table, [t[at : at + 40]], 50)[0]
+        assert dp.gapped(table, [gap, t[:0]], 50, 20, 4)[0] == dp.gapped(table, [gap[max(0, at - 200) : at + 243]], 50, 20, 4)[0]
+    pieces, owner = dp._pieces([target, target[:10]], 39)
+    assert len(pieces) > 1 and max(map(len, pieces)) < 1100 and owner.tolist().count(1) == 1
