@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,7 +207,7 @@ def compress(row: Column) -> Column:
     """Blocks of an alignment row as an array of (matches, gaps): residues, then deleted columns as a negative number.
     Runs are cut at LONGEST."""
     parts = F.regexp_extract_all(row, F.lit(f"([^-]{{0,{LONGEST}}}-{{1,{LONGEST}}}|[^-]{{1,{LONGEST}}})"), F.lit(0))
-    residues = lambda x: F.length(F.regexp_replace(x, "-", ""))
+    residues = lambda x: F.length(F.rtrim(x, F.lit("-")))
     return F.transform(parts, lambda x: F.struct(residues(x).cast("int").alias("m"), (residues(x) - F.length(x)).cast("int").alias("g")))
 
 
@@ -215,15 +216,34 @@ def compressed_text(row: Column) -> Column:
     return F.array_join(F.transform(compress(row), lambda b: F.concat_ws(":", b["m"].cast("string"), b["g"].cast("string"))), " ")
 
 
+@F.arrow_udf("string")
+def _extracted(blocks: pa.Array, residues: pa.Array) -> pa.Array:
+    parts = blocks.flatten()
+    m, g = (np.asarray(parts.field(x).fill_null(0), dtype=np.int64) for x in ("m", "g"))
+    ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.list_value_length(blocks).fill_null(0)))).astype(np.int64)
+    out, begin = [], 0
+    for known, end, text in zip(blocks.is_valid().to_pylist(), ends.tolist(), residues.to_pylist()):
+        runs = np.stack([m[begin:end], -g[begin:end]], 1).ravel()
+        begin = end
+        if not known or text is None:
+            out.append(None)
+            continue
+        kind = "latin-1" if text.isascii() else "utf-32-le"
+        symbols = np.frombuffer(text.encode(kind), dtype=np.uint8 if kind == "latin-1" else np.uint32)
+        real = np.repeat(np.tile([True, False], len(runs) // 2), runs)
+        # Residues that the sequence lacks leave their places out.
+        places = np.cumsum(real)
+        row = np.full(len(real), ord("-"), dtype=symbols.dtype)
+        if len(places) and places[-1] > len(symbols):
+            row, real = row[~real | (places <= len(symbols))], real[~real | (places <= len(symbols))]
+        row[real] = symbols[: np.count_nonzero(real)]
+        out.append(row.tobytes().decode(kind))
+    return pa.array(out, pa.string())
+
+
 def extract(blocks: Column, residues: Column) -> Column:
-    """The alignment row of blocks and the residues without gaps. Places follow from a running sum, as an array of them."""
-    zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("row"))
-    return F.aggregate(
-        blocks,
-        zero,
-        lambda s, b: F.struct((s["at"] + b["m"]).alias("at"), F.concat(s["row"], F.substring(residues, s["at"], b["m"]), F.repeat(F.lit("-"), -b["g"])).alias("row")),
-        lambda s: s["row"],
-    )
+    """The alignment row of blocks and the residues without gaps, in one walk along both: a row costs its length, however many blocks it has."""
+    return _extracted(blocks, residues)
 
 
 def compressed_members(members: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -460,44 +480,76 @@ def never_empty(kept: DataFrame) -> DataFrame:
 
 
 def with_first(rows: DataFrame) -> DataFrame:
-    """rows with ``q``, the row of each alignment's first member, and ``columns``, the alignment's width."""
-    first = rows.groupBy("msa").agg(F.min_by("row", "k").alias("q"), F.max(F.length("row")).cast("long").alias("columns"))
-    return rows.join(few(first), "msa")
-
-
-def member_figures(rows: DataFrame, scores: DataFrame, gap_open: float = 6.0, gap_extend: float = 1.0) -> DataFrame:
-    """(msa, k, row, columns, nres, differ, score) of members with a residue: what ``coverage``, ``query_identity`` and ``query_score`` look
-    at, in one walk along a member's row beside the first one's. scores: (a, b, s) of the 20 residues; no row is made for a cell."""
-    known = {(r["a"], r["b"]): float(r["s"]) for r in scores.collect()}  # 400 rows
-    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{known.get((a, b), 0.0)!r}D" for b in LETTERS) + ")" for a in LETTERS) + ")")
-    text = lambda c: F.translate(F.col(c), "".join(SAME), "".join(SAME.values()))
-    met = with_first(rows).withColumn("_r", text("row")).withColumn("_q", F.rpad(text("q"), F.greatest(F.length("q"), F.length("row")), F.lit("-")))
-    # From the first to the last residue; what lies outside counts for nothing.
-    lead = F.length("_r") - F.length(F.ltrim(F.col("_r"), F.lit("-")))
-    inner = F.trim(F.col("_r"), F.lit("-"))
-    met = met.withColumn("_n", F.length(inner)).where("_n > 0").withColumn("_a", F.split(inner, "")).withColumn("_b", F.split(F.substring("_q", lead + 1, F.col("_n")), ""))
-    place = lambda c: F.instr(F.lit(LETTERS), c)  # noqa: E731  0: no residue
-    pairs = F.zip_with("_a", "_b", lambda a, b: F.struct(place(a).alias("a"), place(b).alias("b"), (a == "-").alias("ga"), (b == "-").alias("gb")))
-    none = F.struct(F.lit(0).cast("long").alias("nres"), F.lit(0).cast("long").alias("differ"), F.lit(0.0).alias("score"), F.lit(0).alias("was"))
-
-    def step(s: Column, p: Column) -> Column:
-        real, facing = p["a"] > 0, p["b"] > 0
-        # 1: residues on both sides, 2: a gap in the first row, 3: a gap in the member, 0: neither, which leaves the run as it is.
-        kind = F.when(real & facing, 1).when(real & p["gb"], 2).when(p["ga"] & facing, 3).otherwise(0)
-        gain = F.when(kind == 1, F.get(F.get(table, p["b"] - 1), p["a"] - 1)).when(kind == 0, 0.0).when(kind == s["was"], -gap_extend).otherwise(-gap_open)
-        return F.struct(
-            (s["nres"] + real.cast("long")).alias("nres"), (s["differ"] + (real & (~facing | (p["a"] != p["b"]))).cast("long")).alias("differ"),
-            (s["score"] + gain).alias("score"), F.when(kind == 0, s["was"]).otherwise(kind).alias("was"),
-        )
-
-    return met.withColumn("_f", F.aggregate(pairs, none, step)).select("msa", "k", "row", "columns", "_f.nres", "_f.differ", "_f.score").where("nres > 0")
-
-
-def filter_tool(rows: DataFrame, scores: DataFrame, percent: int = 0, qid: int = 0, qsc: float = -20.0) -> DataFrame:
-    """Every member with a residue, its figures and whether coverage, identity and score with the first member all pass (msa, k, row,
-    columns, nres, differ, score, kept); an alignment's first member stays where none does. ``redundancy.identity_filter``
-    goes over what is kept."""
-    out = member_figures(rows, scores)
+    """rows with ``q``, the row of each alignment's first member that has a column, as far as their own one goes, and ``columns``, the
+    alignment's width."""
+    first = rows.groupBy("msa").agg(F.expr("min_by(row, k) filter (where row <> '')").alias("q"), F.max(F.length("row")).cast("long").alias("columns"))
+    return rows.join(few(first), "msa").withColumn("q", F.substring("q", F.lit(1), F.length("row")))
+
+
+#: Kinds of a pair of symbols: residues on both sides, a gap in the first row, a gap in the member; by (first's place, member's), of which 21 is a gap.
+_KIND = np.zeros((22, 22), dtype=np.uint8)
+_KIND[:20, :20], _KIND[21, :20], _KIND[:20, 21] = 1, 2, 3
+
+
+def member_figures(rows: DataFrame, scores: DataFrame | None = None, gap_open: float = 6.0, gap_extend: float = 1.0, texts: bool = True) -> DataFrame:
+    """(msa, k, row if texts, columns, nres, differ, score, faced) of members with a residue: what ``coverage``, ``query_identity`` and ``query_score`` look
+    at, in one walk along a member's row beside the first one's. scores: (a, b, s) of the 20 residues; faced: pairs of symbols that a
+    score looks at. No row is made for a cell, and rows don't move: only the first ones do."""
+    table, scored = np.zeros((22, 22)), scores is not None
+    for r in scores.collect() if scored else []:  # 400 rows
+        if r["a"] in LETTERS and r["b"] in LETTERS:
+            table[LETTERS.index(r["a"]), LETTERS.index(r["b"])] = float(r["s"])
+    place = _PLACE.astype(np.uint8)
+    place[ord("-")] = 21
+    for a, b in SAME.items():
+        place[ord(a)] = place[ord(b)]
+
+    def walked(own: str, first: str) -> tuple[int, int, float, int]:
+        # From the first to the last residue; what lies outside counts for nothing.
+        inner = own.strip("-")
+        lead = len(own) - len(own.lstrip("-"))
+        a = place[np.frombuffer(inner.encode("latin-1", "replace"), dtype=np.uint8)]
+        b = place[np.frombuffer(first[lead : lead + len(inner)].ljust(len(inner), "-").encode("latin-1", "replace"), dtype=np.uint8)]
+        real = a < 20
+        nres = np.count_nonzero(real)
+        kind = _KIND[b, a]
+        both = kind == 1
+        same = np.count_nonzero(both & (a == b))
+        seen = kind[kind > 0]
+        gaps = seen > 1
+        longer = np.count_nonzero(gaps[1:] & (seen[1:] == seen[:-1]))
+        gain = table[b[both], a[both]].sum() if scored else 0.0
+        return nres, nres - same, float(gain - gap_open * (np.count_nonzero(gaps) - longer) - gap_extend * longer), len(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [walked(x, y or "") for x, y in zip(b.column("row").to_pylist(), b.column("q").to_pylist())]
+            nres, differ, score, faced = zip(*got) if got else ((),) * 4
+            more = [pa.array(nres, pa.int64()), pa.array(differ, pa.int64()), pa.array(score, pa.float64()), pa.array(faced, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *more], names=[*own, "nres", "differ", "score", "faced"])
+
+    kinds, own = dict(rows.dtypes) | {"columns": "long"}, ["msa", "k", *["row"] * texts, "columns"]
+    met = with_first(rows.select("msa", "k", "row")).select("msa", "k", "row", "columns", "q")
+    return met.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in own) + ", nres long, differ long, score double, faced long").where("nres > 0")
+
+
+def near_query(rows: DataFrame, percent: int) -> DataFrame:
+    """``query_identity`` of row texts (msa, k, row): (msa, k, nres, differ, kept)."""
+    limit = F.floor((0.9999 - 0.01 * percent) * F.col("nres") + 0.9999)
+    return member_figures(rows, texts=False).select("msa", "k", "nres", "differ", (F.col("differ") < limit).alias("kept"))
+
+
+def scored_by_query(rows: DataFrame, scores: DataFrame, least: float, gap_open: float = 6.0, gap_extend: float = 1.0) -> DataFrame:
+    """``query_score`` of row texts (msa, k, row): (msa, k, score, nres, kept)."""
+    out = member_figures(rows, scores, gap_open, gap_extend, texts=False).where("faced > 0")
+    return out.select("msa", "k", "score", "nres", (F.col("score") >= least * F.col("nres")).alias("kept"))
+
+
+def filter_tool(rows: DataFrame, scores: DataFrame, percent: int = 0, qid: int = 0, qsc: float = -20.0, texts: bool = True) -> DataFrame:
+    """Every member with a residue that meets more than ambiguous ones, its figures and whether coverage, identity and score with the first
+    member all pass (msa, k, row if texts, columns, nres, differ, score, kept); an alignment's first such member stays where none
+    does. ``redundancy.identity_filter`` goes over what is kept."""
+    out = member_figures(rows, scores, texts=texts).where("faced > 0").drop("faced")
     near = F.col("differ") < F.floor((0.9999 - 0.01 * qid) * F.col("nres") + 0.9999)
     out = out.withColumn("kept", (100 * F.col("nres") >= percent * F.col("columns")) & near & (F.col("score") >= qsc * F.col("nres")))
     return never_empty(out)

@@ -109,8 +109,7 @@ def query_identity(spark, sf_dir):
 
 def query_score(spark, sf_dir):
     scores = spark.createDataFrame([(a, b, 4.0 if a == b else -1.0) for a in LETTERS for b in LETTERS], "a string, b string, s double")
-    letters = cells(spark, sf_dir).withColumn("r", F.when(F.col("r").isin("J", "O", "X"), F.col("r")).otherwise(F.translate("r", "UBZ", "CDE")))
-    return msa.query_score(letters, scores, 0.0)
+    return msa.scored_by_query(alignment_rows(spark, sf_dir), scores, 0.0)
 
 
 _RES = CELLS_SQL + """, res as (select msa, k, i, translate(r, 'UBZ', 'CDE') as r from cells where r not in ('-', 'J', 'O', 'X'))"""

@@ -48,3 +48,15 @@ def test_prefilters_over_the_ends_of_pieces(long):
         assert dp.gapped(table, [gap, t[:0]], 50, 20, 4)[0] == dp.gapped(table, [gap[max(0, at - 200) : at + 243]], 50, 20, 4)[0]
     pieces, owner = dp._pieces([target, target[:10]], 39)
     assert len(pieces) > 1 and max(map(len, pieces)) < 1100 and owner.tolist().count(1) == 1
+
+
+@pytest.mark.parametrize("query", [msa_queries.query_score])
+def test_a_member_beside_the_first_makes_no_row_a_cell(spark, query):
+    assert "Generate" not in planned(query(spark, SF))
+
+
+def test_the_first_member_has_a_column(spark):
+    rows = spark.createDataFrame([("m", 0, ""), ("m", 1, "ACD"), ("m", 2, "ACE"), ("n", 0, "JA"), ("n", 1, "A")], "msa string, k int, row string")
+    score = spark.createDataFrame([("A", "A", 4.0), ("C", "C", 4.0), ("D", "E", -1.0), ("D", "D", 4.0)], "a string, b string, s double")
+    got = {(r["msa"], r["k"]): r["score"] for r in msa.scored_by_query(rows, score, 0.0).collect()}
+    assert got == {("m", 1): 12.0, ("m", 2): 7.0, ("n", 0): 4.0}  # n's second member faces an ambiguous residue alone
