@@ -104,7 +104,7 @@ def coverage_filter(spark, sf_dir):
 
 
 def query_identity(spark, sf_dir):
-    return msa.query_identity(cells(spark, sf_dir), 10)
+    return msa.near_query(alignment_rows(spark, sf_dir), 10)
 
 
 def query_score(spark, sf_dir):

@@ -50,7 +50,7 @@ def test_prefilters_over_the_ends_of_pieces(long):
     assert len(pieces) > 1 and max(map(len, pieces)) < 1100 and owner.tolist().count(1) == 1
 
 
-@pytest.mark.parametrize("query", [msa_queries.query_score])
+@pytest.mark.parametrize("query", [msa_queries.query_score, msa_queries.query_identity])
 def test_a_member_beside_the_first_makes_no_row_a_cell(spark, query):
     assert "Generate" not in planned(query(spark, SF))
 
