@@ -49,7 +49,7 @@ def searched_count(spark, sf_dir):
 def filter_tool(spark, sf_dir):
     """All figures of a member, and whether it stays, from one walk along its row."""
     scores = spark.createDataFrame([(a, b, 4.0 if a == b else -1.0) for a in LETTERS for b in LETTERS], "a string, b string, s double")
-    out = msa.filter_tool(alignment_rows(spark, sf_dir), scores, 20, 10, -1.0)
+    out = msa.filter_tool(alignment_rows(spark, sf_dir), scores, 20, 10, -1.0, texts=False)
     return out.select("msa", "k", "nres", "columns", "differ", F.round("score", 6).alias("score"), "kept")
 
 

@@ -60,3 +60,7 @@ def test_the_first_member_has_a_column(spark):
     score = spark.createDataFrame([("A", "A", 4.0), ("C", "C", 4.0), ("D", "E", -1.0), ("D", "D", 4.0)], "a string, b string, s double")
     got = {(r["msa"], r["k"]): r["score"] for r in msa.scored_by_query(rows, score, 0.0).collect()}
     assert got == {("m", 1): 12.0, ("m", 2): 7.0, ("n", 0): 4.0}  # n's second member faces an ambiguous residue alone
+
+
+def test_filter_tool_walks_outside_the_engines_lambdas(spark):
+    assert "lambda" not in planned(build_queries.filter_tool(spark, SF))
