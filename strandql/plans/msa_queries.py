@@ -52,7 +52,8 @@ def rle_compress(spark, sf_dir):
 def rle_round_trip(spark, sf_dir):
     """Each row compressed and extracted again."""
     rows = alignment_rows(spark, sf_dir).withColumn("blocks", msa.compress(F.col("row"))).withColumn("residues", F.replace("row", F.lit("-"), F.lit("")))
-    return rows.select("msa", "k", F.length(msa.extract(F.col("blocks"), F.col("residues"))).cast("long").alias("columns"), F.md5(msa.extract(F.col("blocks"), F.col("residues")).cast("binary")).alias("md5"))
+    back = rows.select("msa", "k", msa.extract(F.col("blocks"), F.col("residues")).alias("row"))
+    return back.select("msa", "k", F.length("row").cast("long").alias("columns"), F.md5(F.col("row").cast("binary")).alias("md5"))
 
 
 def henikoff_weights(spark, sf_dir):

@@ -64,3 +64,10 @@ def test_the_first_member_has_a_column(spark):
 
 def test_filter_tool_walks_outside_the_engines_lambdas(spark):
     assert "lambda" not in planned(build_queries.filter_tool(spark, SF))
+
+
+@pytest.mark.parametrize("residues, want", [("ACDé", "AC--Dé-"), ("ACD", "AC--D-"), ("", "---"), (None, None)])
+def test_extraction_of_odd_sequences(spark, residues, want):
+    df = spark.createDataFrame([(residues, [(2, -2), (2, -1)])], "residues string, b array<struct<m:int,g:int>>")
+    back = df.select(msa.extract(F.col("b"), F.col("residues")).alias("x"))
+    assert back.first()["x"] == want and "aggregate(" not in planned(back)
