@@ -1,16 +1,20 @@
 """Greedy redundancy and diversity filters: one alignment at a time, alignments in parallel.
 
-The choice of a member depends on all chosen before it, so an alignment is the unit of work; very large ones should be
+The choice of a member depends on all chosen before it, so an alignment is the unit of work: a task holds a byte for each column of a
+member between its ends, one alignment at a time. Members of an alignment are compared in pairs, so its time grows with the
+square of their number; bits of 64 columns tell most pairs apart. Very large alignments should be
 filtered by coverage or score first (``msa.filter_tool``), which goes row by row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,76 +33,248 @@ def codes(rows: list[str]) -> np.ndarray:
     return out
 
 
-def keep_diverse(x: np.ndarray, first_id: int, max_id: int, diversity: int, keep: np.ndarray, reach: int = 25) -> np.ndarray:
+#: Symbol to code: letters 0-25 but for J, O, X; 254 for what else is no residue, 255 for a gap.
+_CODE = np.full(256, 254, dtype=np.uint8)
+_CODE[[c for c in range(65, 91) if chr(c) not in "JOX"]] = [c - 65 for c in range(65, 91) if chr(c) not in "JOX"]
+_CODE[ord("-")] = 255
+LETTER_CODES = 26
+
+
+class Members:
+    """An alignment's members as codes, without the gaps at their ends: a row begins at column ``at``, its residues are from ``a`` to ``b`` (0 and -1
+    without any)."""
+
+    def __init__(self):
+        self.rows: list[np.ndarray] = []
+        self.at: list[int] = []
+        self.a: list[int] = []
+        self.b: list[int] = []
+        self.nres: list[int] = []
+        self.width = 0
+
+    def add(self, row: np.ndarray) -> None:
+        real, some = np.flatnonzero(row < LETTER_CODES), np.flatnonzero(row != 255)
+        first, last = (int(some[0]), int(some[-1])) if len(some) else (0, -1)
+        self.rows.append(row[first : last + 1].copy())
+        self.at.append(first)
+        self.a.append(int(real[0]) if len(real) else 0)
+        self.b.append(int(real[-1]) if len(real) else -1)
+        self.nres.append(len(real))
+        self.width = max(self.width, len(row))
+
+    @classmethod
+    def of(cls, x: Members | np.ndarray | list[str]) -> Members:
+        """Members of a matrix of codes, or of row texts."""
+        if isinstance(x, Members):
+            return x
+        out = cls()
+        for row in x:
+            out.add(_CODE[np.frombuffer(row.encode("latin-1", "replace"), dtype=np.uint8)] if isinstance(row, str) else row)
+        return out
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def part(self, k: int, lo: int, hi: int) -> np.ndarray:
+        return self.rows[k][lo - self.at[k] : hi + 1 - self.at[k]]
+
+    def similar(self, k: int, r: int, least: float) -> bool:
+        """Whether fewer than the share ``least`` of k's residues that meet one of r differ from it."""
+        lo, hi = max(self.a[k], self.a[r]), min(self.b[k], self.b[r])
+        if hi < lo:
+            return False
+        x, y = self.part(k, lo, hi), self.part(r, lo, hi)
+        both = (x < LETTER_CODES) & (y < LETTER_CODES)
+        differ = np.count_nonzero((x != y) & both)
+        return differ < int(least * min(self.nres[k], hi - lo + 1) + 0.999) and differ < least * np.count_nonzero(both)
+
+
+class _Bits:
+    """The first WORDS * 64 columns of members as bits: whether there is a residue, and two bits of its letter's class. Members that differ in
+    the class of a letter differ in the letter, so this tells which ones are surely no less than so many residues apart."""
+
+    WORDS, CHUNK = 32, 4096
+
+    def __init__(self, m: Members):
+        self.m, self.n = m, 0
+        seen = np.zeros(256, dtype=np.int64)
+        for row in m.rows[:1000]:
+            seen += np.bincount(row, minlength=256)
+        # Four classes of about as many residues each.
+        self.classes, load = np.zeros(256, dtype=np.uint8), [0] * 4
+        for c in np.argsort(-seen[:LETTER_CODES], kind="stable").tolist():
+            least = load.index(min(load))
+            self.classes[c], load[least] = least, load[least] + int(seen[c]) + 1
+        self.words = max(1, min(self.WORDS, -(-m.width // 64)))
+        self.bits = np.zeros((3, self.words, len(m)), dtype=np.uint64)
+        self.member = np.zeros(len(m), dtype=np.int64)
+        self.room = np.zeros(self.CHUNK, dtype=np.uint64), np.zeros(self.CHUNK, dtype=np.uint64), np.zeros(self.CHUNK, dtype=np.uint8)
+
+    def of(self, k: int) -> np.ndarray:
+        out = np.zeros((3, self.words * 64), dtype=bool)
+        a = self.m.at[k]
+        row = self.m.rows[k][: max(0, self.words * 64 - a)]
+        real = row < LETTER_CODES
+        kind = self.classes[row]
+        out[:, a : a + len(row)] = real, real & (kind & 1 > 0), real & (kind > 1)
+        return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+    def add(self, k: int) -> None:
+        self.bits[:, :, self.n] = self.of(k)
+        self.member[self.n] = k
+        self.n += 1
+
+    def near(self, k: int, differ: float) -> np.ndarray:
+        """The members that may differ from k in fewer than so many residues."""
+        own, found = self.of(k), []
+        words = range(self.m.a[k] // 64, min(self.m.b[k] // 64 + 1, self.words))
+        for begin in range(0, self.n, self.CHUNK):
+            live: np.ndarray | None = None
+            size = min(self.CHUNK, self.n - begin)
+            apart = np.zeros(size, dtype=np.uint16)
+            for turn, w in enumerate(words, 1):
+                real, one, two = (x[w, begin : begin + size] if live is None else x[w, live] for x in self.bits)
+                t, u, c = (x[: len(apart)] for x in self.room)
+                np.bitwise_xor(one, own[1, w], out=t)
+                np.bitwise_xor(two, own[2, w], out=u)
+                np.bitwise_or(t, u, out=t)
+                np.bitwise_and(t, real, out=t)
+                np.bitwise_and(t, own[0, w], out=t)
+                np.bitwise_count(t, out=c)
+                np.add(apart, c, out=apart)
+                if turn % 3 == 0:
+                    stay = np.flatnonzero(apart < differ)
+                    if len(stay) < 0.2 * len(apart):
+                        live, apart = stay + begin if live is None else live[stay], apart[stay]
+                        if not len(live):
+                            break
+            stay = np.flatnonzero(apart < differ)
+            found.append(self.member[stay + begin if live is None else live[stay]])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def _largest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest value from lo to hi of each pair; 0 where hi is below lo."""
+    out = np.zeros(len(lo), dtype=values.dtype)
+    size = hi - lo + 1
+    level, table = 0, values
+    while (size > 0).any() and 1 << level <= int(size.max()):
+        at = np.flatnonzero((size >= 1 << level) & (size < 2 << level))
+        out[at] = np.maximum(table[lo[at]], table[hi[at] + 1 - (1 << level)])
+        step = 1 << level
+        table = np.maximum(table[:-step], table[step:]) if len(table) > step else table
+        level += 1
+    return out
+
+
+#: Members kept from which on bits are compared first, and the identity in percent: below it they rarely decide.
+MANY_KEPT, BITS_ID = 64, 40
+
+
+def keep_diverse(x: Members | np.ndarray, first_id: int, max_id: int, diversity: int, keep: np.ndarray, reach: int = 25, enough: int | None = None) -> np.ndarray:
     """Members (of those in ``keep``; 2 marks one that always stays) that are less than max_id percent identical to a
     longer member kept before. With a diversity, the threshold starts at first_id and rises only where fewer than so
-    many members cover a window of 2 * reach + 1 columns. Identity is a share of the shorter member's residues."""
-    n, width = x.shape
-    real = x != 255
-    nres = real.sum(1)
-    order = np.lexsort((np.arange(n), -nres))
+    many members cover a window of 2 * reach + 1 columns. Identity is a share of the shorter member's residues.
+    enough: what is kept needn't be complete once it is more than so many."""
+    m = Members.of(x)
+    n, width = len(m), m.width
     accepted = keep == 2
     if first_id > max_id or not n:
         return accepted | (keep > 0)
-    spans = [(int(r.argmax()), int(len(r) - r[::-1].argmax() - 1)) if r.any() else (0, -1) for r in real]
+    nres, a, b = (np.array(v, dtype=np.int64) for v in (m.nres, m.a, m.b))
+    order = np.lexsort((np.arange(n), -nres))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
     depth = np.zeros(width, dtype=np.int64)
+    ranks = sorted(rank[accepted].tolist())  # of what is kept
+    bits: _Bits | None = None
     for k in np.flatnonzero(accepted):
-        depth[spans[k][0] : spans[k][1] + 1] += 1
-    limit = np.full(width, first_id, dtype=np.float64)
+        depth[a[k] : b[k] + 1] += 1
+    limit, refused = np.full(width, first_id, dtype=np.float64), np.full(n, -1.0)
     seqid, most, need_before, step = first_id, np.zeros(width, dtype=np.int64), max(1, diversity), 0
+    lo = np.maximum(0, np.minimum(width - 2 * reach, np.arange(width) - reach))
+    hi = np.minimum(width - 1, np.maximum(2 * reach - 1, np.arange(width) + reach))
+
+    def rival(k: int, own: float) -> bool:
+        """Whether a longer member that is kept is as similar."""
+        nonlocal bits
+        least = 0.9999 - 0.01 * own
+        if own < BITS_ID or len(ranks) < MANY_KEPT:
+            return any(m.similar(k, int(order[r]), least) for r in ranks[: bisect_left(ranks, rank[k])])
+        if bits is None:
+            bits = _Bits(m)
+            for r in ranks:
+                bits.add(int(order[r]))
+        return any(rank[r] < rank[k] and m.similar(k, r, least) for r in bits.near(k, least * nres[k]).tolist())
+
     while seqid <= max_id:
-        lo = np.maximum(0, np.minimum(width - 2 * reach, np.arange(width) - reach))
-        hi = np.minimum(width - 1, np.maximum(2 * reach - 1, np.arange(width) + reach))
-        window = np.array([depth[a : b + 1].max(initial=0) for a, b in zip(lo, hi)]) if width else depth
-        most = np.maximum(most, window)
+        most = np.maximum(most, _largest(depth, lo, hi))
         open_ = most < diversity
         need = int((diversity - most[open_]).max(initial=0))
         if not open_.any():
             break
         limit[open_] = seqid
-        for k in order:
-            if accepted[k] or not keep[k]:
-                continue
+        own = np.maximum(first_id, _largest(limit, a, b))
+        # A member that was refused at the same identity is so again: what refused it is still kept.
+        for k in order[~accepted[order] & (keep[order] > 0) & ((refused[order] != own[order]) | (seqid >= 100))].tolist():
             if seqid >= 100:
                 accepted[k] = True
                 continue
-            a, b = spans[k]
-            own = max(first_id, limit[a : b + 1].max(initial=0))
-            least = 0.9999 - 0.01 * own
-            before = order[: np.flatnonzero(order == k)[0]]
-            rivals = before[accepted[before]]
-            if len(rivals):
-                both = real[rivals] & real[k]
-                differ = ((x[rivals] != x[k]) & both).sum(1)
-                lo_, hi_ = np.maximum(a, [spans[j][0] for j in rivals]), np.minimum(b, [spans[j][1] for j in rivals])
-                enough = np.floor(least * np.minimum(nres[k], np.maximum(0, hi_ - lo_ + 1)) + 0.999)
-                if np.any((differ < enough) & (differ < least * both.sum(1))):
-                    continue
+            if rival(k, own[k]):
+                refused[k] = own[k]
+                continue
             accepted[k] = True
-            depth[a : b + 1] += 1
+            insort(ranks, int(rank[k]))
+            if bits is not None:
+                bits.add(k)
+            if enough is not None and len(ranks) > enough:
+                return accepted
+            depth[a[k] : b[k] + 1] += 1
         # Whole numbers throughout: the ratio is cut before it is multiplied.
         step = max(1, min(5, need // (need_before - need + 1) * step // 2)) if need_before >= need else 1
         need_before, seqid = need, seqid + step
     return accepted
 
 
-def per_alignment(rows: DataFrame, choose, schema_extra: str = "kept boolean") -> DataFrame:
-    """rows (msa, k, row) with the choice made by ``choose(codes, rows) -> kept`` for each alignment."""
+def per_alignment(rows: DataFrame, choose: Callable[[Members], np.ndarray], schema_extra: str = "kept boolean") -> DataFrame:
+    """rows (msa, k, row) with the choice made by ``choose(members) -> kept`` for each alignment. A task reads its alignments in order and holds
+    the codes of one."""
     kinds = dict(rows.dtypes)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("k", kind="stable").reset_index(drop=True)
-        texts = f["row"].tolist()
-        return f[["msa", "k"]].assign(kept=choose(codes(texts), texts))
-
-    return rows.select("msa", "k", "row").groupBy("msa").applyInPandas(run, f"msa {kinds['msa']}, k {kinds['k']}, {schema_extra}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, members = [], [], Members()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.concat_arrays(held), pa.array(np.asarray(choose(members), dtype=bool))], names=["msa", "k", "kept"])
+
+        last = None
+        for batch in batches:
+            msa, texts = batch.column("msa").to_pylist(), batch.column("row")
+            begin = 0
+            while begin < len(msa):
+                end = next((x for x in range(begin, len(msa)) if msa[x] != msa[begin]), len(msa))
+                if names and msa[begin] != last:
+                    yield done()
+                    names, held, members = [], [], Members()
+                names.append(batch.column("msa").slice(begin, end - begin))
+                held.append(batch.column("k").slice(begin, end - begin))
+                last = msa[begin]
+                for text in texts.slice(begin, end - begin):
+                    members.add(_CODE[np.frombuffer(text.as_py().encode("latin-1", "replace"), dtype=np.uint8)])
+                begin = end
+        if names:
+            yield done()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("msa", "k", "row").repartition(n, "msa").sortWithinPartitions("msa", F.col("k").asc_nulls_last())
+    return dealt.mapInArrow(run, f"msa {kinds['msa']}, k {kinds['k']}, {schema_extra}")
 
 
 def identity_filter(rows: DataFrame, max_id: int = 90, diversity: int = 0, first_id: int = 0) -> DataFrame:
     """Non-redundant members of each alignment (msa, k, kept). Without a diversity one pass at max_id; the first
     member, the query, always stays."""
 
-    def choose(x: np.ndarray, _: list[str]) -> np.ndarray:
+    def choose(x: Members) -> np.ndarray:
         keep = np.ones(len(x), dtype=np.int64)
         keep[0] = 2
         n = diversity if diversity > 0 else len(x) + 1
@@ -107,11 +283,31 @@ def identity_filter(rows: DataFrame, max_id: int = 90, diversity: int = 0, first
     return per_alignment(rows, choose)
 
 
-def neff_of(x: np.ndarray) -> float:
-    """Mean over columns of two to the entropy of the residues' weighted shares, by position-based weights of the members."""
-    if not len(x):
+def neff_of(x: Members | np.ndarray, some: np.ndarray | None = None) -> float:
+    """Mean over columns of two to the entropy of the residues' weighted shares, by position-based weights of the members (of some of them)."""
+    m = Members.of(x)
+    members = range(len(m)) if some is None else np.flatnonzero(some).tolist()
+    if not len(members):
         return 1.0
-    f = _counts(x, henikoff(x))
+    places = np.arange(m.width) * LETTER_CODES
+
+    def cells(k: int) -> np.ndarray:
+        row = m.rows[k]
+        real = np.flatnonzero(row < LETTER_CODES)
+        return places[real + m.at[k]] + row[real]
+
+    # A member has one residue a column, so none of its cells comes twice.
+    counts = np.zeros(m.width * LETTER_CODES)
+    for k in members:
+        counts[cells(k)] += 1
+    kinds = np.maximum(1, (counts.reshape(-1, LETTER_CODES) > 0).sum(1))
+    share = (1.0 / (np.maximum(1, counts).reshape(-1, LETTER_CODES) * kinds[:, None])).ravel()
+    w = np.array([share[cells(k)].sum() for k in members])
+    w = w / w.sum() if w.sum() else np.full(len(w), 1.0 / len(w))
+    counts[:] = 0
+    for k, v in zip(members, w.tolist()):
+        counts[cells(k)] += v
+    f = counts.reshape(-1, LETTER_CODES)
     total = f.sum(1)
     p = f[total > 0] / total[total > 0, None]
     if not len(p):
@@ -119,25 +315,25 @@ def neff_of(x: np.ndarray) -> float:
     return float(np.exp2(-(p * np.log2(np.where(p > 0, p, 1.0))).sum(1)).mean())
 
 
-def query_scores(rows: list[str], table: np.ndarray, gap_open: float = 6.0, gap_extend: float = 1.0) -> np.ndarray:
+def query_scores(rows: Members | list[str], table: np.ndarray, gap_open: float = 6.0, gap_extend: float = 1.0) -> np.ndarray:
     """Score a residue of each member against the first, as ``msa.query_score`` has it. table: (26, 26), first's letter, member's."""
-    x = codes(rows)
-    width = x.shape[1]
-    raw = np.frombuffer("".join(r.ljust(width, "-") for r in rows).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(rows), width)
-    real, gap = x != 255, raw == ord("-")
-    out = np.full(len(rows), -np.inf)
-    for k in range(len(rows)):
-        at = np.flatnonzero(~gap[k])
-        if not real[k].any():
+    m = Members.of(rows)
+    first = np.full(m.width, 255, dtype=np.uint8)
+    first[m.at[0] : m.at[0] + len(m.rows[0])] = m.rows[0]
+    # Both residues, a gap of the query, a gap of the member; the rest scores 0 and holds runs.
+    kinds = np.zeros((256, 256), dtype=np.uint8)
+    kinds[:LETTER_CODES, :LETTER_CODES], kinds[255, :LETTER_CODES], kinds[:LETTER_CODES, 255] = 1, 2, 3
+    out = np.full(len(m), -np.inf)
+    for k, own in enumerate(m.rows):
+        if not m.nres[k]:
             continue
-        inside = np.arange(at[0], at[-1] + 1)
-        # Both residues, a gap of the query, a gap of the member; the rest scores 0 and holds runs.
-        kind = np.select([real[k] & real[0], real[k] & gap[0], gap[k] & real[0]], [1, 2, 3], 0)[inside]
-        inside, kind = inside[kind > 0], kind[kind > 0]
-        both = inside[kind == 1]
-        longer = np.concatenate([[False], kind[1:] == kind[:-1]]) if len(kind) else np.zeros(0, dtype=bool)
-        cost = np.where(longer, gap_extend, gap_open)[kind > 1].sum()
-        out[k] = (table[x[0, both], x[k, both]].sum() - cost) / real[k].sum()
+        other = first[m.at[k] : m.at[k] + len(own)]
+        kind = kinds[other, own]
+        both, seen = kind == 1, kind[kind > 0]
+        gaps = seen > 1
+        longer = np.count_nonzero(gaps[1:] & (seen[1:] == seen[:-1]))
+        cost = gap_open * (np.count_nonzero(gaps) - longer) + gap_extend * longer
+        out[k] = (table[other[both], own[both]].sum() - cost) / m.nres[k]
     return out
 
 
@@ -157,11 +353,11 @@ def neff_filter(rows: DataFrame, target: float, scores: DataFrame | None = None,
         like[ord(a) - 65] = ord(b) - 65
     table = table[np.ix_(like, like)]
 
-    def choose(x: np.ndarray, texts: list[str]) -> np.ndarray:
+    def choose(x: Members) -> np.ndarray:
         if neff_of(x) <= target:
             return np.ones(len(x), dtype=bool)
-        score = query_scores(texts, table)
-        wide = 100 * (x != 255).sum(1) >= coverage * x.shape[1]
+        score = query_scores(x, table)
+        wide = 100 * np.array(x.nres) >= coverage * x.width
 
         def filtered(least: float) -> np.ndarray:
             keep = (wide & (score >= least)).astype(np.int64)
@@ -173,7 +369,7 @@ def neff_filter(rows: DataFrame, target: float, scores: DataFrame | None = None,
         lo, hi = -1, len(steps) - 1
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if neff_of(x[filtered(steps[mid])]) <= target else (mid, hi)
+            lo, hi = (lo, mid) if neff_of(x, filtered(steps[mid])) <= target else (mid, hi)
         return filtered(steps[hi])
 
     return per_alignment(rows, choose)
@@ -246,12 +442,12 @@ def local_profiles(rows: DataFrame) -> DataFrame:
 def most_dissimilar(rows: DataFrame, n: int, max_id: int = 90) -> DataFrame:
     """About n members to show: the largest identity threshold, from 10 up, that still leaves no more than n."""
 
-    def choose(x: np.ndarray, _: list[str]) -> np.ndarray:
+    def choose(x: Members) -> np.ndarray:
         keep = np.ones(len(x), dtype=np.int64)
         keep[0] = 2
         best = keep == 2
         for seqid in range(min(10, max_id), max_id + 1):
-            got = keep_diverse(x, seqid, seqid, len(x) + 1, keep)
+            got = keep_diverse(x, seqid, seqid, len(x) + 1, keep, enough=n)
             if got.sum() > n:
                 break
             best = got

@@ -71,3 +71,29 @@ def test_extraction_of_odd_sequences(spark, residues, want):
     df = spark.createDataFrame([(residues, [(2, -2), (2, -1)])], "residues string, b array<struct<m:int,g:int>>")
     back = df.select(msa.extract(F.col("b"), F.col("residues")).alias("x"))
     assert back.first()["x"] == want and "aggregate(" not in planned(back)
+
+
+def test_members_hold_no_more_than_their_columns():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACDEFGHIKL"), n)) for n in [100_000] + [20] * 2000]
+    tracemalloc.start()
+    m = redundancy.Members.of(texts)
+    kept = redundancy.keep_diverse(m, 90, 90, len(m) + 1, np.where(np.arange(len(m)) == 0, 2, 1))
+    redundancy.neff_of(m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept[0] and peak < 100e6  # the matrix of all columns has 200 MB
+
+
+def test_bits_lose_no_similar_member(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = "".join(rng.choice(list("ACDEFGHIKL-"), 3000))
+    change = lambda share: "".join(rng.choice(list("MNPQ-")) if rng.random() < share else c for c in base)
+    m = redundancy.Members.of([base] + [change(x) for x in np.linspace(0, 0.4, 80)])
+    keep = np.where(np.arange(len(m)) == 0, 2, 1)
+    got = {}
+    for many in (2, 10_000):
+        monkeypatch.setattr(redundancy, "MANY_KEPT", many)
+        got[many] = [redundancy.keep_diverse(m, t, t, len(m) + 1, keep).tolist() for t in (60, 80, 90)]
+    assert got[2] == got[10_000] and not all(got[2][2])
+    assert redundancy.keep_diverse(m, 90, 90, len(m) + 1, keep, enough=3).sum() == 4
