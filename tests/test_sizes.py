@@ -97,3 +97,12 @@ def test_bits_lose_no_similar_member(monkeypatch):
         got[many] = [redundancy.keep_diverse(m, t, t, len(m) + 1, keep).tolist() for t in (60, 80, 90)]
     assert got[2] == got[10_000] and not all(got[2][2])
     assert redundancy.keep_diverse(m, 90, 90, len(m) + 1, keep, enough=3).sum() == 4
+
+
+def test_parts_of_one_name_are_aligned_once(spark, monkeypatch):
+    join, seen = dp.align_join, []
+    monkeypatch.setattr(dp, "align_join", lambda pairs, *a, **b: seen.append(pairs.count()) or join(pairs, *a, **b))
+    got = search_queries.posterior_matrices(spark, SF)
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    assert seen == [5 * part.select("p_name").distinct().count()]
+    assert got.select("query", "target", "irep").distinct().count() == got.count() >= 5 * part.count()
