@@ -106,3 +106,10 @@ def test_parts_of_one_name_are_aligned_once(spark, monkeypatch):
     part = spark.read.parquet(f"{SF}/part.parquet")
     assert seen == [5 * part.select("p_name").distinct().count()]
     assert got.select("query", "target", "irep").distinct().count() == got.count() >= 5 * part.count()
+
+
+def test_widths_of_inserts_are_found_by_place(spark):
+    rows = spark.createDataFrame([("m", 0, "aAbbC-d"), ("m", 1, "ACcccC"), ("n", 0, ""), ("n", 1, "A.bA")], "msa string, k int, row string")
+    got = {r["msa"]: list(r["widths"]) for r in maps.insert_widths(rows).collect()}
+    assert got == {"m": [1, 2, 3, 1], "n": [0, 1, 0]}
+    assert [r["row"] for r in maps.padded(rows).orderBy("msa", "k").collect()] == ["aAbbC...-d", ".A..CcccC.", "", "AbA"]
