@@ -216,7 +216,6 @@ def compressed_text(row: Column) -> Column:
     return F.array_join(F.transform(compress(row), lambda b: F.concat_ws(":", b["m"].cast("string"), b["g"].cast("string"))), " ")
 
 
-@F.arrow_udf("string")
 def _extracted(blocks: pa.Array, residues: pa.Array) -> pa.Array:
     parts = blocks.flatten()
     m, g = (np.asarray(parts.field(x).fill_null(0), dtype=np.int64) for x in ("m", "g"))
@@ -243,7 +242,7 @@ def _extracted(blocks: pa.Array, residues: pa.Array) -> pa.Array:
 
 def extract(blocks: Column, residues: Column) -> Column:
     """The alignment row of blocks and the residues without gaps, in one walk along both: a row costs its length, however many blocks it has."""
-    return _extracted(blocks, residues)
+    return F.arrow_udf(_extracted, "string")(blocks, residues)
 
 
 def compressed_members(members: DataFrame, sequences: DataFrame) -> DataFrame:
